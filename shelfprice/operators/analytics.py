@@ -147,10 +147,11 @@ def flag_extremes(groups: DataFrame, name: str, measure: str, best: str, worst:
 
 
 def seasons(cells: DataFrame) -> DataFrame:
-    """Units per quarter and month with subtotals, as one grouping over the cells."""
+    """Units per quarter and month; month 0 is a quarter's total, quarter 0 the year's."""
     return (
         cells.groupBy(F.quarter("date").alias("quarter"), F.month("date").alias("month")).agg(F.sum("units").alias("units"))
         .rollup("quarter", "month").agg(F.sum("units").alias("units"))
+        .fillna(0, ["quarter", "month"])
     )
 
 

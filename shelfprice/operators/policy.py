@@ -68,9 +68,13 @@ def greedy_policy(values: DataFrame) -> DataFrame:
 
 
 def policy_prices(products: DataFrame, policy: DataFrame) -> DataFrame:
-    """Apply the policy: recommended price times the multiplier of the product's state."""
-    chosen = products.join(F.broadcast(policy.select(*STATE, "action", "multiplier")), STATE)  # 27 rows at most
-    return chosen.select(
-        "product_id", *STATE, "action", "multiplier", "recommended_price",
-        cents(F.col("recommended_price") * F.col("multiplier")).alias("price"),
+    """Apply the policy: recommended price times the multiplier of the product's state.
+
+    A product in a state that history never showed keeps its recommended price.
+    """
+    actions = F.broadcast(policy.select(*STATE, "action", "multiplier"))  # 27 rows at most
+    multiplier = F.coalesce("multiplier", F.lit(1.0))
+    return products.join(actions, STATE, "left").select(
+        "product_id", *STATE, F.coalesce("action", F.lit(MULTIPLIERS.index(1.0))).alias("action"),
+        multiplier.alias("multiplier"), "recommended_price", cents(F.col("recommended_price") * multiplier).alias("price"),
     )

@@ -167,7 +167,7 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("discount") == 0.1, F.lit(" ")).otherwise(F.col("product_id").cast("string")).alias("product_id"),
         F.when(flag == "A", F.date_format("date", "yyyy-MM-dd"))
         .when(flag == "R", F.date_format("date", "dd/MM/yyyy"))
-        .otherwise(F.date_format("date", "M.d.yy")).alias("date"),
+        .otherwise(F.date_format("date", "M.d.yyyy")).alias("date"),
         F.when(F.col("tax_rate") == 0, F.lit("")).otherwise(F.col("category")).alias("category"),
         F.when(status == "O", money).otherwise(F.col("price").cast("decimal(18,2)").cast("string")).alias("price"),
         F.when(flag == "R", F.lit("n/a")).otherwise(F.col("cost").cast("decimal(18,2)").cast("string")).alias("cost"),
@@ -201,3 +201,9 @@ def deal_requests(spark: SparkSession, folder: str) -> DataFrame:
         cents(F.col("price") * (F.lit(1.0) - F.col("discount"))).alias("budget"),
     )
     return lookup(asked, bought, "order_id")
+
+
+def stock_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with the stock at the time of sale and nothing else of the catalogue."""
+    stock = products(spark, folder).select("product_id", "stock")
+    return lookup(lines(spark, folder), stock, "product_id").withColumn("inventory", F.col("stock") + F.col("units_sold")).drop("stock")
