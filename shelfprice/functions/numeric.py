@@ -26,9 +26,18 @@ def clamp(value: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(value, low), high)
 
 
-def money_sum(value: Column) -> Column:
-    """Sum in decimal, so the result does not depend on the order of the rows."""
-    return F.sum(value.cast("decimal(18,2)")).cast("double")
+def to_cents(value: Column) -> Column:
+    """Money as a whole number of cents.
+
+    Sums of it are exact and independent of the order of the rows, and stay primitive
+    longs, where sums of decimals beyond 18 digits would be objects. A total beyond
+    92 quadrillion raises an error rather than losing digits.
+    """
+    return F.floor(value * F.lit(100.0) + F.lit(0.5))
+
+
+def from_cents(amount: Column) -> Column:
+    return amount / F.lit(100.0)
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

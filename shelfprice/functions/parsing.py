@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 # Separators and currency signs ignored inside a number.
 NUMBER_NOISE = r"[,₹$€£\s]"
 
-# Date shapes, and formats tried when neither shape fits.
-ISO_DATE = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
-SLASHED_DATE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})"
+# Date shapes, and formats tried when none of the shapes fits.
+SHORT_YEAR = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})(?!\d)"
+DAY_FIRST = r"^(1[3-9]|[2-9]\d)[/.-](\d{1,2})[/.-](\d{4})"
+MONTH_FIRST = r"^(0?\d|1[0-2])[/.-](\d{1,2})[/.-](\d{4})"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
 WORDED_DATES = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
 
 
@@ -19,27 +21,16 @@ def parse_number(text: Column) -> Column:
     return F.regexp_replace(text, NUMBER_NOISE, "").try_cast("double")
 
 
-def _whole(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
-
-
-def _date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
-
-
 def parse_date(text: Column) -> Column:
     """Date from ISO text, day/month/year or month/day/year text, or worded text.
 
     A leading part above 12 can only be a day; two-digit years are of this century.
+    Numeric shapes are rewritten to ISO text step by step, so every pattern runs once
+    per value, and only text of another shape reaches the worded formats.
     """
-    text = F.trim(text)
-    iso = _date_of(*[_whole(text, ISO_DATE, i) for i in (1, 2, 3)])
-    first, second, year = (_whole(text, SLASHED_DATE, i) for i in (1, 2, 3))
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    slashed = F.when(first > 12, _date_of(year, second, first)).otherwise(_date_of(year, first, second))
-    worded = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)).cast("date") for fmt in WORDED_DATES])
-    return (
-        F.when(text.rlike(ISO_DATE), iso)
-        .when(text.rlike(SLASHED_DATE), slashed)
-        .otherwise(worded)
-    )
+    shape = F.regexp_replace(F.trim(text), SHORT_YEAR, "$1/$2/20$3")
+    shape = F.regexp_replace(shape, DAY_FIRST, "$3-$2-$1")
+    shape = F.regexp_replace(shape, MONTH_FIRST, "$3-$1-$2")
+    iso = F.regexp_extract(shape, ISO_DATE, 0)
+    worded = F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(fmt)).cast("date") for fmt in WORDED_DATES])
+    return F.when(iso != "", iso.try_cast("date")).otherwise(worded)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfprice.functions import holiday_flag, month_name, round_to, safe_ratio, seasonal_factor, weekend_flag
+from shelfprice.functions import from_cents, holiday_flag, month_name, round_to, safe_ratio, seasonal_factor, to_cents, weekend_flag
 from shelfprice.functions.calendar import FESTIVAL_MONTHS
 from shelfprice.operators.features import daily_cells
 from shelfprice.operators.quantiles import group_medians
@@ -25,19 +25,15 @@ def catalogue_cells(rows: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def profit() -> Column:
-    return F.col("revenue") - (F.col("cost") * F.col("units")).cast("decimal(18,2)")
-
-
-def _double(total: Column) -> Column:
-    return total.cast("double")
+    return F.col("revenue") - to_cents(F.col("cost") * F.col("units"))
 
 
 def product_totals(cells: DataFrame) -> DataFrame:
     """Units, revenue, profit and sale days per product; money rounded to units."""
     return cells.groupBy("product_id", "category").agg(
         F.sum("units").alias("units"),
-        round_to(_double(F.sum("revenue")), 0).alias("revenue"),
-        round_to(_double(F.sum(profit())), 0).alias("profit"),
+        round_to(from_cents(F.sum("revenue")), 0).alias("revenue"),
+        round_to(from_cents(F.sum(profit())), 0).alias("profit"),
         F.count("*").alias("days"),
     )
 
@@ -61,11 +57,11 @@ def product_summary(rows: DataFrame, order: list[str]) -> DataFrame:
     medians = group_medians(rows, ["product_id"], ["price", "cost", "competitor_price"])
     totals = rows.groupBy("product_id", "category", "date").agg(
         F.sum("units_sold").alias("units"),
-        F.sum((F.col("price") * F.col("units_sold")).cast("decimal(18,2)")).alias("revenue"),
-        F.sum(((F.col("price") - F.col("cost")) * F.col("units_sold")).cast("decimal(18,2)")).alias("profit"),
+        F.sum(to_cents(F.col("price") * F.col("units_sold"))).alias("revenue"),
+        F.sum(to_cents((F.col("price") - F.col("cost")) * F.col("units_sold"))).alias("profit"),
     ).groupBy("product_id", "category").agg(
-        F.sum("units").alias("units"), _double(F.sum("revenue")).alias("revenue"),
-        _double(F.sum("profit")).alias("profit"), F.count("*").alias("days"),
+        F.sum("units").alias("units"), from_cents(F.sum("revenue")).alias("revenue"),
+        from_cents(F.sum("profit")).alias("profit"), F.count("*").alias("days"),
     )
     recent = latest_rows(rows, order, 30).groupBy("product_id").agg(
         F.percentile("inventory", 0.5).alias("stock30"),
@@ -114,8 +110,8 @@ def stock_alerts(cover: DataFrame, n: int = 5) -> DataFrame:
 
 def daily_series(cells: DataFrame) -> DataFrame:
     return cells.select(
-        "product_id", "date", "units", _double(F.col("revenue")).alias("revenue"),
-        round_to(_double(F.col("price_total")) / F.col("n_rows"), 4).alias("avg_price"),
+        "product_id", "date", "units", from_cents(F.col("revenue")).alias("revenue"),
+        round_to(from_cents(F.col("price_total")) / F.col("n_rows"), 4).alias("avg_price"),
     )
 
 
@@ -127,23 +123,27 @@ def monthly(cells: DataFrame) -> DataFrame:
         F.sum("n_rows").alias("n_rows"),
     )
     every = cells.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
-    filled = every.join(totals, "month", "left").select(
+    filled = every.join(F.broadcast(totals), "month", "left")  # twelve rows
+    filled = filled.select(
         "month",
         F.coalesce("units", F.lit(0.0)).alias("units"),
-        F.coalesce(_double(F.col("revenue")), F.lit(0.0)).alias("revenue"),
-        F.coalesce(_double(F.col("profit")), F.lit(0.0)).alias("profit"),
+        F.coalesce(from_cents(F.col("revenue")), F.lit(0.0)).alias("revenue"),
+        F.coalesce(from_cents(F.col("profit")), F.lit(0.0)).alias("profit"),
         F.when(F.col("n_rows") > 0, seasonal_factor(F.col("month"))).otherwise(0.0).alias("seasonal_factor"),
     )
     return flag_extremes(filled, "month", "units", "best_month", "worst_month")
 
 
 def flag_extremes(groups: DataFrame, name: str, measure: str, best: str, worst: str) -> DataFrame:
-    """Mark the groups with the highest and the lowest measure, the first name on ties."""
-    ends = groups.agg(
-        F.min_by(name, F.struct(-F.col(measure), F.col(name))).alias("hi"),
-        F.min_by(name, F.struct(F.col(measure), F.col(name))).alias("lo"),
-    ).select(F.struct("hi", "lo")).scalar()
-    return groups.withColumns({best: F.col(name) == ends.getField("hi"), worst: F.col(name) == ends.getField("lo")})
+    """Mark the groups with the highest and the lowest measure, the first name on ties.
+
+    ``groups`` is a finished report of a few rows (months, hours, categories), so one
+    window may span all of them; the rows behind it are not read again.
+    """
+    every = Window.partitionBy(F.lit(1))
+    hi = F.min_by(name, F.struct(-F.col(measure), F.col(name))).over(every)
+    lo = F.min_by(name, F.struct(F.col(measure), F.col(name))).over(every)
+    return groups.withColumns({best: F.col(name) == hi, worst: F.col(name) == lo})
 
 
 def seasons(cells: DataFrame) -> DataFrame:
@@ -227,14 +227,14 @@ def overview(cells: DataFrame, customers: DataFrame, days: int = 30) -> DataFram
         F.sum("n_rows").alias("total_sales_rows"),
         F.sum("units").alias("sales_last_30d"),
         round_to(safe_ratio(F.sum("units"), F.sum("recent_rows")), 1).alias("avg_daily_units"),
-        round_to(safe_ratio(F.sum("price_total"), F.sum("recent_rows")), 2).alias("avg_price"),
+        round_to(safe_ratio(from_cents(F.sum("price_total")), F.sum("recent_rows")), 2).alias("avg_price"),
     ).withColumn("customers", people)
 
 
 def price_trend(cells: DataFrame) -> DataFrame:
     """Mean selling price per product and month of the year."""
     return cells.groupBy("product_id", F.month("date").alias("month")).agg(
-        round_to(_double(F.sum("price_total")) / F.sum("n_rows"), 4).alias("avg_price")
+        round_to(from_cents(F.sum("price_total")) / F.sum("n_rows"), 4).alias("avg_price")
     )
 
 

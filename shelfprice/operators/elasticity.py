@@ -19,32 +19,34 @@ def _sold(price: str, units: str) -> Column:
 
 
 def curve_aggregates(price: str = "price", units: str = "units_sold") -> list[Column]:
-    """Aggregates of a curve fit. They merge, so a hot group is combined map-side."""
+    """Moments of a curve fit. They merge, so a hot group is combined map-side."""
     sold = _sold(price, units)
     x, y = F.when(sold, F.log(price)), F.when(sold, F.log(units))
     return [
         F.count(F.when(sold, 1)).alias("n_obs"),
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("level"),
-        F.regr_r2(y, x).alias("fit"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"),
+        F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
+        F.covar_pop(y, x).alias("cov_xy"), F.var_pop(x).alias("var_x"), F.var_pop(y).alias("var_y"),
         F.max(F.when(sold, F.col(units))).alias("most_units"),
     ]
 
 
 def finish_curve(fits: DataFrame, min_rows: int = MIN_CURVE_ROWS, max_elasticity: float = MAX_ELASTICITY) -> DataFrame:
-    """Turn the aggregates into a curve and say whether it can be used.
+    """Turn the moments into a least-squares curve and say whether it can be used.
 
     A curve is unusable below ``min_rows`` rows, without price variation, or when
     demand does not fall with the price.
     """
-    varied = F.col("sxx") > MIN_VARIATION
-    usable = (F.col("n_obs") >= min_rows) & varied & (F.col("slope") < max_elasticity)
-    return fits.withColumns({
-        "intercept": F.col("level"),
-        "elasticity": F.col("slope"),
-        "r2": F.when(F.col("syy") > MIN_VARIATION, F.col("fit")).otherwise(0.0),
+    price_varies = F.col("var_x") * F.col("n_obs") > MIN_VARIATION
+    units_vary = F.col("var_y") * F.col("n_obs") > MIN_VARIATION
+    slope = F.when(price_varies, F.col("cov_xy") / F.col("var_x"))
+    explained = F.when(price_varies & units_vary, F.pow("cov_xy", F.lit(2)) / (F.col("var_x") * F.col("var_y")))
+    fitted = fits.withColumn("elasticity", slope).withColumns({
+        "intercept": F.col("mean_y") - F.col("elasticity") * F.col("mean_x"),
+        "r2": F.coalesce(explained, F.lit(0.0)),
         "ceiling": F.col("most_units") * CEILING_MULTIPLE,
-        "usable": F.coalesce(usable, F.lit(False)),
-    }).drop("slope", "level", "fit", "sxx", "syy", "most_units")
+        "usable": F.coalesce((F.col("n_obs") >= min_rows) & (F.col("elasticity") < max_elasticity), F.lit(False)),
+    })
+    return fitted.drop("mean_x", "mean_y", "cov_xy", "var_x", "var_y", "most_units")
 
 
 def fit_curves(rows: DataFrame, group: str = "product_id", min_rows: int = MIN_CURVE_ROWS, **names: str) -> DataFrame:

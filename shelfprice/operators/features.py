@@ -12,27 +12,28 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfprice.functions import clamp, seasonal_factor
+from shelfprice.functions import clamp, from_cents, seasonal_factor, to_cents
 from shelfprice.functions.calendar import year_angle
 from shelfprice.operators.joins import lookup
+from shelfprice.operators.staging import stage
 
 TREND_LIMIT = 0.2
 TREND_DAYS = 7
 
 
 def daily_cells(rows: DataFrame, key: str = "product_id", sums: dict | None = None) -> DataFrame:
-    """Rows, units, revenue and price total per key and day; money stays decimal."""
+    """Rows, units, revenue and price total per key and day; money in cents."""
     return rows.groupBy(key, "date").agg(
         F.count("*").alias("n_rows"),
         F.sum("units_sold").alias("units"),
-        F.sum((F.col("price") * F.col("units_sold")).cast("decimal(18,2)")).alias("revenue"),
-        F.sum(F.col("price").cast("decimal(18,2)")).alias("price_total"),
+        F.sum(to_cents(F.col("price") * F.col("units_sold"))).alias("revenue"),
+        F.sum(to_cents(F.col("price"))).alias("price_total"),
         *[F.sum(value).alias(name) for name, value in (sums or {}).items()],
     )
 
 
 def mean_price():
-    return F.col("price_total").cast("double") / F.col("n_rows")
+    return from_cents(F.col("price_total")) / F.col("n_rows")
 
 
 def calendar_features(dates: DataFrame) -> DataFrame:
@@ -52,10 +53,12 @@ def demand_features(daily: DataFrame) -> DataFrame:
 
     ``daily`` has product_id, date, category, price, competitor_price, inventory and
     units_sold, one row per product and day. All windows share one sort. Days
-    without a seventh predecessor are dropped.
+    without a seventh predecessor are dropped. The table is staged, as the category
+    means need a pass of their own.
     """
+    daily = stage(daily)
     by_day = Window.partitionBy("product_id").orderBy("date")
-    category_price = daily.groupBy("category").agg(F.avg("price").alias("cat_mean_price"))
+    category_price = stage(daily.groupBy("category").agg(F.avg("price").alias("cat_mean_price")))
     featured = daily.withColumns({
         "units_lag1": F.lag("units_sold", 1).over(by_day),
         "units_lag7": F.lag("units_sold", 7).over(by_day),
@@ -72,14 +75,16 @@ def price_position(rows: DataFrame) -> DataFrame:
     """Each row with the mean price of its product and category, and the gaps to them.
 
     The means are grouped and joined back, not windowed: a window by category would
-    put a whole category in one task.
+    put a whole category in one task. The product means are staged, so that the
+    category means and the join size come from them and not from the rows again.
     """
-    price = F.col("price").cast("decimal(18,2)")
-    per_product = rows.groupBy("product_id", "category").agg(F.sum(price).alias("total"), F.count("*").alias("n"))
-    per_category = per_product.groupBy("category").agg(
-        (F.sum("total").cast("double") / F.sum("n")).alias("cat_mean_price")
-    )
-    product_mean = per_product.select("product_id", (F.col("total").cast("double") / F.col("n")).alias("product_mean_price"))
+    per_product = stage(rows.groupBy("product_id", "category").agg(
+        F.sum(to_cents(F.col("price"))).alias("total"), F.count("*").alias("n")
+    ))
+    per_category = stage(per_product.groupBy("category").agg(
+        (from_cents(F.sum("total")) / F.sum("n")).alias("cat_mean_price")
+    ))
+    product_mean = per_product.select("product_id", (from_cents(F.col("total")) / F.col("n")).alias("product_mean_price"))
     joined = lookup(lookup(rows, product_mean, "product_id"), per_category, "category")
     return joined.withColumns({
         "price_ratio_to_base": F.col("price") / F.col("product_mean_price"),

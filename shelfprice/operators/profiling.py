@@ -76,7 +76,7 @@ def basic_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     total = df.agg(*[
         F.struct(
             F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"),
-            F.sum(F.col(c).cast("decimal(18,4)")).cast("double").alias("total"), F.count(c).alias("n"),
+            F.avg(c).alias("mean"), F.count(c).alias("n"),
         ).alias(c)
         for c in columns
     ])
@@ -85,7 +85,7 @@ def basic_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.lit(c).alias("column"),
             F.coalesce(cents(F.col(c)["low"]), F.lit(0.0)).alias("min"),
             F.coalesce(cents(F.col(c)["high"]), F.lit(0.0)).alias("max"),
-            F.when(F.col(c)["n"] > 0, cents(F.col(c)["total"] / F.col(c)["n"])).otherwise(0.0).alias("avg"),
+            F.coalesce(cents(F.col(c)["mean"]), F.lit(0.0)).alias("avg"),
             F.col(c)["n"].alias("count"),
         )
         for c in columns

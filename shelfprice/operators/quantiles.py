@@ -56,28 +56,34 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> D
     """
     brackets = F.broadcast(_brackets(df, columns, probs))  # len(columns) * len(probs) rows
     position = F.col("prob") * (F.col("n") - 1)
+    # values under the bracket are counted at its lower end, so both uses of the counts
+    # below are the same aggregation and Spark runs it once
     inside = (
         unpivot_numbers(df, columns).join(brackets, "column").where(F.col("value") <= F.col("high"))
-        .withColumn("spot", F.when(F.col("value") >= F.col("low"), F.col("value")))
+        .withColumn("spot", F.greatest("value", "low"))
+    )
+    under = F.col("value") < F.col("low")
+    counted = inside.groupBy("column", "prob", "n", "low", "high", "spot").agg(
+        F.count_if(under).alias("below"), F.count_if(~under).alias("cnt")
     )
-    counted = inside.groupBy("column", "prob", "n", "low", "high", "spot").agg(F.count("*").alias("cnt"))
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     cell = F.coalesce(F.least(F.floor((F.col("spot") - F.col("low")) / width * CELLS), F.lit(CELLS - 1)), F.lit(0))
-    counted = counted.withColumn("cell", F.when(F.col("spot").isNull(), F.lit(-1)).otherwise(cell)).withColumns({
-        "first_rank": F.floor(position), "last_rank": F.ceil(position), "part": position - F.floor(position),
+    counted = counted.withColumns({
+        "cell": cell, "first_rank": F.floor(position), "last_rank": F.ceil(position), "part": position - F.floor(position),
     })
-    by_cell = Window.partitionBy("column", "prob").orderBy("cell")  # CELLS + 1 rows at most
+    by_cell = Window.partitionBy("column", "prob").orderBy("cell")  # CELLS rows at most
     wanted = (
-        counted.groupBy("column", "prob", "cell", "first_rank", "last_rank").agg(F.sum("cnt").alias("size"))
+        counted.groupBy("column", "prob", "cell", "first_rank", "last_rank")
+        .agg(F.sum("cnt").alias("size"), F.sum("below").alias("below"))
+        .withColumn("size", F.col("size") + F.col("below"))
         .withColumn("before", F.sum("size").over(by_cell) - F.col("size"))
-        .where((F.col("cell") >= 0) & (F.col("before") <= F.col("last_rank"))
-               & (F.col("before") + F.col("size") > F.col("first_rank")))
+        .where((F.col("before") <= F.col("last_rank")) & (F.col("before") + F.col("size") > F.col("first_rank")))
         .select("column", "prob", "cell", "before")
     )
     by_value = Window.partitionBy("column", "prob", "cell").orderBy("spot")
     ranked = (
         counted.join(F.broadcast(wanted), ["column", "prob", "cell"])  # the few cells that hold a rank
-        .withColumn("start", F.col("before") + F.sum("cnt").over(by_value) - F.col("cnt"))
+        .withColumn("start", F.col("before") + F.sum(F.col("below") + F.col("cnt")).over(by_value) - F.col("cnt"))
     )
 
     def at(rank: str):
@@ -95,15 +101,23 @@ def group_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     """Exact median of each column per group, for columns with a bounded value domain.
 
     Money in cents and stock counts repeat: rows are first counted per (group,
-    value), which spreads a hot group over its values, so the percentile of a group
-    handles distinct values and not rows.
+    value), which spreads a hot group over its values and combines map-side. The
+    running count then sorts the distinct values of a group, not its rows.
     """
     pairs = [F.struct(F.lit(c).alias("field"), _number(c).alias("value")) for c in columns]
     counted = (
         df.select(*keys, F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
         .groupBy(*keys, "field", "value").agg(F.count("*").alias("cnt"))
     )
-    return counted.groupBy(*keys).agg(*[
-        F.percentile(F.when(F.col("field") == c, F.col("value")), F.lit(0.5), F.col("cnt")).alias(c)
+    group = Window.partitionBy(*keys, "field")
+    ranked = counted.withColumns({
+        "end": F.sum("cnt").over(group.orderBy("value")), "n": F.sum("cnt").over(group),
+    })
+    start = F.col("end") - F.col("cnt")
+    middles = [F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)]
+    low, high = (F.when((start <= m) & (m < F.col("end")), F.col("value")) for m in middles)
+    picked = ranked.select(*keys, "field", low.alias("low"), high.alias("high")).where("low is not null or high is not null")
+    return picked.groupBy(*keys).agg(*[
+        ((F.max(F.when(F.col("field") == c, F.col("low"))) + F.max(F.when(F.col("field") == c, F.col("high")))) / 2).alias(c)
         for c in columns
     ])

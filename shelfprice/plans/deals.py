@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfprice.functions import round_to
 from shelfprice.operators import deals, features, policy
 from shelfprice.operators.joins import lookup
+from shelfprice.operators.staging import stage
 from shelfprice.plans.pricing import recommended
 from shelfprice.plans.registry import query
 from shelfprice.plans.views import half_up, sql
@@ -52,14 +53,14 @@ def pressured_products(spark, folder):
     """Recommendations with the demand pressure of each product."""
     units = retail.lines(spark, folder).groupBy("product_id").agg(F.sum("units_sold").alias("units"))
     pressure = deals.with_demand_pressure(units).select("product_id", "demand_pressure")
-    return recommended(spark, folder).where("supported").join(pressure, "product_id").select(
+    return stage(recommended(spark, folder).where("supported").join(pressure, "product_id").select(
         "product_id", "recommended_price", "competitor_price", "cost", "inventory", "demand_pressure", "current_price", "elasticity"
-    )
+    ))
 
 
 def _requests(spark, folder):
     asked = lookup(retail.deal_requests(spark, folder), pressured_products(spark, folder), "product_id")
-    return deals.with_customer(asked, retail.customers(spark, folder))
+    return deals.with_customer(asked, stage(retail.customers(spark, folder)))
 
 
 PRESSURE = """
@@ -122,16 +123,16 @@ def rule_discount(spark, folder):
     )
 
 
-def _history(spark, folder):
+def _history(spark, folder, products):
     """Product-days as market situations: stock, demand pressure and price gap."""
-    days = features.daily_cells(retail.lines(spark, folder))
+    days = features.daily_cells(retail.lines(spark, folder)).select("product_id", "n_rows", "units", "price_total")
     ends = days.agg(F.struct(F.min("units").alias("lo"), F.max("units").alias("hi"))).scalar()
-    product = pressured_products(spark, folder).select("product_id", "competitor_price", "cost", "inventory", "elasticity")
-    return days.join(product, "product_id").select(
+    product = products.select("product_id", "competitor_price", "cost", "inventory", "elasticity")
+    return stage(days.join(product, "product_id").select(
         "product_id", features.mean_price().alias("base_price"), "cost", "elasticity", "inventory",
         ((F.col("units") - ends.getField("lo")) / (ends.getField("hi") - ends.getField("lo"))).alias("demand_pressure"),
         ((features.mean_price() - F.col("competitor_price")) / F.col("competitor_price")).alias("competitor_gap"),
-    )
+    ))
 
 
 def _policy(history):
@@ -168,7 +169,8 @@ POLICY_STEPS = {"history": HISTORY, "limits": LIMITS, "action_values": VALUES, "
 @query(sql(f"SELECT inventory_bin, pressure_bin, gap_bin, action, multiplier, {half_up('value', 3)} AS value, n_rows FROM policy",
            "recommended", "cells", **POLICY_STEPS))
 def price_policy(spark, folder):
-    found, _ = _policy(_history(spark, folder))
+    products = pressured_products(spark, folder)
+    found, _ = _policy(_history(spark, folder, products))
     return found.withColumn("value", round_to(F.col("value"), 3))
 
 
@@ -180,8 +182,9 @@ FROM (SELECT product_id, recommended_price, {_bin("inventory", "i0", "i1")} AS i
       FROM recommended JOIN pressure USING (product_id), limits) LEFT JOIN policy USING (inventory_bin, pressure_bin, gap_bin)
 """, "recommended", "cells", pressure=PRESSURE, **POLICY_STEPS))
 def policy_prices(spark, folder):
-    found, limits = _policy(_history(spark, folder))
-    current = pressured_products(spark, folder).withColumn(
+    products = pressured_products(spark, folder)
+    found, limits = _policy(_history(spark, folder, products))
+    current = products.withColumn(
         "competitor_gap", (F.col("recommended_price") - F.col("competitor_price")) / F.col("competitor_price")
     )
     return policy.policy_prices(policy.with_state(current, limits), found)

@@ -112,7 +112,7 @@ def normalize_sales(spark, folder):
 
 def _gappy(spark, folder):
     flag, status = F.col("return_flag"), F.col("line_status")
-    return retail.sales(spark, folder).select(
+    return retail.sales(spark, folder, shared=True).select(
         *ROW_KEYS, "product_id",
         F.when(flag != "R", F.col("cost")).alias("cost"),
         F.when((flag != "A") | (status != "O"), F.col("competitor_price")).alias("competitor_price"),
@@ -239,7 +239,7 @@ def duplicate_count(spark, folder):
 
 
 def _stats_sql(column: str) -> str:
-    mean = half_up(f"CAST(sum(CAST({column} AS DECIMAL(18,4))) AS DOUBLE) / count({column})", 2)
+    mean = half_up(f"avg({column})", 2)
     low, high = half_up(f"min({column})", 2), half_up(f"max({column})", 2)
     return f"SELECT '{column}' AS \"column\", {low} AS min, {high} AS max, {mean} AS avg, count({column}) AS count FROM messy"
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfprice.functions import cents, round_to
+from shelfprice.functions import cents, from_cents, round_to, to_cents
 from shelfprice.operators import analytics
 from shelfprice.operators.joins import rollup_through
 from shelfprice.operators.recommend import recommend
+from shelfprice.operators.staging import stage
 from shelfprice.plans.registry import query
 from shelfprice.plans.series import RECENT
 from shelfprice.plans.views import HOLIDAY, SEASON, WEEKEND, half_up, money, sql
@@ -16,7 +17,7 @@ from shelfprice.sources import retail
 
 
 def _money(name: str):
-    return F.col(name).cast("decimal(18,2)")
+    return to_cents(F.col(name))
 
 
 def _cells(spark, folder):
@@ -24,7 +25,7 @@ def _cells(spark, folder):
 
 
 def _mean(total: str):
-    return F.col(total).cast("double") / F.col("n_rows")
+    return from_cents(F.col(total)) / F.col("n_rows")
 
 
 def product_lines(spark, folder):
@@ -33,8 +34,8 @@ def product_lines(spark, folder):
         {"sales": _money("sales"), "price": _money("price"), "quantity": F.col("quantity")},
     )
     return totals.select(
-        "product_line", F.col("sales").cast("double").alias("total_sales"), cents(_mean("price")).alias("avg_price"),
-        cents(_mean("quantity")).alias("avg_quantity"), F.col("quantity").alias("total_quantity"),
+        "product_line", from_cents(F.col("sales")).alias("total_sales"), cents(_mean("price")).alias("avg_price"),
+        cents(F.col("quantity") / F.col("n_rows")).alias("avg_quantity"), F.col("quantity").alias("total_quantity"),
     )
 
 
@@ -42,7 +43,7 @@ def branches(spark, folder):
     totals = rollup_through(
         retail.till(spark, folder), retail.stores(spark, folder), "l_suppkey", ["branch"], {"sales": _money("sales"), "price": _money("price")}
     )
-    return totals.select("branch", F.col("sales").cast("double").alias("total_sales"), cents(_mean("price")).alias("avg_price"))
+    return totals.select("branch", from_cents(F.col("sales")).alias("total_sales"), cents(_mean("price")).alias("avg_price"))
 
 
 LINE_REPORT = f"""
@@ -84,7 +85,7 @@ def best_worst_lines(spark, folder):
 
 @query(sql(f"SELECT date, {money('sales')} AS sales FROM till GROUP BY date", "till"))
 def sales_by_date(spark, folder):
-    return retail.till(spark, folder).groupBy("date").agg(F.sum(_money("sales")).cast("double").alias("sales"))
+    return retail.till(spark, folder).groupBy("date").agg(from_cents(F.sum(_money("sales"))).alias("sales"))
 
 
 @query(sql("""
@@ -93,7 +94,7 @@ FROM hours
 """, hours=f"SELECT CAST(hour(ts) AS INTEGER) AS hour, {half_up(money('value') + ' / count(*)', 6)} AS avg_sales FROM events GROUP BY 1"))
 def sales_by_hour(spark, folder):
     hours = retail.table(spark, folder, "events").groupBy(F.hour("ts").alias("hour")).agg(
-        round_to(F.sum(_money("value")).cast("double") / F.count("*"), 6).alias("avg_sales")
+        round_to(from_cents(F.sum(_money("value"))) / F.count("*"), 6).alias("avg_sales")
     )
     return analytics.flag_extremes(hours, "hour", "avg_sales", "peak", "low")
 
@@ -256,4 +257,4 @@ FROM effects, (SELECT * FROM totals ORDER BY profit DESC, product_id LIMIT 1) b,
     months="SELECT month(date) AS month, strftime(min(date), '%b') AS name, sum(units) AS units FROM cells GROUP BY 1"))
 def insight(spark, folder):
     prices = recommend(retail.pricing_rows(spark, folder)).where("supported")
-    return analytics.insight(_cells(spark, folder), prices).drop("story")
+    return analytics.insight(stage(_cells(spark, folder)), prices).drop("story")

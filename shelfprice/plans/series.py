@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfprice.functions import round_to
+from shelfprice.functions import from_cents, round_to, to_cents
 from shelfprice.operators import analytics, features
 from shelfprice.plans.registry import query
 from shelfprice.plans.views import half_up, sql
@@ -29,17 +29,17 @@ def daily_sales(spark, folder):
     """
     lines = retail.lines(spark, folder).groupBy("product_id", "date", "tax_rate").agg(
         F.count("*").alias("n_rows"), F.sum("units_sold").alias("units"), F.max("units_sold").alias("most"),
-        F.sum(F.col("price").cast("decimal(18,2)")).alias("price_total"),
+        F.sum(to_cents(F.col("price"))).alias("price_total"),
     )
     priced = retail.with_product(lines.withColumn("units_sold", F.col("most")), retail.products(spark, folder))
     days = priced.groupBy("product_id", "category", "date").agg(
         F.sum("units").alias("units_sold"), F.max("inventory").alias("inventory"), F.sum("n_rows").alias("n_rows"),
         F.sum("price_total").alias("price_total"),
-        F.sum((F.col("competitor_price").cast("decimal(18,2)") * F.col("n_rows")).cast("decimal(28,2)")).alias("competitor_total"),
+        F.sum(to_cents(F.col("competitor_price")) * F.col("n_rows")).alias("competitor_total"),
     )
     return days.select(
         "product_id", "category", "date", "units_sold", features.mean_price().alias("price"),
-        (F.col("competitor_total").cast("double") / F.col("n_rows")).alias("competitor_price"), "inventory",
+        (from_cents(F.col("competitor_total")) / F.col("n_rows")).alias("competitor_price"), "inventory",
     )
 
 

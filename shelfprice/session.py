@@ -13,6 +13,9 @@ DEFAULT_CONF = {
     # split a skewed join side even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # a generated method above 8,000 bytes of code is never compiled by the JVM, so a
+    # stage that large runs faster as separate, smaller projections
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
 

@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfprice.functions import cents, holiday_flag, round_to, seasonal_factor, weekend_flag
+from shelfprice.functions import cents, from_cents, holiday_flag, round_to, seasonal_factor, to_cents, weekend_flag
 from shelfprice.operators.joins import lookup
+from shelfprice.operators.staging import spread
 
 # Columns that, in this order, make the latest line of a product unambiguous.
 LATEST_FIRST = ["date", "order_id", "line_no", "supplier_id", "units_sold", "price"]
@@ -27,8 +28,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+def lines(spark: SparkSession, folder: str, shared: bool = False) -> DataFrame:
+    """One row per sold line; ``shared`` spreads a scan of few splits over all cores."""
+    item = table(spark, folder, "lineitem")
+    return (spread(item) if shared else item).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("product_id"),
@@ -73,15 +76,15 @@ def with_calendar(rows: DataFrame) -> DataFrame:
     })
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
-    return with_calendar(with_product(lines(spark, folder), products(spark, folder)))
+def sales(spark: SparkSession, folder: str, shared: bool = False) -> DataFrame:
+    return with_calendar(with_product(lines(spark, folder, shared), products(spark, folder)))
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with purchase history; orders are aggregated before the join."""
     history = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("customer_id")).agg(
         F.count("*").alias("purchase_count"),
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spend"),
+        from_cents(F.sum(to_cents(F.col("o_totalprice")))).alias("spend"),
     )
     most = history.agg(F.max("purchase_count").alias("most")).scalar()
     people = table(spark, folder, "customer").select(
@@ -148,7 +151,7 @@ def buyers(spark: SparkSession, folder: str) -> DataFrame:
 def messy_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Sales rows with the faults a profile has to find: gaps and negative prices."""
     flag, status = F.col("return_flag"), F.col("line_status")
-    return sales(spark, folder).select(
+    return sales(spark, folder, shared=True).select(
         "product_id", "date", "category",
         F.when((F.col("tax_rate") == 0) & (status == "F"), -F.col("price")).otherwise(F.col("price")).alias("price"),
         F.when(flag != "R", F.col("cost")).alias("cost"),
@@ -162,7 +165,7 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     """The sales rows as an export of mixed text: three date shapes, signs, blanks."""
     flag, status = F.col("return_flag"), F.col("line_status")
     money = F.concat(F.lit("$"), F.format_number("price", 2))
-    return with_product(lines(spark, folder), products(spark, folder)).select(
+    return with_product(lines(spark, folder, shared=True), products(spark, folder)).select(
         "order_id", "line_no", "supplier_id",
         F.when(F.col("discount") == 0.1, F.lit(" ")).otherwise(F.col("product_id").cast("string")).alias("product_id"),
         F.when(flag == "A", F.date_format("date", "yyyy-MM-dd"))
