@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
-UNDECODABLE = "�"
 
 
 class DatasetError(ValueError):
@@ -25,8 +24,8 @@ def clean_headers(names: list[str]) -> list[str]:
 def _pick_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode as UTF-8."""
     lines = spark.read.text(path)
-    broken = lines.where(F.col("value").contains(UNDECODABLE)).limit(1).count()
-    return "ISO-8859-1" if broken else "UTF-8"
+    broken = lines.where(~F.is_valid_utf8("value"))
+    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
 def read_lenient_csv(
