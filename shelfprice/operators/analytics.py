@@ -195,7 +195,10 @@ def category_totals(totals: DataFrame) -> DataFrame:
 
 
 def top_products(totals: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` products with the highest profit and with the highest revenue, and the lowest of each."""
+    """The ``n`` products with the highest profit and with the highest revenue, and the lowest of each.
+
+    Each board is a limited sort, of which a task keeps ``n`` rows.
+    """
     parts = []
     for measure in ("profit", "revenue"):
         for board, order, size in ((f"top_{measure}", F.desc(measure), n), (f"lowest_{measure}", F.asc(measure), 1)):
@@ -209,26 +212,26 @@ def top_products(totals: DataFrame, n: int = 5) -> DataFrame:
     return result
 
 
-def overview(cells: DataFrame, customers: DataFrame, days: int = 30) -> DataFrame:
-    """Headline figures of the table and of its last ``days`` days, in one row."""
-    last = cells.agg(F.max("date").alias("last")).scalar()
-    recent = F.col("date") >= F.date_sub(last, days)
-    people = customers.agg(F.count("*").alias("n")).scalar()
-    per_product = cells.groupBy("product_id").agg(
-        F.sum("n_rows").alias("n_rows"),
-        F.max("date").alias("last_date"),
-        F.sum(F.when(recent, F.col("units"))).alias("units"),
-        F.sum(F.when(recent, F.col("n_rows"))).alias("recent_rows"),
-        F.sum(F.when(recent, F.col("price_total"))).alias("price_total"),
+def overview(rows: DataFrame, customers: DataFrame, days: int = 30) -> DataFrame:
+    """Headline figures of the sales rows and of their last ``days`` days, in one row.
+
+    The rows are totalled per day; the window over all of them sees calendar days.
+    """
+    by_day = rows.groupBy("date").agg(
+        F.count("*").alias("n_rows"), F.sum("units_sold").alias("units"), F.sum(to_cents(F.col("price"))).alias("price_total")
     )
-    return per_product.agg(
-        F.max("last_date").alias("generated_on"),
-        F.count("*").alias("products"),
+    last = F.max("date").over(Window.partitionBy(F.lit(1)))
+    recent = F.col("date") >= F.date_sub("last", days)
+    people = customers.agg(F.count("*").alias("n")).scalar()
+    products = rows.select("product_id").distinct().agg(F.count("*").alias("n")).scalar()
+    sold = F.sum(F.when(recent, F.col("n_rows")))
+    return by_day.withColumn("last", last).agg(
+        F.max("last").alias("generated_on"),
         F.sum("n_rows").alias("total_sales_rows"),
-        F.sum("units").alias("sales_last_30d"),
-        round_to(safe_ratio(F.sum("units"), F.sum("recent_rows")), 1).alias("avg_daily_units"),
-        round_to(safe_ratio(from_cents(F.sum("price_total")), F.sum("recent_rows")), 2).alias("avg_price"),
-    ).withColumn("customers", people)
+        F.sum(F.when(recent, F.col("units"))).alias("sales_last_30d"),
+        round_to(safe_ratio(F.sum(F.when(recent, F.col("units"))), sold), 1).alias("avg_daily_units"),
+        round_to(safe_ratio(from_cents(F.sum(F.when(recent, F.col("price_total")))), sold), 2).alias("avg_price"),
+    ).withColumns({"products": products, "customers": people})
 
 
 def price_trend(cells: DataFrame) -> DataFrame:

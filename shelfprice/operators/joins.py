@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows, so that at most
-# 1 / HOT_SHARE keys can be hot: the list of them has a proven, small size.
+# A key is hot when it holds more than this share of the rows, so at most
+# 1 / HOT_SHARE keys are hot. The sketch tracks ten times as many.
 HOT_SHARE = 1e-3
+SKETCH_ITEMS = 10_000
 SPREAD = 64
 
 
@@ -33,19 +34,27 @@ def lookup(rows: DataFrame, dimension: DataFrame, key: str, how: str = "inner")
     return spread_lookup(rows, dimension, key, how)
 
 
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than ``HOT_SHARE`` of the rows, from a frequent-items sketch.
+
+    One pass over the key column without a shuffle. The list decides only how rows are
+    spread, never which rows match, so a sketch is exact enough.
+    """
+    most = int(1 / HOT_SHARE)
+    seen = rows.agg(F.expr(f"approx_top_k(`{key}`, {most}, {SKETCH_ITEMS})").alias("top"), F.count(key).alias("n")).first()
+    return [entry["item"] for entry in seen["top"] if entry["count"] > seen["n"] * HOT_SHARE]
+
+
 def spread_lookup(rows: DataFrame, dimension: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """The shuffled form of :func:`lookup`; the result is the same as a plain join."""
-    total = rows.agg(F.count(key).alias("n")).scalar()
-    hot = (
-        rows.groupBy(key).agg(F.count(key).alias("_n"))
-        .where(F.col("_n") > total * HOT_SHARE)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    hot = F.broadcast(hot)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int")).otherwise(0)
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    right = dimension.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    """The shuffled form of :func:`lookup`; the result is the same as a plain join.
+
+    Rows without a key match nothing and are spread as well.
+    """
+    hot = F.col(key).isin(hot_keys(rows, key))
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.withColumn("_salt", F.when(hot | F.col(key).isNull(), place).otherwise(0))
+    right = dimension.withColumn("_salt", F.explode(copies))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

@@ -73,7 +73,7 @@ UNION ALL (SELECT 'worst_branch', branch AS name, total_sales FROM branch_report
 """, "till", line_report=LINE_REPORT, branch_report=BRANCH_REPORT))
 def best_worst_lines(spark, folder):
     boards = []
-    for kind, report, name in (("line", product_lines(spark, folder), "product_line"), ("branch", branches(spark, folder), "branch")):
+    for kind, report, name in (("line", stage(product_lines(spark, folder)), "product_line"), ("branch", stage(branches(spark, folder)), "branch")):
         named = report.select(F.col(name).alias("name"), "total_sales")
         for rank, order in (("best", F.desc("total_sales")), ("worst", F.asc("total_sales"))):
             boards.append(named.orderBy(order, "name").limit(3).select(F.lit(f"{rank}_{kind}").alias("board"), "name", "total_sales"))
@@ -221,7 +221,7 @@ UNION ALL (SELECT 'top_revenue', product_id, profit, revenue FROM totals ORDER B
 UNION ALL (SELECT 'lowest_revenue', product_id, profit, revenue FROM totals ORDER BY revenue, product_id LIMIT 1)
 """, "totals"))
 def top_products(spark, folder):
-    return analytics.top_products(analytics.product_totals(_cells(spark, folder)))
+    return analytics.top_products(stage(analytics.product_totals(_cells(spark, folder))))
 
 
 @query(sql(f"""
@@ -232,7 +232,7 @@ SELECT max(date) AS generated_on, count(DISTINCT product_id) AS products, CAST(s
 FROM (SELECT *, date >= (SELECT max(date) - 30 FROM cells) AS recent FROM cells)
 """, "cells"))
 def overview(spark, folder):
-    return analytics.overview(_cells(spark, folder), retail.table(spark, folder, "customer"))
+    return analytics.overview(retail.lines(spark, folder), retail.table(spark, folder, "customer"))
 
 
 @query(sql(f"""

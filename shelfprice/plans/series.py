@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfprice.functions import from_cents, round_to, to_cents
 from shelfprice.operators import analytics, features
+from shelfprice.operators.staging import stage
 from shelfprice.plans.registry import query
 from shelfprice.plans.views import half_up, sql
 from shelfprice.sources import retail
@@ -174,7 +175,7 @@ def stock_cover(spark, folder):
 UNION ALL (SELECT * FROM cover WHERE stock_flag = 'over' ORDER BY days_left, product_id LIMIT 5)
 """, "sales", "cells", recent=RECENT, cover=COVER))
 def stock_alerts(spark, folder):
-    return analytics.stock_alerts(_cover(spark, folder))
+    return analytics.stock_alerts(stage(_cover(spark, folder)))
 
 
 @query(sql("SELECT * FROM cover ORDER BY days_left, product_id LIMIT 8", "sales", "cells", recent=RECENT, cover=COVER))

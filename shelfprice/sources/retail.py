@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfprice.functions import cents, from_cents, holiday_flag, round_to, seasonal_factor, to_cents, weekend_flag
 from shelfprice.operators.joins import lookup
-from shelfprice.operators.staging import spread
+from shelfprice.operators.staging import spread, stage
 
 # Columns that, in this order, make the latest line of a product unambiguous.
 LATEST_FIRST = ["date", "order_id", "line_no", "supplier_id", "units_sold", "price"]
@@ -81,11 +81,11 @@ def sales(spark: SparkSession, folder: str, shared: bool = False) -> DataFrame:
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with purchase history; orders are aggregated before the join."""
-    history = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("customer_id")).agg(
+    """Customers with purchase history; orders are aggregated once, before the join."""
+    history = stage(table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("customer_id")).agg(
         F.count("*").alias("purchase_count"),
         from_cents(F.sum(to_cents(F.col("o_totalprice")))).alias("spend"),
-    )
+    ))
     most = history.agg(F.max("purchase_count").alias("most")).scalar()
     people = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("customer_id"),

@@ -71,10 +71,14 @@ def main() -> None:
     parser = argparse.ArgumentParser()
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--folder", help="tables to use instead of those of --sf")
+    parser.add_argument("--no-broadcast", action="store_true", help="plan as if no table were small enough to broadcast")
     args = parser.parse_args()
-    folder = f"/root/testdata/sf{args.sf}"
+    folder = args.folder or f"/root/testdata/sf{args.sf}"
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
+    if args.no_broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = duck(folder)
     plans, checks = queries(), oracle_sql()
     failed = 0
