@@ -21,14 +21,18 @@ TREND_LIMIT = 0.2
 TREND_DAYS = 7
 
 
-def daily_cells(rows: DataFrame, key: str = "product_id", sums: dict | None = None) -> DataFrame:
-    """Rows, units, revenue and price total per key and day; money in cents."""
+def daily_cells(rows: DataFrame, key: str = "product_id", sums: dict | None = None, tops: dict | None = None) -> DataFrame:
+    """Rows, units, revenue and price total per key and day; money in cents.
+
+    ``sums`` and ``tops`` name further totals and maxima.
+    """
     return rows.groupBy(key, "date").agg(
         F.count("*").alias("n_rows"),
         F.sum("units_sold").alias("units"),
         F.sum(to_cents(F.col("price") * F.col("units_sold"))).alias("revenue"),
         F.sum(to_cents(F.col("price"))).alias("price_total"),
         *[F.sum(value).alias(name) for name, value in (sums or {}).items()],
+        *[F.max(value).alias(name) for name, value in (tops or {}).items()],
     )
 
 

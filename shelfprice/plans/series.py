@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfprice.functions import from_cents, round_to, to_cents
+from shelfprice.functions import round_to
 from shelfprice.operators import analytics, features
 from shelfprice.operators.staging import stage
 from shelfprice.plans.registry import query
@@ -16,31 +16,22 @@ MIN_SERIES_ROWS = 20
 
 DAILY = """
     SELECT product_id, category, date, units AS units_sold, CAST(price_total AS DOUBLE) / n_rows AS price,
-           CAST(competitor_total AS DOUBLE) / n_rows AS competitor_price, inventory
-    FROM (SELECT product_id, category, date, count(*) AS n_rows, sum(units_sold) AS units, max(inventory) AS inventory,
-                 sum(CAST(price AS DECIMAL(18,2))) AS price_total, sum(CAST(competitor_price AS DECIMAL(18,2))) AS competitor_total
-          FROM sales GROUP BY product_id, category, date)"""
+           list_price * (1.0 + tax_total / n_rows) AS competitor_price, stock + most AS inventory
+    FROM (SELECT product_id, date, count(*) AS n_rows, sum(units_sold) AS units, max(units_sold) AS most, sum(tax_rate) AS tax_total,
+                 sum(CAST(price AS DECIMAL(18,2))) AS price_total
+          FROM lines GROUP BY product_id, date) JOIN products USING (product_id)"""
 
 
 def daily_sales(spark, folder):
-    """One row per product and day, with the mean prices and the stock of the day.
+    """One row per product and day, with the day's mean prices and its highest stock.
 
-    Competitor price and stock derive from the catalogue and the tax and units of the
-    lines, so the lines are summed per product, day and tax rate before the join.
+    The lines are summed per product and day before the catalogue is joined.
     """
-    lines = retail.lines(spark, folder).groupBy("product_id", "date", "tax_rate").agg(
-        F.count("*").alias("n_rows"), F.sum("units_sold").alias("units"), F.max("units_sold").alias("most"),
-        F.sum(to_cents(F.col("price"))).alias("price_total"),
-    )
-    priced = retail.with_product(lines.withColumn("units_sold", F.col("most")), retail.products(spark, folder))
-    days = priced.groupBy("product_id", "category", "date").agg(
-        F.sum("units").alias("units_sold"), F.max("inventory").alias("inventory"), F.sum("n_rows").alias("n_rows"),
-        F.sum("price_total").alias("price_total"),
-        F.sum(to_cents(F.col("competitor_price")) * F.col("n_rows")).alias("competitor_total"),
-    )
-    return days.select(
-        "product_id", "category", "date", "units_sold", features.mean_price().alias("price"),
-        (from_cents(F.col("competitor_total")) / F.col("n_rows")).alias("competitor_price"), "inventory",
+    days = features.daily_cells(retail.lines(spark, folder), sums={"tax_total": F.col("tax_rate")}, tops={"most": F.col("units_sold")})
+    return days.join(retail.products(spark, folder), "product_id").select(
+        "product_id", "category", "date", F.col("units").alias("units_sold"), features.mean_price().alias("price"),
+        (F.col("list_price") * (F.lit(1.0) + F.col("tax_total") / F.col("n_rows"))).alias("competitor_price"),
+        (F.col("stock") + F.col("most")).alias("inventory"),
     )
 
 
@@ -60,7 +51,7 @@ FROM (SELECT *, price / avg(price) OVER (PARTITION BY product_id) AS price_ratio
              price - (SELECT avg(d.price) FROM daily d WHERE d.category = daily.category) AS price_over_cat
       FROM daily WINDOW w AS (PARTITION BY product_id ORDER BY date))
 WHERE units_lag7 IS NOT NULL
-""", "sales", daily=DAILY))
+""", "lines", "products", daily=DAILY))
 def demand_features(spark, folder):
     featured = features.demand_features(daily_sales(spark, folder))
     return featured.select(

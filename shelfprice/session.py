@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     # a generated method above 8,000 bytes of code is never compiled by the JVM, so a
     # stage that large runs faster as separate, smaller projections
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # recording the Python call site of every column costs a third of the planning time
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
