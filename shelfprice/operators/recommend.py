@@ -87,13 +87,13 @@ def sweep(state: DataFrame, fallback_price: Column | None = None) -> DataFrame:
 
 
 def choose(swept: DataFrame, objective: str = "revenue") -> DataFrame:
-    """Pick the candidate with the highest score, the lowest price on ties."""
+    """Pick the candidate with the highest score, the first and so lowest price on ties."""
     def score(c: Column) -> Column:
         if objective == "profit":
             return F.when(F.col("cost") > 0, (c["price"] - F.col("cost")) * c["demand"]).otherwise(c["revenue"])
         return c["revenue"]
 
-    ranked = F.transform("candidates", lambda c: F.struct(score(c).alias("score"), (-c["price"]).alias("tie"), c.alias("pick")))
+    ranked = F.transform("candidates", lambda c: F.struct(score(c).alias("score"), (-c["step"]).alias("tie"), c.alias("pick")))
     best = F.array_max(ranked)["pick"]
     now = demand_at(F.col("current_price"), F.col("intercept"), F.col("elasticity"), F.col("ceiling"))
     change = (F.col("recommended_price") - F.col("current_price")) / F.col("current_price") * 100.0

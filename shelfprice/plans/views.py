@@ -118,7 +118,7 @@ def sweep_views(objective: str = "revenue") -> dict[str, tuple[tuple[str, ...],
                                    + CASE WHEN r2 >= 0.3 THEN 3 WHEN r2 >= 0.1 THEN 2 ELSE 1 END
                                    + CASE WHEN elasticity BETWEEN -3.0 AND -0.3 THEN 2 ELSE 1 END
                                    + CASE WHEN cost > 0 AND current_price > cost THEN 1 ELSE 0 END) AS points FROM bounds) b
-            JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {score} DESC, price) AS place FROM swept)
+            JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {score} DESC, step) AS place FROM swept)
                   WHERE place = 1) w USING (product_id)"""),
     }
 

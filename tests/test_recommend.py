@@ -159,3 +159,10 @@ def test_discount_grid(spark):
     assert [r["price"] for r in rows] == [100.0, 95.0, 90.0, 85.0, 80.0]
     assert [r["demand"] for r in rows] == sorted(r["demand"] for r in rows)
     assert rows[0]["confidence_pct"] == 90  # near the competitor and a healthy margin, but much stock
+
+
+def test_equal_rounded_candidates_take_the_first_step(spark):
+    row = outcome(state(spark, cost=119.99, elasticity=-0.5, intercept=5.0, inventory=3.0), objective="profit")
+    scores = [(c["price"] - 119.99) * c["demand"] for c in row["candidates"]]
+    first = row["candidates"][scores.index(max(scores))]
+    assert (row["expected_revenue"], row["expected_profit"]) == (first["revenue"], first["profit"])
