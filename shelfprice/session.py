@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,20 +39,27 @@ def build_session(app_name: str = "shelfprice", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
-    may fall back to a folder of this machine.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose tasks all run
+    in the driver's own process may fall back to a folder of this machine; it is removed
+    when Python ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    shared = tempfile.mkdtemp(prefix="shelfprice-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if context.applicationId not in _LOCAL_FOLDERS:
+        folder = tempfile.mkdtemp(prefix="shelfprice-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_FOLDERS[context.applicationId] = folder
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def enable_checkpoints(spark: SparkSession) -> None:
