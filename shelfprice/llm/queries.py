@@ -2,21 +2,71 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfprice.llm import quality_rules
+from shelfprice.llm import (
+    fingerprints, license_scan, mixing, near_dedup, packing, pseudonyms, quality_rules, url_filter,
+)
 from shelfprice.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
+#: Key of the pseudonyms; a deployment sets its own.
+PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "change-me")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+def op2_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its private strings replaced, and how many of each kind there were."""
+    return pseudonyms.pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix of sources takes of every document."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    return fingerprints.edited_pairs(table(spark, folder, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page by rules and by the trust of its host."""
+    return url_filter.judged(table(spark, folder, "pages"))
+
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of every document, whether a base rule fails, and whether it is kept."""
     return quality_rules.quality(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op7_quality_rules,)}
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses that the sentences of every document name."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (
+    op1_near_dedup, op2_pseudonyms, op3_mixing, op4_fingerprints, op5_url_filter, op7_quality_rules,
+    op8_license_scan, op9_packing,
+)}
 
 ORACLE_SQL: dict[str, str] = {}
