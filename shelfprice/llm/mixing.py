@@ -33,17 +33,23 @@ from shelfprice.operators.staging import stage
 
 MOST_SOURCES = 100_000
 CELL_BITS, RANK_BITS = 12, 48
+TAKING = ["scale", "cut", "short", "late_cut"]
 
 
 @dataclass
 class Share:
-    """The mix of one source: expected copies are ``scale`` times the level, ranks up to ``cut`` are taken."""
+    """The mix of one source: expected copies are ``scale`` times the level.
+
+    Ranks up to ``cut`` are taken, and up to ``late_cut`` those of at most ``short`` words.
+    """
 
     source: str | None
     size: int
     target: float
     scale: float = 0.0
     cut: int = -1
+    short: int = 0
+    late_cut: int = -1
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -101,50 +107,78 @@ def _drawn(seed: int) -> Column:
 def _with_shares(rows: DataFrame, shares: list[Share], columns: list[str]) -> DataFrame:
     """``rows`` joined to their source's share, whose columns start with ``mix_``."""
     session = rows.sparkSession
-    kinds = {"size": "long", "target": "double", "scale": "double", "cut": "long"}
+    kinds = {"target": "double", "scale": "double"}
     table = session.createDataFrame(
         [(s.source, *[getattr(s, c) for c in columns]) for s in shares],
-        "mix_source string, " + ", ".join(f"mix_{c} {kinds[c]}" for c in columns))
+        "mix_source string, " + ", ".join(f"mix_{c} {kinds.get(c, 'long')}" for c in columns))
     return rows.join(table, F.col("source_").eqNullSafe(F.col("mix_source")), "left")
 
 
-def _cuts(sizes: DataFrame, shares: list[Share], most: float) -> None:
-    """Sets the rank up to which each source takes one more copy."""
+def _ranked(sizes: DataFrame, shares: list[Share], most: float) -> DataFrame:
+    """Rank of every row that one more copy may be taken of, and the words that this takes on average."""
     expected = _expected(F.col("size_"), F.col("mix_scale"), most)
     part = expected - F.floor(expected)
-    ranked = stage(
-        _with_shares(sizes, shares, ["scale"]).withColumn("part_", part).where("part_ > 0 AND size_ > 0")
-        .select("source_", "size_", _rank(F.col("part_"), F.col("drawn_")).alias("rank_"),
-                (F.col("part_") * F.col("size_")).alias("due_")))
-    due = {r["source_"]: r["due"] for r in ranked.groupBy("source_").agg(
-        F.sum(F.round(F.col("due_") * 1000).cast("long")).alias("due")).collect()}  # one row per source
-    at = {s.source: (0, 0.0) for s in shares if s.source in due}  # cell and words before it
-    session, cell = sizes.sparkSession, None
+    return _with_shares(sizes, shares, ["scale"]).withColumn("part_", part).where("part_ > 0 AND size_ > 0").select(
+        "source_", "size_", _rank(F.col("part_"), F.col("drawn_")).alias("rank_"),
+        F.round(F.col("part_") * F.col("size_") * 1000).cast("long").alias("due_"))
+
+
+def _cut(ranked: DataFrame, wanted: dict[str | None, float]) -> dict[str | None, tuple[int, float]]:
+    """Per source the rank up to which rows have about the wanted words, and the words up to there.
+
+    The last rank is taken if its middle lies before the wanted sum. ``ranked`` has the columns
+    ``source_``, ``size_`` and ``rank_``.
+    """
+    session = ranked.sparkSession
+    at = {source: (0, 0) for source in wanted}  # cell that the sum ends in, words before it
+    cut = {source: (-1, 0.0) for source in wanted}
     for shift in range(RANK_BITS - CELL_BITS, -1, -CELL_BITS):
+        if not at:
+            break
         limits = session.createDataFrame(
-            [(source, at[source][0], due[source] / 1000 - at[source][1]) for source in at],
-            "mix_source string, above_ long, left_ double") if at else None
-        if limits is None:
-            return
+            [(source, cell, float(wanted[source] - before)) for source, (cell, before) in at.items()],
+            "mix_source string, above_ long, left_ double")
         cells = (
             ranked.join(limits, F.col("source_").eqNullSafe(F.col("mix_source")))
             .where(F.shiftright("rank_", shift + CELL_BITS) == F.col("above_"))
             .groupBy("source_", "left_", F.shiftright("rank_", shift).alias("cell_")).agg(F.sum("size_").alias("words_")))
         window = Window.partitionBy("source_").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
-        cell = F.struct("cell_", "before_")
+        share = F.col("words_") / 2 if shift == 0 else F.lit(0.0)
         found = (
             cells.withColumn("before_", F.coalesce(F.sum("words_").over(window), F.lit(0)))
-            # the last cell to begin before the target; of a single rank, the last whose middle is before it
-            .where(F.col("before_") + (F.col("words_") / 2 if shift == 0 else F.lit(0.0)) <= F.col("left_"))
-            .groupBy("source_").agg(F.max(cell).alias("m")).collect())  # one row per source
-        got = {r["source_"]: (r["m"]["cell_"], r["m"]["before_"]) for r in found}
-        at = {source: (got[source][0], at[source][1] + got[source][1]) if source in got else (
-            (at[source][0] << CELL_BITS) - 1, at[source][1]) for source in at}
-        done = {source for source in at if source not in got}
-        for s in shares:
-            if s.source in at and (shift == 0 or s.source in done):
-                s.cut = ((at[s.source][0] + 1) << shift) - 1
-        at = {source: x for source, x in at.items() if source not in done}
+            .where(F.col("before_") + share <= F.col("left_"))
+            .groupBy("source_").agg(F.max(F.struct("cell_", "before_", "words_")).alias("m")).collect())  # a row per source
+        got = {r["source_"]: r["m"] for r in found}
+        for source, (cell, before) in at.items():
+            m = got.get(source)
+            if m is None:  # not even the first cell: all that is below it
+                cut[source] = ((cell << CELL_BITS << shift) - 1, float(before))
+            elif shift == 0:
+                cut[source] = (m["cell_"], float(before + m["before_"] + m["words_"]))
+        at = {source: (got[source]["cell_"], before + got[source]["before_"])
+              for source, (_, before) in at.items() if source in got}
+    return cut
+
+
+def _set_cuts(sizes: DataFrame, shares: list[Share], most: float) -> None:
+    """Sets the rank up to which each source takes one more copy.
+
+    One long document at the cut can leave a source short. What is missing is then taken, in
+    the same order, from the later documents that are not longer than it.
+    """
+    ranked = stage(_ranked(sizes, shares, most))
+    due = {r["source_"]: r["due"] / 1000 for r in ranked.groupBy("source_").agg(
+        F.sum("due_").alias("due")).collect()}  # one row per source
+    first = _cut(ranked, due)
+    missing = {source: due[source] - words for source, (_, words) in first.items() if due[source] > words}
+    for s in shares:
+        s.cut = first.get(s.source, (-1, 0.0))[0]
+        s.short = int(missing.get(s.source, 0.0))
+    later = _with_shares(ranked, shares, ["cut", "short"]).where("rank_ > mix_cut AND size_ <= mix_short").select(
+        "source_", "size_", "rank_")
+    second = _cut(later, missing)
+    for s in shares:
+        s.late_cut = second.get(s.source, (-1, 0.0))[0]
 
 
 def shares_of(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> list[Share]:
@@ -162,14 +196,16 @@ def shares_of(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: flo
     shares = [Share(r["source_"], n, t, scale_for(r["levels_"], t, most))
               for r, n, t in zip(found, totals, wanted, strict=True)]
     if shares:
-        _cuts(sizes, shares, most)
+        _set_cuts(sizes, shares, most)
     return shares
 
 
 def _copies(most: float) -> Column:
     expected = _expected(F.col("size_"), F.col("mix_scale"), most)
     part = expected - F.floor(expected)
-    extra = (part > 0) & (_rank(part, F.col("drawn_")) <= F.col("mix_cut"))
+    rank = _rank(part, F.col("drawn_"))
+    late = (rank <= F.col("mix_late_cut")) & (F.col("size_") <= F.col("mix_short"))
+    extra = (part > 0) & ((rank <= F.col("mix_cut")) | late)
     return F.when(F.col("size_") > 0, F.floor(expected) + F.when(extra, 1).otherwise(0)).otherwise(0).cast("long")
 
 
@@ -178,7 +214,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     shares = shares_of(docs, weights, most, seed)
     rows = docs.select("doc_id", F.col("source").alias("source_"), word_count(F.col("text")).alias("size_"),
                        _drawn(seed).alias("drawn_"))
-    return _with_shares(rows, shares, ["size", "target", "scale", "cut"]).select(
+    return _with_shares(rows, shares, ["size", "target", *TAKING]).select(
         "doc_id", F.col("size_").alias("size"), F.col("mix_size").alias("source_size"),
         F.col("mix_target").alias("target"), (_copies(most) * F.col("size_")).alias("taken"),
         F.col("source_").alias("source"), _copies(most).alias("copies"))
@@ -188,6 +224,6 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
     shares = shares_of(docs, weights, most, seed)
     rows = packed(docs, source_=F.col("source"), size_=word_count(F.col("text")), drawn_=_drawn(seed))
-    taken = _with_shares(rows, shares, ["scale", "cut"]).select("row_", _copies(most).alias("copies_"))
+    taken = _with_shares(rows, shares, TAKING).select("row_", _copies(most).alias("copies_"))
     return taken.where("copies_ > 0").select(
         "row_", F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy_")).select("row_.*")
