@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfprice.llm import (
-    fingerprints, license_scan, mixing, near_dedup, packing, pseudonyms, quality_rules, url_filter,
+    fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, url_filter,
 )
 from shelfprice.llm.common import table
 
@@ -64,9 +64,14 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-likelihood of every whole document under the language model and under word frequencies."""
+    return lm_scoring.scores(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op1_near_dedup, op2_pseudonyms, op3_mixing, op4_fingerprints, op5_url_filter, op7_quality_rules,
-    op8_license_scan, op9_packing,
+    op8_license_scan, op9_packing, op10_lm_scoring,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
