@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfprice.llm import (
-    fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, url_filter,
+    fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, substring_dedup,
+    url_filter,
 )
 from shelfprice.llm.common import table
 
@@ -49,6 +50,11 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document, how many repeat earlier text, and a checksum of those that are kept."""
+    return substring_dedup.removed(table(spark, folder, "documents"), with_text=False).drop("kept")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of every document, whether a base rule fails, and whether it is kept."""
     return quality_rules.quality(table(spark, folder, "documents"))
@@ -70,8 +76,8 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
-    op1_near_dedup, op2_pseudonyms, op3_mixing, op4_fingerprints, op5_url_filter, op7_quality_rules,
-    op8_license_scan, op9_packing, op10_lm_scoring,
+    op1_near_dedup, op2_pseudonyms, op3_mixing, op4_fingerprints, op5_url_filter, op6_substring_dedup,
+    op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring,
 )}
 
 ORACLE_SQL: dict[str, str] = {}

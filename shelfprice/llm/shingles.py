@@ -37,12 +37,21 @@ class WordHashes:
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` words; a shorter, not empty text is one run."""
+    """Hash of every run of ``width`` words; a shorter, not empty text is one run.
+
+    Runs of 1, 2, 4, ... words are put together, so the work per word is logarithmic in the width.
+    """
     n = len(hashes)
     if n == 0:
         return hashes
     width = min(width, n)
-    out = np.zeros(n - width + 1, np.uint64)
-    for k in range(width):
-        out += hashes[k:n - width + 1 + k] * np.uint64(pow(_STEP, k + 1, 1 << 64))
-    return mixed(out)
+    count = n - width + 1
+    run, size, out, done = hashes, 1, np.zeros(count, np.uint64), 0
+    while True:
+        if width & size:
+            out = out * np.uint64(pow(_STEP, size, 1 << 64)) + run[done:done + count]
+            done += size
+        if done == width:
+            return mixed(out)
+        run = run[:-size] * np.uint64(pow(_STEP, size, 1 << 64)) + run[size:]
+        size *= 2
