@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfprice.llm import quality_rules
+from shelfprice.llm import mixing, near_dedup, packing, pseudonyms, quality_rules
+from shelfprice.llm.queries import PSEUDONYM_KEY, tokenizer_path
 from shelfprice.operators.staging import stage
 
 
@@ -16,9 +17,35 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", good_quality)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.one_of_each(docs)
 
-#: SQL cannot express the stages.
+
+def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, private strings replaced."""
+    return pseudonyms.replace_in(docs, PSEUDONYM_KEY)
+
+
+def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    return mixing.repeated(docs)
+
+
+def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 2,048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", good_quality),
+    ("near_dedup", without_near_copies),
+    ("pseudonyms", with_pseudonyms),
+    ("mixing", in_proportion),
+    ("packing", in_sequences),
+]
+
+#: SQL cannot express near-dedup by sampling, keyed pseudonyms and the linear program.
 ORACLE_SQL = None
 
 
