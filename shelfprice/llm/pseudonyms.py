@@ -293,5 +293,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
 def replace_in(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and ``n_chars`` of the new text; all other columns as they are."""
-    made = with_pseudonyms(F.col("text"), key)["text"]
-    return docs.withColumn("text", made)
+    changed = docs.withColumn("text", with_pseudonyms(F.col("text"), key)["text"])
+    if "n_chars" not in docs.columns:
+        return changed
+    return changed.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
