@@ -35,7 +35,7 @@ _OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
 PATTERNS = {
     "email": f"[{_WORD}._%+-]+@[{_WORD}-]+(?:\\.[{_WORD}-]+)+",
     "secret": "(?:[0-9a-fA-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][0-9A-Za-z_-]{16,})",
-    "ip": f"{_OCTET}(?:\\.{_OCTET}){{3}}",
+    "ip": f"(?<!\\d\\.){_OCTET}(?:\\.{_OCTET}){{3}}(?!\\.\\d)",
     "date": "(?:\\d{4}-\\d{2}-\\d{2}|\\d{2}/\\d{2}/\\d{4}|\\d{2}\\.\\d{2}\\.\\d{4})",
     "ssn": "\\d{3}-\\d{2}-\\d{4}",
     "phone": "(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{3}\\)[ .-]?|\\d{3}[ .-])\\d{3}[ .-]\\d{4}|\\+\\d{1,3}(?:[ .-]?\\d){8,12}",
