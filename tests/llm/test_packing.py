@@ -75,7 +75,7 @@ def test_column_generation_meets_the_bound():
     patterns, multiples = packing.column_generation(widths, demand, 10)
     assert np.allclose(patterns @ multiples, demand)
     assert (widths @ patterns <= 10).all()
-    assert multiples.sum() == pytest.approx(27.5, abs=0.6)  # 7+3, 5+5, 3+3+3
+    assert multiples.sum() == pytest.approx(80 / 3, abs=0.01)  # 10 of 7+3, 10 of 5+5, 20/3 of 3+3+3
     plan = packing.rounded(widths, demand, patterns, multiples, 10)
     assert sum(t * p for p, t in plan).tolist() == demand.tolist()
 
@@ -85,9 +85,11 @@ def test_plans_take_every_piece_once(seed):
     rng = np.random.default_rng(seed)
     widths = np.sort(rng.choice(np.arange(1, 257), 60, replace=False))
     demand = rng.integers(1, 400, 60).astype(float)
-    plan = packing.rounded(widths, demand, *packing.column_generation(widths, demand, 256), 256)
+    patterns, multiples = packing.column_generation(widths, demand, 256)
+    plan = packing.rounded(widths, demand, patterns, multiples, 256)
     assert sum(t * p for p, t in plan).tolist() == demand.tolist()
     assert all((p * widths).sum() <= 256 for p, _ in plan)
-    assert sum(t for _, t in plan) <= 1.03 * (widths * demand).sum() / 256 + 5
+    assert multiples.sum() >= (widths * demand).sum() / 256 - 1e-6
+    assert sum(t for _, t in plan) <= multiples.sum() + 30  # what rounding 60 patterns can cost
     for width, starts, firsts, counts in packing.slots(widths, plan):
         assert starts == sorted(starts) and len(starts) == len(firsts) == len(counts)
