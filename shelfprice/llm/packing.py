@@ -21,6 +21,7 @@ itself; null ids are allowed; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,41 +33,75 @@ from pyspark.sql import functions as F
 from shelfprice.operators.staging import stage
 
 END_ID = 1
-MOST_CACHED = 300_000
+MOST_CACHED = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+class Remembered(dict):
+    """A mapping that forgets what was not used lately: the older of two generations is dropped when the newer is full."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self._make, self._most, self._older = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self._most:
+            self._older = dict(self)
+            self.clear()
+        value = self._older.get(key)
+        if value is None:
+            value = self._make(key)
+        self[key] = value
+        return value
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian bytes, put together from those of their words.
 
     The tokenizer's normaliser and splitting never join characters across ASCII white space,
-    so a text's ids are those of its words in a row; the ids of words are kept, up to a
-    number, and new words of a batch are encoded together.
+    so a text's ids are those of its words in a row, and words are remembered. Most words are
+    Latin letters with punctuation behind; these two parts are tokenized apart, so a word's
+    forms share their work. Whether that holds for the tokenizer is tried when it is loaded.
     """
 
+    TRIAL = ("Hello", "w\u00d6rld,", "x...", "THE!!", "\u00e9l\u00e8ve", "***", "a-", "don'", "")
+    PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~']*)")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            known = self._known
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                if len(known) > MOST_CACHED:
-                    known.clear()
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                for k in range(0, len(new), 20_000):
-                    part = new[k:k + 20_000]
-                    encoded = self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                    known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
-                yield b"".join([known[w] for w in words])
+        self._tokenize = self._tokenizer.model.tokenize
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        others = iter(range(256, 512))
+        self._characters = [chr(b) if b in printed else chr(next(others)) for b in range(256)]
+        self._parts = Remembered(self._part, MOST_CACHED)
+        self._words = Remembered(self._word, MOST_CACHED)
+        self._split = all(self._in_parts(w) == self._whole(w) for w in self.TRIAL)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if not part:
+            return b""
+        characters = "".join([self._characters[b] for b in part.encode()])
+        return np.array([t.id for t in self._tokenize(characters)], dtype="<u4").tobytes()
+
+    def _in_parts(self, word: str) -> bytes | None:
+        found = self.PARTS.fullmatch(word)
+        return self._parts[found[1].lower()] + self._parts[found[2]] if found else None
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        found = self._in_parts(text) if self._split else None
+        return self._whole(text) if found is None else found
+
+    def encode(self, text: str | None) -> bytes:
+        words = (text or "").encode().split()
+        return b"".join(map(self._words.__getitem__, words))
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -85,8 +120,8 @@ def cut_into_pieces(docs: DataFrame, path: str, length: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
-            for doc_id, tokens in zip(ids, encode(texts), strict=True):
-                tokens += end
+            for doc_id, text in zip(ids, texts, strict=True):
+                tokens = encode(text) + end
                 n = len(tokens) // 4
                 rows += [(doc_id, k, min(length, n - k), zlib.crc32(tokens[4 * k:4 * (k + length)]), n)
                          for k in range(0, n, length)]
