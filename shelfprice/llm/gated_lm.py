@@ -15,9 +15,9 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shape:
-    words: int = 1024
+    words: int = 512
     per_class: int = 32
-    hidden: int = 24
+    hidden: int = 16
 
     @property
     def classes(self) -> int:
@@ -56,27 +56,28 @@ def from_vector(vector: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    return x
 
 
 def states(w: Weights, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
     """States after each step of a window (steps x lanes); ``fresh`` marks steps that begin a text."""
     h = w["recur"].shape[0]
-    out = np.empty((*inputs.shape, h), np.float32)
-    kept = []
+    out = np.empty((*inputs.shape, h), w["recur"].dtype)
+    given, begins = w["input"][inputs] + w["gate_bias"], fresh.any(axis=1)
+    half, kept = w["recur"].dtype.type(0.5), []
     for t in range(len(inputs)):
-        before = np.where(fresh[t][:, None], np.float32(0), state)
-        x, r_in = w["input"][inputs[t]] + w["gate_bias"], before @ w["recur"]
-        gates = _sigmoid(x[:, :2 * h] + r_in[:, :2 * h])
+        before = state * ~fresh[t][:, None] if begins[t] else state
+        r_in, x = before @ w["recur"], given[t]
+        gates = np.tanh(half * (x[:, :2 * h] + r_in[:, :2 * h]))  # sigmoid, by the tangent
+        gates *= half
+        gates += half
         z, r, n_in = gates[:, :h], gates[:, h:], r_in[:, 2 * h:]
         n = np.tanh(x[:, 2 * h:] + r * n_in)
-        state = n + z * (before - n)
+        state = z * (before - n)
+        state += n
         out[t] = state
         if keep:
             kept.append((before, z, r, n, n_in))
@@ -87,50 +88,55 @@ def log_probabilities(w: Weights, hidden: np.ndarray, target: np.ndarray, shape:
     """Natural log-probability of each target word (of the other words: of their class) given its state.
 
     With ``grads`` also adds the gradients of the negative sum, and returns that of the states.
+    The work is done in order of the targets' classes, so those of a class lie together.
     """
-    classes = target // shape.per_class  # the other words get the last class
+    order = np.argsort(target // shape.per_class, kind="stable")  # the other words get the last class
+    hidden, target = hidden[order], target[order]
+    classes, rows = target // shape.per_class, np.arange(len(target))
     log_p = _log_softmax(hidden @ w["class"] + w["class_bias"])
-    rows = np.arange(len(target))
-    out = log_p[rows, classes]
-    slope = None
+    found, slope = log_p[rows, classes], None
     if grads is not None:
         d = np.exp(log_p)
         d[rows, classes] -= 1
         grads["class"] += hidden.T @ d
         grads["class_bias"] += d.sum(axis=0)
         slope = d @ w["class"].T
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        own = order[ends[k]:ends[k + 1]]
-        if len(own):
-            inside = _log_softmax(hidden[own] @ w["word"][k].T + w["word_bias"][k])
-            word = target[own] - k * shape.per_class
-            out[own] += inside[np.arange(len(own)), word]
-            if grads is not None:
-                d = np.exp(inside)
-                d[np.arange(len(own)), word] -= 1
-                grads["word"][k] += d.T @ hidden[own]
-                grads["word_bias"][k] += d.sum(axis=0)
-                slope[own] += d @ w["word"][k]
-    return out, slope
+    ends = np.searchsorted(classes, np.arange(shape.classes + 1))
+    for k in np.flatnonzero(np.diff(ends)):
+        own = slice(ends[k], ends[k + 1])
+        inside = _log_softmax(hidden[own] @ w["word"][k].T + w["word_bias"][k])
+        word, row = target[own] - k * shape.per_class, rows[:ends[k + 1] - ends[k]]
+        found[own] += inside[row, word]
+        if grads is not None:
+            d = np.exp(inside, out=inside)
+            d[row, word] -= 1
+            grads["word"][k] += d.T @ hidden[own]
+            grads["word_bias"][k] += d.sum(axis=0)
+            slope[own] += d @ w["word"][k]
+    back = np.empty_like(order)
+    back[order] = rows
+    return found[back], slope[back] if slope is not None else None
 
 
 def _back(w: Weights, inputs: np.ndarray, fresh: np.ndarray, kept: list, slope: np.ndarray, grads: Weights) -> None:
     """Back-propagation through the steps of one window."""
     steps, lanes, h = slope.shape
-    later = np.zeros((lanes, h), np.float32)
-    to_input = np.empty((steps, lanes, 3 * h), np.float32)
+    later = np.zeros((lanes, h), slope.dtype)
+    to_input = np.empty((steps, lanes, 3 * h), slope.dtype)
     for t in range(steps - 1, -1, -1):
         before, z, r, n, n_in = kept[t]
         d = slope[t] + later
-        d_n = d * (1 - z) * (1 - n * n)
-        d_z = d * (before - n) * z * (1 - z)
-        d_r = d_n * n_in * r * (1 - r)
-        to_input[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-        to_recur = np.concatenate([d_z, d_r, d_n * r], axis=1)
+        closed, here = 1 - z, to_input[t]
+        d_n = d * closed * (1 - n * n)
+        here[:, :h] = d * (before - n) * z * closed
+        here[:, h:2 * h] = d_n * n_in * r * (1 - r)
+        here[:, 2 * h:] = d_n
+        to_recur = here.copy()
+        to_recur[:, 2 * h:] *= r
         grads["recur"] += before.T @ to_recur
-        later = np.where(fresh[t][:, None], np.float32(0), d * z + to_recur @ w["recur"].T)
+        later = d * z
+        later += to_recur @ w["recur"].T
+        later[fresh[t]] = 0
     flat, ids = to_input.reshape(-1, 3 * h), inputs.ravel()
     grads["gate_bias"] += flat.sum(axis=0)
     order = np.argsort(ids, kind="stable")
@@ -141,7 +147,7 @@ def _back(w: Weights, inputs: np.ndarray, fresh: np.ndarray, kept: list, slope:
 class Trainer:
     """Adam on windows of ``steps`` words of many texts side by side."""
 
-    def __init__(self, weights: Weights, shape: Shape, rate: float = 0.01, steps: int = 16):
+    def __init__(self, weights: Weights, shape: Shape, rate: float = 0.01, steps: int = 32):
         self.weights = {k: v.copy() for k, v in weights.items()}
         self._shape, self._rate, self.steps = shape, rate, steps
         self._mean = {k: np.zeros_like(v) for k, v in weights.items()}

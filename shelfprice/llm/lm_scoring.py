@@ -35,9 +35,9 @@ from shelfprice.operators.staging import stage
 
 FREQUENT = 2e-6
 ROUNDS = 2
-LANES_TRAINING, LANES_SCORING = 128, 256
+LANES = 256
 MOST_CACHED = 500_000
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 1_000_000
 END = b"\n"  # no word has a line break
 FOLDS, HELD_OUT_FOLD = 7, 2
 
@@ -113,9 +113,6 @@ class Coder:
         try:
             return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
         except KeyError:
-            if len(known) > MOST_CACHED:
-                known.clear()
-                self.rare = []
             new = [w for w in dict.fromkeys(words) if w not in known]
             hashes = np.array([hash_of(w) for w in new], np.int64)
             at = np.minimum(np.searchsorted(self._v.sorted, hashes), len(self._v.sorted) - 1)
@@ -128,18 +125,26 @@ class Coder:
                     self.rare.append(h)
             return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
+    def forget(self) -> None:
+        """Starts a new list when many words are known; numbers given before lose their meaning."""
+        if len(self._known) > MOST_CACHED:
+            self._known.clear()
+            self.rare = []
 
-def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[range, list[list[bytes]]]]:
-    """Tokenized rows of a batch, some hundred thousand tokens at once."""
-    start, words, size = 0, [], 0
+
+def _portions(batch: pa.RecordBatch, column: int, coder: Coder) -> Iterator[tuple[range, list[np.ndarray]]]:
+    """Rows of a batch and their word numbers, about a million tokens at once."""
+    start, codes, size = 0, [], 0
     for i, text in enumerate(batch.column(column)):
-        words.append(words_of(text.as_py()))
-        size += len(words[-1])
+        codes.append(coder.code(words_of(text.as_py())))
+        size += len(codes[-1])
         if size >= TOKENS_AT_ONCE:
-            yield range(start, i + 1), words
-            start, words, size = i + 1, [], 0
-    if words:
-        yield range(start, batch.num_rows), words
+            yield range(start, i + 1), codes
+            start, codes, size = i + 1, [], 0
+            coder.forget()
+    if codes:
+        yield range(start, batch.num_rows), codes
+        coder.forget()
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> gated_lm.Weights:
@@ -152,10 +157,10 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> ga
         def train(batches: Iterator[pa.RecordBatch], start=start, rate=0.01 / (k + 1)) -> Iterator[pa.RecordBatch]:
             coder, trainer, tokens = Coder(words.value), gated_lm.Trainer(start.value, shape, rate), 0
             for batch in batches:
-                for _, portion in _portions(batch, 0):
-                    texts = [np.minimum(coder.code(w), shape.words) for w in portion]
+                for _, portion in _portions(batch, 0, coder):
+                    texts = [np.minimum(codes, shape.words) for codes in portion]
                     tokens += sum(map(len, texts))
-                    inputs, targets, fresh, _ = gated_lm.laid_out(texts, 0, LANES_TRAINING)
+                    inputs, targets, fresh, _ = gated_lm.laid_out(texts, 0, LANES)
                     trainer.learn(inputs, targets, fresh)
             if tokens:
                 yield pa.RecordBatch.from_arrays(
@@ -197,11 +202,10 @@ def scored_parts(docs: DataFrame, vocabulary: Vocabulary, weights: gated_lm.Weig
         known, w = shared.value
         coder, logs, n = Coder(known), np.log10(known.counts + 1), len(known.counts)
         for batch in batches:
-            for rows, portion in _portions(batch, 1):
+            for rows, portion in _portions(batch, 1, coder):
                 out: list[list] = [[] for _ in range(6)]
                 texts = []
-                for words in portion:
-                    codes = coder.code(words)
+                for codes in portion:
                     frequent, other = codes[codes < n], codes[(codes < n) & (codes >= shape.words)]
                     rare, times = np.unique(codes[codes >= n], return_counts=True)
                     texts.append(np.minimum(codes, shape.words))
@@ -209,7 +213,7 @@ def scored_parts(docs: DataFrame, vocabulary: Vocabulary, weights: gated_lm.Weig
                               float(logs[other].sum()), ([coder.rare[i - n] for i in rare.tolist()], times.tolist()))
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                inputs, targets, fresh, owner = gated_lm.laid_out(texts, 0, LANES_SCORING)
+                inputs, targets, fresh, owner = gated_lm.laid_out(texts, 0, LANES)
                 model = gated_lm.score(w, shape, inputs, targets, fresh, owner, len(texts)) / log(10)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(rows.start, len(rows)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
