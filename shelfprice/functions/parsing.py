@@ -13,12 +13,19 @@ SHORT_YEAR = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})(?!\d)"
 DAY_FIRST = r"^(1[3-9]|[2-9]\d)[/.-](\d{1,2})[/.-](\d{4})"
 MONTH_FIRST = r"^(0?\d|1[0-2])[/.-](\d{1,2})[/.-](\d{4})"
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
-WORDED_DATES = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
+YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})"
+WEEKDAY = r"^[A-Za-z]{3,9},\s*"
+WORDED_DATES = (
+    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "yyyyMMdd",
+)
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_number(text: Column) -> Column:
-    """Number from text such as ``$1,234.50``; blank or unreadable text gives NULL."""
-    return F.regexp_replace(text, NUMBER_NOISE, "").try_cast("double")
+    """Number from text such as ``$1,234.50``; blank or unreadable text, and one that is not finite, gives NULL."""
+    plain = F.regexp_replace(text, NUMBER_NOISE, "")
+    value = F.when(plain.rlike(NUMBER), plain.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def parse_date(text: Column) -> Column:
@@ -28,9 +35,11 @@ def parse_date(text: Column) -> Column:
     Numeric shapes are rewritten to ISO text step by step, so every pattern runs once
     per value, and only text of another shape reaches the worded formats.
     """
-    shape = F.regexp_replace(F.trim(text), SHORT_YEAR, "$1/$2/20$3")
+    text = F.regexp_replace(F.trim(text), WEEKDAY, "")
+    shape = F.regexp_replace(text, SHORT_YEAR, "$1/$2/20$3")
+    shape = F.regexp_replace(shape, YEAR_FIRST, "$1-$2-$3")
     shape = F.regexp_replace(shape, DAY_FIRST, "$3-$2-$1")
     shape = F.regexp_replace(shape, MONTH_FIRST, "$3-$1-$2")
     iso = F.regexp_extract(shape, ISO_DATE, 0)
-    worded = F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(fmt)).cast("date") for fmt in WORDED_DATES])
+    worded = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)).cast("date") for fmt in WORDED_DATES])
     return F.when(iso != "", iso.try_cast("date")).otherwise(worded)

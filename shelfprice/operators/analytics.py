@@ -137,13 +137,14 @@ def monthly(cells: DataFrame) -> DataFrame:
 def flag_extremes(groups: DataFrame, name: str, measure: str, best: str, worst: str) -> DataFrame:
     """Mark the groups with the highest and the lowest measure, the first name on ties.
 
-    ``groups`` is a finished report of a few rows (months, hours, categories), so one
-    window may span all of them; the rows behind it are not read again.
+    The two names are aggregates of ``groups``, so no task needs all groups together.
     """
-    every = Window.partitionBy(F.lit(1))
-    hi = F.min_by(name, F.struct(-F.col(measure), F.col(name))).over(every)
-    lo = F.min_by(name, F.struct(F.col(measure), F.col(name))).over(every)
-    return groups.withColumns({best: F.col(name) == hi, worst: F.col(name) == lo})
+    ends = groups.agg(
+        F.min_by(name, F.struct(-F.col(measure), F.col(name))).alias("hi"),
+        F.min_by(name, F.struct(F.col(measure), F.col(name))).alias("lo"),
+    ).select(F.struct("hi", "lo")).scalar()
+    return groups.withColumns({
+        best: F.col(name).eqNullSafe(ends.getField("hi")), worst: F.col(name).eqNullSafe(ends.getField("lo"))})
 
 
 def seasons(cells: DataFrame) -> DataFrame:

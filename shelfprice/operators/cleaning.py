@@ -138,7 +138,7 @@ def usable_rows(df: DataFrame, target: str) -> DataFrame:
     kinds = column_kinds(df)
     features = [c for c in df.columns if c != target]
     value = F.col(target).cast("string").try_cast("double")
-    valid = df.where(value.isNotNull() & ~F.isnan(value))
+    valid = df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     stats = df.agg(F.count("*").alias("n_rows")).select("n_rows")
     spread = valid.agg(
         F.count("*").alias("rows_used"),

@@ -59,12 +59,39 @@ def pooled_curve(rows: DataFrame, min_rows: int = MIN_CURVE_ROWS, **names: str)
     return finish_curve(rows.agg(*curve_aggregates(**names)), min_rows)
 
 
+def merged_moments(fits: DataFrame) -> DataFrame:
+    """Moments of all groups together, from those of the groups: the rows are not read again."""
+    n = F.col("n_obs")
+    weight = F.sum(F.when(n > 0, n))
+
+    def mean(value: Column) -> Column:
+        return F.sum(F.when(n > 0, n * value)) / weight
+
+    sums = fits.agg(
+        weight.alias("n_obs"), mean(F.col("mean_x")).alias("mean_x"), mean(F.col("mean_y")).alias("mean_y"),
+        mean(F.col("cov_xy") + F.col("mean_x") * F.col("mean_y")).alias("xy"),
+        mean(F.col("var_x") + F.col("mean_x") * F.col("mean_x")).alias("xx"),
+        mean(F.col("var_y") + F.col("mean_y") * F.col("mean_y")).alias("yy"),
+        F.max("most_units").alias("most_units"),
+    )
+    return sums.select(
+        "n_obs", "mean_x", "mean_y", "most_units",
+        (F.col("xy") - F.col("mean_x") * F.col("mean_y")).alias("cov_xy"),
+        (F.col("xx") - F.col("mean_x") * F.col("mean_x")).alias("var_x"),
+        (F.col("yy") - F.col("mean_y") * F.col("mean_y")).alias("var_y"),
+    )
+
+
 def with_pooled_fallback(curves: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Use the pooled curve where a group has none; ``kind`` tells which one it is."""
+    """Use the pooled curve where a group has none; ``kind`` tells which one it is.
+
+    A group keeps its own figures when there is no usable curve at all.
+    """
     whole = pooled.select(F.struct(*CURVE_FIELDS)).scalar()
     own = F.col("usable")
     kind = F.when(own, "product").when(whole.getField("usable"), "category").otherwise("unsupported")
-    chosen = {c: F.when(own, F.col(c)).otherwise(whole.getField(c)) for c in CURVE_FIELDS if c != "usable"}
+    pool = F.coalesce(whole.getField("usable"), F.lit(False))
+    chosen = {c: F.when(own | ~pool, F.col(c)).otherwise(whole.getField(c)) for c in CURVE_FIELDS if c != "usable"}
     return curves.withColumn("kind", kind).withColumns(chosen).withColumn("usable", F.col("kind") != "unsupported")
 
 

@@ -48,14 +48,17 @@ def action_values(rows: DataFrame) -> DataFrame:
     """Mean reward of every action in every state; 27 states by 5 actions at most.
 
     ``rows`` are historical rows with the state bins, base_price, cost, inventory,
-    demand_pressure and elasticity. The mean merges map-side, so a state that holds
-    most rows costs nothing extra.
+    demand_pressure and elasticity. Rewards are summed in whole cents, so the mean does not
+    depend on the order of the rows; the sums merge map-side, so a state that holds most
+    rows costs nothing extra.
     """
+    in_cents = F.floor(reward(F.col("multiplier")) * 100.0 + 0.5).cast("long")
+    mean = F.sum(in_cents).cast("double") / F.count(in_cents) / 100.0
     actions = F.array(*[F.struct(F.lit(i).alias("action"), F.lit(m).alias("multiplier")) for i, m in enumerate(MULTIPLIERS)])
     return (
         rows.select("*", F.inline(actions))
         .groupBy(*STATE, "action", "multiplier")
-        .agg(F.avg(reward(F.col("multiplier"))).alias("value"), F.count("*").alias("n_rows"))
+        .agg(mean.alias("value"), F.count("*").alias("n_rows"))
     )
 
 

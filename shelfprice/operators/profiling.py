@@ -228,7 +228,8 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 def latest_sample(df: DataFrame, roles: dict[str, str | None], order: list[str], n: int = 500) -> DataFrame:
     """The ``n`` latest rows (20 to 2,000) with the role columns and the first date column."""
-    n = max(20, min(int(n), 2000))
+    if not 20 <= n <= 2000:
+        raise ValueError("a sample has 20 to 2,000 rows")
     keep = [c for c in roles.values() if c]
     dated = next((c for c in df.columns if "date" in c.lower() and c not in keep), None)
     keep = [c for c in df.columns if c in keep or c == dated]

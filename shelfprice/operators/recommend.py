@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfprice.functions import cents, round_to, safe_ratio, seasonal_factor
-from shelfprice.operators.elasticity import CURVE_FIELDS, curve_aggregates, demand_at, finish_curve
+from shelfprice.operators.elasticity import (
+    CURVE_FIELDS, curve_aggregates, demand_at, finish_curve, merged_moments, with_pooled_fallback,
+)
 
 # The sweep and the business rules.
 CANDIDATES = 14
@@ -30,6 +32,9 @@ FLOOR_ABOVE_CAP = "cost_floor_above_step_cap"
 def market_state(rows: DataFrame, order: list[str], carry: list[str], group: str = "product_id", min_rows: int = 8) -> DataFrame:
     """Curve and latest row per product in one aggregation: one scan, one shuffle.
 
+    A product without a usable curve of its own gets that of all products together,
+    which is merged from the products' moments.
+
     ``order`` ranks rows from old to new; ``carry`` names the columns of the latest
     row to keep.
     """
@@ -37,7 +42,8 @@ def market_state(rows: DataFrame, order: list[str], carry: list[str], group: str
         *curve_aggregates(),
         F.max_by(F.struct("price", *carry), F.struct(*order)).alias("latest"),
     )
-    state = finish_curve(state, min_rows)
+    pooled = finish_curve(merged_moments(state.drop("latest")), min_rows)
+    state = with_pooled_fallback(finish_curve(state, min_rows), pooled)
     return state.select(group, *CURVE_FIELDS, F.col("latest.price").alias("current_price"), *[f"latest.{c}" for c in carry])
 
 

@@ -50,11 +50,15 @@ def loyalty_tier(spark, folder):
 
 
 def pressured_products(spark, folder):
-    """Recommendations with the demand pressure of each product."""
+    """Price and demand pressure of every product.
+
+    A product without a recommendation keeps its current price; ``priced_by`` says why.
+    """
     units = retail.lines(spark, folder).groupBy("product_id").agg(F.sum("units_sold").alias("units"))
     pressure = deals.with_demand_pressure(units).select("product_id", "demand_pressure")
-    return stage(recommended(spark, folder).where("supported").join(pressure, "product_id").select(
-        "product_id", "recommended_price", "competitor_price", "cost", "inventory", "demand_pressure", "current_price", "elasticity"
+    return stage(recommended(spark, folder).join(pressure, "product_id").select(
+        "product_id", F.coalesce("recommended_price", "current_price").alias("recommended_price"), "competitor_price", "cost",
+        "inventory", "demand_pressure", "current_price", "elasticity", F.col("outcome").alias("priced_by"),
     ))
 
 
@@ -68,8 +72,8 @@ PRESSURE = """
     FROM (SELECT product_id, sum(units_sold) AS units FROM lines GROUP BY product_id)"""
 REQUESTS = f"""
     SELECT order_id, line_no, supplier_id, l.product_id, l.units_sold, {half_up("price * (1.0 - discount)", 2)} AS budget, recommended_price, r.competitor_price,
-           r.cost, r.inventory, demand_pressure, loyalty_score, purchase_count, {TIER} AS loyalty_tier
-    FROM lines l JOIN orders ON o_orderkey = order_id JOIN recommended r ON r.product_id = l.product_id
+           r.cost, r.inventory, demand_pressure, loyalty_score, purchase_count, {TIER} AS loyalty_tier, priced_by
+    FROM lines l JOIN orders ON o_orderkey = order_id JOIN offers r ON r.product_id = l.product_id
     JOIN pressure ON pressure.product_id = l.product_id JOIN customers ON customer_id = o_custkey"""
 MAX_DISCOUNT = """
     SELECT *, least(greatest(least(
@@ -94,13 +98,13 @@ SELECT order_id, line_no, supplier_id, product_id, units_sold, budget, CASE WHEN
        CAST(coalesce(won + 1, 3) AS INTEGER) AS rounds, {half_up("recommended_price * (1.0 - discount)", 2)} AS final_price,
        {half_up("discount * 100.0", 1)} AS discount_pct, loyalty_tier,
        {half_up(f"recommended_price - {half_up('recommended_price * (1.0 - discount)', 2)}", 2)} AS savings,
-       CASE WHEN countered THEN 'countered_to_budget' WHEN over THEN 'budget_below_floor' ELSE 'none' END AS note
+       CASE WHEN countered THEN 'countered_to_budget' WHEN over THEN 'budget_below_floor' ELSE 'none' END AS note, priced_by
 FROM closed
-""", "recommended", "customers", pressure=PRESSURE, requests=REQUESTS, limits=MAX_DISCOUNT, offered=OFFERED, first=FIRST, priced=PRICED, closed=CLOSED))
+""", "offers", "customers", pressure=PRESSURE, requests=REQUESTS, limits=MAX_DISCOUNT, offered=OFFERED, first=FIRST, priced=PRICED, closed=CLOSED))
 def negotiation(spark, folder):
     return deals.negotiate(_requests(spark, folder)).select(
         "order_id", "line_no", "supplier_id", "product_id", "units_sold", "budget", "agreed", "rounds", "final_price", "discount_pct",
-        "loyalty_tier", "savings", "note",
+        "loyalty_tier", "savings", "note", "priced_by",
     )
 
 
@@ -114,12 +118,13 @@ RULE_CLOSED = "SELECT *, over AND needed <= 0.4 AS countered, CASE WHEN over AND
 SELECT order_id, line_no, supplier_id, product_id, units_sold, budget, NOT over OR countered AS agreed,
        {half_up("recommended_price * (1.0 - discount)", 2)} AS final_price, {half_up("discount * 100.0", 1)} AS discount_pct,
        {half_up(f"recommended_price - {half_up('recommended_price * (1.0 - discount)', 2)}", 2)} AS savings,
-       CASE WHEN countered THEN 'countered_to_budget' WHEN over THEN 'budget_below_floor' ELSE 'none' END AS note
+       CASE WHEN countered THEN 'countered_to_budget' WHEN over THEN 'budget_below_floor' ELSE 'none' END AS note, priced_by
 FROM closed
-""", "recommended", "customers", pressure=PRESSURE, requests=REQUESTS, ruled=RULED, closed=RULE_CLOSED))
+""", "offers", "customers", pressure=PRESSURE, requests=REQUESTS, ruled=RULED, closed=RULE_CLOSED))
 def rule_discount(spark, folder):
     return deals.rule_discount(_requests(spark, folder)).select(
-        "order_id", "line_no", "supplier_id", "product_id", "units_sold", "budget", "agreed", "final_price", "discount_pct", "savings", "note"
+        "order_id", "line_no", "supplier_id", "product_id", "units_sold", "budget", "agreed", "final_price", "discount_pct", "savings", "note",
+        "priced_by",
     )
 
 
@@ -127,9 +132,11 @@ def _history(spark, folder, products):
     """Product-days as market situations: stock, demand pressure and price gap."""
     days = features.daily_cells(retail.lines(spark, folder)).select("product_id", "n_rows", "units", "price_total")
     ends = days.agg(F.struct(F.min("units").alias("lo"), F.max("units").alias("hi"))).scalar()
-    product = products.select("product_id", "competitor_price", "cost", "inventory", "elasticity")
+    product = products.select("product_id", "competitor_price", "cost", "elasticity").join(
+        retail.products(spark, folder).select("product_id", "stock"), "product_id")
     return stage(days.join(product, "product_id").select(
-        "product_id", features.mean_price().alias("base_price"), "cost", "elasticity", "inventory",
+        "product_id", features.mean_price().alias("base_price"), "cost", "elasticity",
+        (F.col("stock") + F.col("units")).alias("inventory"),
         ((F.col("units") - ends.getField("lo")) / (ends.getField("hi") - ends.getField("lo"))).alias("demand_pressure"),
         ((features.mean_price() - F.col("competitor_price")) / F.col("competitor_price")).alias("competitor_gap"),
     ))
@@ -141,9 +148,9 @@ def _policy(history):
 
 
 HISTORY = """
-    SELECT product_id, CAST(price_total AS DOUBLE) / n_rows AS base_price, r.cost, elasticity, inventory,
+    SELECT product_id, CAST(price_total AS DOUBLE) / n_rows AS base_price, r.cost, elasticity, stock + units AS inventory,
            (units - lo) / (hi - lo) AS demand_pressure, (CAST(price_total AS DOUBLE) / n_rows - competitor_price) / competitor_price AS competitor_gap
-    FROM cells JOIN recommended r USING (product_id), (SELECT min(units) AS lo, max(units) AS hi FROM cells)"""
+    FROM cells JOIN offers r USING (product_id) JOIN (SELECT product_id, stock FROM products) USING (product_id), (SELECT min(units) AS lo, max(units) AS hi FROM cells)"""
 
 
 def _bin(column: str, low: str, high: str) -> str:
@@ -155,7 +162,8 @@ LIMITS = """
            min(competitor_gap) AS g0, max(competitor_gap) AS g1 FROM history"""
 VALUES = f"""
     SELECT inventory_bin, pressure_bin, gap_bin, action, multiplier, count(*) AS n_rows,
-           avg(base_price * multiplier * least(d, inventory) - cost * 0.2 * greatest(inventory - d, 0.0)) AS value
+           CAST(sum(CAST(floor((base_price * multiplier * least(d, inventory) - cost * 0.2 * greatest(inventory - d, 0.0)) * 100.0 + 0.5) AS BIGINT)) AS DOUBLE)
+               / count(elasticity) / 100.0 AS value
     FROM (SELECT *, 40.0::DOUBLE * exp(elasticity * (multiplier - 1.0)) * (demand_pressure * 0.5 + 1.0) AS d,
                  {_bin("inventory", "i0", "i1")} AS inventory_bin, {_bin("demand_pressure", "d0", "d1")} AS pressure_bin, {_bin("competitor_gap", "g0", "g1")} AS gap_bin
           FROM history, limits, (SELECT CAST(i - 1 AS INTEGER) AS action, [0.85::DOUBLE, 0.92, 1.0, 1.08, 1.15][i] AS multiplier FROM (SELECT range AS i FROM range(1, 6))))
@@ -167,7 +175,7 @@ POLICY_STEPS = {"history": HISTORY, "limits": LIMITS, "action_values": VALUES, "
 
 
 @query(sql(f"SELECT inventory_bin, pressure_bin, gap_bin, action, multiplier, {half_up('value', 3)} AS value, n_rows FROM policy",
-           "recommended", "cells", **POLICY_STEPS))
+           "offers", "cells", "products", **POLICY_STEPS))
 def price_policy(spark, folder):
     products = pressured_products(spark, folder)
     found, _ = _policy(_history(spark, folder, products))
@@ -179,8 +187,8 @@ SELECT product_id, inventory_bin, pressure_bin, gap_bin, coalesce(action, 2) AS
        {half_up("recommended_price * coalesce(multiplier, 1.0::DOUBLE)", 2)} AS price
 FROM (SELECT product_id, recommended_price, {_bin("inventory", "i0", "i1")} AS inventory_bin, {_bin("demand_pressure", "d0", "d1")} AS pressure_bin,
              {_bin("(recommended_price - competitor_price) / competitor_price", "g0", "g1")} AS gap_bin
-      FROM recommended JOIN pressure USING (product_id), limits) LEFT JOIN policy USING (inventory_bin, pressure_bin, gap_bin)
-""", "recommended", "cells", pressure=PRESSURE, **POLICY_STEPS))
+      FROM offers JOIN pressure USING (product_id), limits) LEFT JOIN policy USING (inventory_bin, pressure_bin, gap_bin)
+""", "offers", "cells", "products", pressure=PRESSURE, **POLICY_STEPS))
 def policy_prices(spark, folder):
     products = pressured_products(spark, folder)
     found, limits = _policy(_history(spark, folder, products))

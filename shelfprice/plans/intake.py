@@ -332,6 +332,6 @@ def product_list(spark, folder):
     return retail.lines(spark, folder).select("product_id").distinct()
 
 
-@query("SELECT c_custkey AS customer_id FROM customer ORDER BY c_custkey LIMIT 200")
+@query("SELECT DISTINCT c_custkey AS customer_id FROM customer")
 def customer_list(spark, folder):
-    return retail.table(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id")).orderBy("customer_id").limit(200)
+    return retail.table(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id")).distinct()

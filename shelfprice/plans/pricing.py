@@ -54,8 +54,9 @@ FROM (SELECT c.product_id, CASE WHEN own THEN 'product' ELSE 'category' END AS k
       FROM (SELECT *, n_obs >= {STRICT_ROWS} AND sxx > 1e-12 AND elasticity < -0.01 AS own FROM curves) c, pooled p)
 """, "curves", "pooled"))
 def elasticity_pooled(spark, folder):
-    lines = retail.lines(spark, folder)
-    fitted = curves.with_pooled_fallback(curves.fit_curves(lines, min_rows=STRICT_ROWS), curves.pooled_curve(lines))
+    moments = retail.lines(spark, folder).groupBy("product_id").agg(*curves.curve_aggregates())
+    pooled = curves.finish_curve(curves.merged_moments(moments), STRICT_ROWS)
+    fitted = curves.with_pooled_fallback(curves.finish_curve(moments, STRICT_ROWS), pooled)
     return _rounded(fitted, CURVE).drop("usable")
 
 
@@ -130,10 +131,13 @@ def context_reasons(spark, folder):
 
 
 @query(sql(f"""
-SELECT product_id, current_price, n_obs, CASE WHEN NOT strict AND NOT pool THEN 'no_demand_curve' ELSE 'cost_floor_above_step_cap' END AS outcome
-FROM (SELECT s.*, s.n_obs >= {STRICT_ROWS} AND usable AS strict, FALSE AS pool FROM state s)
-WHERE NOT strict OR cost > current_price * 1.2
-""", "state"))
+SELECT product_id, price AS current_price, CASE WHEN own OR NOT pool THEN n_obs ELSE pool_n END AS n_obs,
+       CASE WHEN NOT own AND NOT pool THEN 'no_demand_curve' ELSE 'cost_floor_above_step_cap' END AS outcome
+FROM (SELECT *, coalesce(n_obs >= {STRICT_ROWS} AND sxx > 1e-12 AND elasticity < -0.01, FALSE) AS own FROM curves)
+     JOIN latest USING (product_id) JOIN products USING (product_id),
+     (SELECT n_obs AS pool_n, coalesce(n_obs >= {STRICT_ROWS} AND sxx > 1e-12 AND elasticity < -0.01, FALSE) AS pool FROM pooled)
+WHERE (NOT own AND NOT pool) OR cost > price * 1.2
+""", "curves", "latest", "products", "pooled"))
 def unsupported_groups(spark, folder):
     state = retail.pricing_rows(spark, folder, min_rows=STRICT_ROWS)
     return price.unsupported(price.recommend(state))

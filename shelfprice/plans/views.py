@@ -20,6 +20,8 @@ HOLIDAY = (
 )
 WEEKEND = "CAST(isodow(date) >= 6 AS INTEGER)"
 
+CURVE = ("n_obs", "intercept", "elasticity", "r2", "ceiling")
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "lines": ((), f"""
         SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, l_suppkey AS supplier_id,
@@ -85,12 +87,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "latest": (("lines",), """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY date DESC, order_id DESC, line_no DESC,
                               supplier_id DESC, units_sold DESC, price DESC) AS recency FROM lines) WHERE recency = 1"""),
-    "state": (("curves", "latest", "products"), f"""
-        SELECT product_id, n_obs, intercept, elasticity, r2, ceiling,
-               n_obs >= 8 AND sxx > 1e-12 AND elasticity < -0.01 AS usable,
+    "fitted": (("curves", "pooled"), f"""
+        SELECT product_id, {", ".join(f"CASE WHEN own OR NOT pool THEN c.{c} ELSE p.{c} END AS {c}" for c in CURVE)}, own OR pool AS usable
+        FROM (SELECT *, coalesce(n_obs >= 8 AND sxx > 1e-12 AND elasticity < -0.01, FALSE) AS own FROM curves) c,
+             (SELECT *, coalesce(n_obs >= 8 AND sxx > 1e-12 AND elasticity < -0.01, FALSE) AS pool FROM pooled) p"""),
+    "state": (("fitted", "latest", "products"), f"""
+        SELECT product_id, n_obs, intercept, elasticity, r2, ceiling, usable,
                price AS current_price, cost, category, stock + units_sold AS inventory,
                {half_up('list_price * (1.0 + tax_rate)', 2)} AS competitor_price, CAST(month(date) AS INTEGER) AS month
-        FROM curves JOIN latest USING (product_id) JOIN products USING (product_id)"""),
+        FROM fitted JOIN latest USING (product_id) JOIN products USING (product_id)"""),
 }
 
 
@@ -120,6 +125,10 @@ def sweep_views(objective: str = "revenue") -> dict[str, tuple[tuple[str, ...],
                                    + CASE WHEN cost > 0 AND current_price > cost THEN 1 ELSE 0 END) AS points FROM bounds) b
             JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {score} DESC, step) AS place FROM swept)
                   WHERE place = 1) w USING (product_id)"""),
+        "offers": (("bounds", "recommended"), """
+            SELECT b.product_id, coalesce(r.recommended_price, b.current_price) AS recommended_price, b.competitor_price, b.cost,
+                   b.inventory, b.current_price, b.elasticity, b.outcome AS priced_by
+            FROM bounds b LEFT JOIN recommended r ON r.product_id = b.product_id"""),
     }
 
 
