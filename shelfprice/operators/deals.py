@@ -101,6 +101,12 @@ def negotiate(requests: DataFrame) -> DataFrame:
         )),
         F.lit(1), F.col("rounds"),
     )
+    # above the budget there is a last word: the counter-offer, or a refusal without an offer
+    last = F.struct(
+        (F.col("rounds") + 1).alias("round"), round_to(needed, 3).alias("customer_ask_discount"),
+        F.when(countered, counter).alias("agent_offer_discount"), countered.alias("accepted"),
+    )
+    transcript = F.when(over, F.concat(transcript, F.array(last))).otherwise(transcript)
     return opened.withColumns({
         "agreed": F.when(over, countered).otherwise(F.col("took_offer")),
         "final_discount": discount,

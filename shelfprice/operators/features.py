@@ -61,13 +61,15 @@ def demand_features(daily: DataFrame) -> DataFrame:
     means need a pass of their own.
     """
     daily = stage(daily)
-    by_day = Window.partitionBy("product_id").orderBy("date")
-    category_price = stage(daily.groupBy("category").agg(F.avg("price").alias("cat_mean_price")))
+    by_day, whole = Window.partitionBy("product_id").orderBy("date"), Window.partitionBy("product_id")
+    # in ten-thousandths, so that the means do not depend on the order of the rows
+    unit = F.floor(F.col("price") * 1e4 + 0.5).cast("long")
+    category_price = stage(daily.groupBy("category").agg((F.sum(unit) / F.count(unit) / 1e4).alias("cat_mean_price")))
     featured = daily.withColumns({
         "units_lag1": F.lag("units_sold", 1).over(by_day),
         "units_lag7": F.lag("units_sold", 7).over(by_day),
         "units_roll7": F.avg("units_sold").over(by_day.rowsBetween(-7, -1)),
-        "price_ratio_to_base": F.col("price") / F.avg("price").over(Window.partitionBy("product_id")),
+        "price_ratio_to_base": F.col("price") / (F.sum(unit).over(whole) / F.count(unit).over(whole) / 1e4),
         "price_vs_competitor": F.col("price") - F.col("competitor_price"),
     }).where(F.col("units_lag7").isNotNull())
     featured = lookup(featured, category_price, "category")

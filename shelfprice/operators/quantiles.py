@@ -90,11 +90,13 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> D
         holds = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("start") + F.col("cnt"))
         return F.max(F.when(holds, F.col("spot")))
 
-    return (
-        ranked.groupBy("column", "prob", "n", "part")
-        .agg(at("first_rank").alias("v0"), at("last_rank").alias("v1"))
-        .select("column", "prob", "n", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")).alias("value"))
-    )
+    found = ranked.groupBy("column", "prob", "n", "part").agg(at("first_rank").alias("v0"), at("last_rank").alias("v1"))
+    missed = F.col("v0").isNull() | F.col("v1").isNull()
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
+    return found.select(
+        "column", "prob", "n",
+        F.when(missed, F.raise_error(F.concat(F.lit("no value at the rank of a percentile of "), F.col("column"))).cast("double"))
+        .otherwise(value).alias("value"))
 
 
 def group_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -119,6 +119,15 @@ def reliability_points() -> Column:
     return F.least(history + fit + slope + margin, F.lit(9))
 
 
+def reliability_codes() -> Column:
+    """What the points were given for: history, fit, slope, and margin if the cost is known."""
+    history = F.when(F.col("n_obs") >= 150, "solid_history").when(F.col("n_obs") >= 30, "moderate_history").otherwise("thin_history")
+    fit = F.when(F.col("r2") >= 0.3, "good_fit").when(F.col("r2") >= 0.1, "acceptable_fit").otherwise("weak_fit")
+    slope = F.when(F.col("elasticity").between(-3.0, -0.3), "plausible_elasticity").otherwise("extreme_elasticity")
+    margin = F.when((F.col("cost") > 0) & (F.col("current_price") > F.col("cost")), "known_margin")
+    return F.array_compact(F.array(history, fit, slope, margin))
+
+
 def reliability(recommended: DataFrame) -> DataFrame:
     """Add points (at most 9) and a High, Medium or Low level."""
     points = F.col("reliability_score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfprice.session import scratch_dir
 
@@ -19,12 +19,23 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once nothing that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     For a result that several parts of one plan need: it is computed once, survives
-    the loss of executors, and its size is known to the joins that follow.
+    the loss of executors, and its size is known to the joins that follow. The tables of an
+    application share a folder, which ``clear_stages`` deletes.
     """
-    path = f"{scratch_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

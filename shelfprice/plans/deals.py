@@ -15,19 +15,21 @@ from shelfprice.sources import retail
 
 
 def _event_requests(spark, folder):
-    """Every event asks for the price of the product with its number."""
+    """Events as requests for products by number, most of which are not in the catalogue."""
     return retail.table(spark, folder, "events").select(
         F.col("event_id").alias("request_id"), F.col("event_id").alias("product_id"), F.col("user_id").alias("customer_id")
     )
 
 
 @query("""
-SELECT event_id AS request_id, event_id AS product_id, p_type AS category, p_retailprice AS list_price
-FROM events JOIN part ON p_partkey = event_id
+SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_suppkey AS supplier_id, l_partkey AS product_id, l_quantity AS units_sold,
+       p_type AS category, p_retailprice AS list_price
+FROM lineitem JOIN part ON p_partkey = l_partkey
 """)
 def request_lookup(spark, folder):
-    found = deals.known_requests(_event_requests(spark, folder), retail.products(spark, folder))
-    return found.select("request_id", "product_id", "category", "list_price")
+    asked = retail.lines(spark, folder).select("order_id", "line_no", "supplier_id", "product_id", "units_sold")
+    found = deals.known_requests(asked, retail.products(spark, folder))
+    return found.select("order_id", "line_no", "supplier_id", "product_id", "units_sold", "category", "list_price")
 
 
 @query("""
@@ -98,13 +100,16 @@ SELECT order_id, line_no, supplier_id, product_id, units_sold, budget, CASE WHEN
        CAST(coalesce(won + 1, 3) AS INTEGER) AS rounds, {half_up("recommended_price * (1.0 - discount)", 2)} AS final_price,
        {half_up("discount * 100.0", 1)} AS discount_pct, loyalty_tier,
        {half_up(f"recommended_price - {half_up('recommended_price * (1.0 - discount)', 2)}", 2)} AS savings,
-       CASE WHEN countered THEN 'countered_to_budget' WHEN over THEN 'budget_below_floor' ELSE 'none' END AS note, priced_by
+       CASE WHEN countered THEN 'countered_to_budget' WHEN over THEN 'budget_below_floor' ELSE 'none' END AS note, priced_by,
+       CAST(coalesce(won + 1, 3) + over::INTEGER AS INTEGER) AS n_turns,
+       CASE WHEN over THEN CASE WHEN countered THEN discount END ELSE {half_up("max_discount * (0.7::DOUBLE + 0.15::DOUBLE * coalesce(won, 2))", 3)} END AS last_offer
 FROM closed
 """, "offers", "customers", pressure=PRESSURE, requests=REQUESTS, limits=MAX_DISCOUNT, offered=OFFERED, first=FIRST, priced=PRICED, closed=CLOSED))
 def negotiation(spark, folder):
     return deals.negotiate(_requests(spark, folder)).select(
         "order_id", "line_no", "supplier_id", "product_id", "units_sold", "budget", "agreed", "rounds", "final_price", "discount_pct",
-        "loyalty_tier", "savings", "note", "priced_by",
+        "loyalty_tier", "savings", "note", "priced_by", F.size("transcript").alias("n_turns"),
+        F.element_at("transcript", -1)["agent_offer_discount"].alias("last_offer"),
     )
 
 

@@ -107,6 +107,20 @@ FROM (SELECT *, expected_demand / greatest(current_demand, 1e-9) AS ratio, (reco
 """
 
 
+@query(sql("""
+SELECT product_id, points AS score, reliability, concat_ws(',',
+    CASE WHEN n_obs >= 150 THEN 'solid_history' WHEN n_obs >= 30 THEN 'moderate_history' ELSE 'thin_history' END,
+    CASE WHEN r2 >= 0.3 THEN 'good_fit' WHEN r2 >= 0.1 THEN 'acceptable_fit' ELSE 'weak_fit' END,
+    CASE WHEN elasticity BETWEEN -3.0 AND -0.3 THEN 'plausible_elasticity' ELSE 'extreme_elasticity' END,
+    CASE WHEN cost > 0 AND current_price > cost THEN 'known_margin' END) AS codes
+FROM recommended
+""", "recommended"))
+def reliability_reasons(spark, folder):
+    rated = recommended(spark, folder).where("supported")
+    return rated.select("product_id", F.col("reliability_score").alias("score"), "reliability",
+                        F.array_join(price.reliability_codes(), ",").alias("codes"))
+
+
 def _joined(field):
     return F.array_join(F.transform("reasons", lambda r: r[field]), ",")
 

@@ -12,7 +12,8 @@ def test_cents_round_half_up(one, value, rounded):
 
 
 @pytest.mark.parametrize("text, value", [
-    ("$1,234.50", 1234.5), ("₹ 99", 99.0), (" 7 ", 7.0), ("49.99", 49.99), ("", None), ("bad", None), ("€2 000", 2000.0),
+    ("$1,234.50", 1234.5), ("₹ 99", 99.0), (" 7 ", 7.0), ("49.99", 49.99), ("", None), ("bad", None), ("€2 000", 2000.0), ("nan", None), ("Infinity", None), ("12d", None),
+    ("-.5", -0.5), ("1e3", 1000.0), ("1e999", None),
 ])
 def test_parse_number(one, text, value):
     assert one(parse_number(F.col("v")), v=text) == value
@@ -22,6 +23,8 @@ def test_parse_number(one, text, value):
     ("2026-01-05", dt.date(2026, 1, 5)), ("2026-1-5T10:00:00", dt.date(2026, 1, 5)), ("15/06/2026", dt.date(2026, 6, 15)),
     ("06/15/2026", dt.date(2026, 6, 15)), ("3.4.26", dt.date(2026, 3, 4)), ("13-11-05", dt.date(2005, 11, 13)),
     ("5/6/2024", dt.date(2024, 5, 6)), ("Mar 4, 2024", dt.date(2024, 3, 4)), ("20240304", dt.date(2024, 3, 4)),
+    ("2026/01/05", dt.date(2026, 1, 5)), ("5 January 2024", dt.date(2024, 1, 5)), ("Jan 5 2024", dt.date(2024, 1, 5)),
+    ("05-Jan-2024", dt.date(2024, 1, 5)), ("Fri, 05 Jan 2024", dt.date(2024, 1, 5)),
     ("2026-13-01", None), ("soon", None), ("", None),
 ])
 def test_parse_date(one, text, day):

@@ -61,3 +61,12 @@ def test_model_round_trip(spark, tmp_path):
 
 def test_scratch_dir_is_the_session_one(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_line_breaks_and_open_quotes(spark, tmp_path):
+    rows = read_lenient_csv(spark, write(tmp_path, 'id,note,n\nA,"two\nlines",5\nB,x,6\n')).collect()
+    assert sorted(tuple(r) for r in rows) == [("A", "two\nlines", 5), ("B", "x", 6)]
+    with pytest.raises(DatasetError):
+        read_lenient_csv(spark, write(tmp_path, 'id,note\nA,"never closed\nB,x\n'))
+    rows = read_lenient_csv(spark, write(tmp_path, "id;note\nA;1,5\nB;2,5,0\n"), sep=";").collect()
+    assert len(rows) == 2
