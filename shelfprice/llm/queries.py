@@ -6,9 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfprice.llm import (
-    fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, substring_dedup,
+    check_sql, fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, substring_dedup,
     url_filter,
 )
 from shelfprice.llm.common import table
@@ -57,7 +58,8 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of every document, whether a base rule fails, and whether it is kept."""
-    return quality_rules.quality(table(spark, folder, "documents"))
+    found = quality_rules.quality(table(spark, folder, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,4 +82,4 @@ QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = check_sql.ORACLE_SQL
