@@ -112,3 +112,20 @@ def test_segments(spark):
     assert sum(r["customers"] for r in counts) == 200
     means = [r["m"] for r in found.groupBy("segment").agg(F.avg("avg_sales").alias("m")).orderBy("segment").collect()]
     assert means[0] < means[-1]
+
+
+def test_latest_row_at_its_own_price_is_the_training_row(spark, folder):
+    """Scoring a product at its latest price uses the inputs that training had."""
+    from shelfprice.operators import features
+    from shelfprice.plans.series import daily_sales
+
+    rows = features.demand_features(daily_sales(spark, folder))
+    latest = pricing.latest_rows(rows)
+    scored = pricing.model_rows(latest.withColumn("price", F.col("base_price"))).select(
+        "product_id", *[F.col(c).cast("double").alias(f"own_{c}") for c in demand.DEMAND_FEATURES])
+    trained = rows.groupBy("product_id").agg(F.max("date").alias("date")).join(rows, ["product_id", "date"])
+    pairs = trained.join(scored, "product_id").collect()
+    assert len(pairs) > 100
+    for r in pairs:
+        for c in demand.DEMAND_FEATURES:
+            assert r[f"own_{c}"] == pytest.approx(float(r[c]), rel=1e-9, abs=1e-9), c
