@@ -9,8 +9,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import compare, duck  # noqa: E402
+from shelfprice import plans  # noqa: E402
 
-PLANS, CHECKS = entry.queries(), entry.oracle_sql()
+# the text operators, where they are installed, have tests of their own
+PLANS, CHECKS = plans.queries(), plans.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +31,10 @@ def test_query_has_rows(spark, folder, name):
     assert PLANS[name](spark, folder).count() > 0
 
 
+def test_entry_registers_all(spark):
+    assert set(PLANS) <= set(entry.queries()) and CHECKS.items() <= entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert {"product_id", "recommended_price", "change_pct"} <= set(entry.entry(spark).columns)
 
