@@ -220,7 +220,7 @@ def _size_of(at):
 def repeats_and_rest(rows: DataFrame) -> DataFrame:
     """Per text (``doc``, ``tag``): its segments that repeat as a whole, and those to be matched, with their anchors."""
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    near = rows.join(again, "anchor", "left_semi")
+    near = stage(rows.join(again, "anchor", "left_semi"))  # read three times below
     first = near.groupBy("segment").agg(F.min(F.struct("doc", "at")).alias("first"), F.min("anchor").alias("anchor"))
     mixed_ = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     later = near.drop("anchor").join(first.select("segment", "first"), "segment").where(
