@@ -234,8 +234,8 @@ def scores(docs: DataFrame, shape: Shape = Shape(), frequent: float = FREQUENT,
     listed = counts.where(F.col("n") >= max(1.0, frequent * tokens)).collect()  # 1 / frequent words at most
     vocabulary = Vocabulary([(r["word"], r["n"]) for r in listed], tokens, distinct, shape)
     weights = trained(training, vocabulary, rounds)
-    parts = stage(scored_parts(docs, vocabulary, weights)).withColumn("row_", F.monotonically_increasing_id())
-    parts = stage(parts)
+    # the number of a row is fixed by being written
+    parts = stage(scored_parts(docs, vocabulary, weights).withColumn("row_", F.monotonically_increasing_id()))
     rare = parts.select("row_", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row_", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts.where(F.col("n") < max(1.0, frequent * tokens)), "word").groupBy("row_").agg(
