@@ -16,7 +16,7 @@ HEADLINE = [
     "portfolio", "portfolio_top", "price_recommendation_profit", "candidate_sweep", "elasticity", "elasticity_pooled",
     "demand_features", "price_position", "product_summary", "stock_cover", "monthly", "category_totals", "top_products",
     "overview", "customer_mix", "damped_trend", "ar1_baseline", "sales_history", "quality_score", "iqr_outliers",
-    "median_fill", "normalize_sales", "negotiation", "price_policy",
+    "median_fill", "normalize_sales", "negotiation", "price_policy", "ridge_model", "customer_segments",
 ]
 
 
