@@ -50,7 +50,12 @@ def test_negotiation_equals_rounds_by_hand(spark, over):
     df = request(spark, **over)
     row = deals.negotiate(df).first()
     assert (row["agreed"], row["rounds"], row["final_price"]) == by_hand(df.first().asDict())
-    assert len(row["transcript"]) == row["rounds"]
+    assert len(row["transcript"]) == row["rounds"] + (row["note"] != "none")  # above the budget there is a last word
+    last = row["transcript"][-1]
+    if row["note"] == "countered_to_budget":
+        assert last["accepted"] and last["agent_offer_discount"] == row["final_discount"]
+    if row["note"] == "budget_below_floor":
+        assert not last["accepted"] and last["agent_offer_discount"] is None
 
 
 def test_deals_respect_the_budget(spark):

@@ -38,9 +38,12 @@ def test_missing_and_duplicates(spark):
     assert summary["total_missing"] == 3 and summary["numeric_columns"] == 2
 
 
-def test_sample_is_clamped_and_finite(spark, sample):
+def test_sample_is_limited_and_finite(spark, sample):
     roles = {"price": "price", "units": "units_sold", "cost": None}
-    assert profiling.latest_sample(sample, roles, ["price", "units_sold"], n=3).count() == 20
+    assert profiling.latest_sample(sample, roles, ["price", "units_sold"], n=20).count() == 20
+    for n in (3, 2001):
+        with pytest.raises(ValueError, match="20 to 2,000"):
+            profiling.latest_sample(sample, roles, ["price", "units_sold"], n=n)
     odd = spark.createDataFrame([(float("nan"), float("inf"))], "price double, units_sold double")
     row = profiling.latest_sample(odd, roles, ["price"]).first()
     assert row["price"] is None and row["units_sold"] is None
