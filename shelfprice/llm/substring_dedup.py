@@ -219,9 +219,10 @@ def _size_of(at):
 
 def repeats_and_rest(rows: DataFrame) -> DataFrame:
     """Per text (``doc``, ``tag``): its segments that repeat as a whole, and those to be matched, with their anchors."""
-    again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # counts are written before they are joined: a join of two plain tables can split a frequent key
+    again = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     near = stage(rows.join(again, "anchor", "left_semi"))  # read three times below
-    first = near.groupBy("segment").agg(F.min(F.struct("doc", "at")).alias("first"), F.min("anchor").alias("anchor"))
+    first = stage(near.groupBy("segment").agg(F.min(F.struct("doc", "at")).alias("first"), F.min("anchor").alias("anchor")))
     mixed_ = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     later = near.drop("anchor").join(first.select("segment", "first"), "segment").where(
         (F.col("doc") > F.col("first.doc"))
@@ -304,7 +305,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 def removed(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """``doc_id``, words, removed words, checksum of the kept words and, if asked for, the kept words themselves."""
     numbered = _numbered(docs)
-    lists = stage(repeats_and_rest(segments(numbered, hot_runs(docs))))
+    lists = stage(repeats_and_rest(stage(segments(numbered, hot_runs(docs)))))
     texts = compressed(numbered)
     to_match = lists.where(F.size("rest") > 0).select("doc", "tag", "rest")
     found = stage(matched(pieces(texts.join(to_match, ["doc", "tag"]))))
