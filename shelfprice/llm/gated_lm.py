@@ -9,15 +9,22 @@ back-propagation over windows; the state goes on from window to window.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 
 
 @dataclass(frozen=True)
 class Shape:
-    words: int = 512
-    per_class: int = 32
-    hidden: int = 16
+    words: int
+    per_class: int
+    hidden: int = 24
+
+    @classmethod
+    def following(cls, words: int) -> Shape:
+        """Shape for at least this many words, in about as many classes as a class has words."""
+        per_class = max(8, ceil(sqrt(words)))
+        return cls(per_class * max(1, ceil(words / per_class)), per_class)
 
     @property
     def classes(self) -> int:
@@ -145,13 +152,18 @@ def _back(w: Weights, inputs: np.ndarray, fresh: np.ndarray, kept: list, slope:
 
 
 class Trainer:
-    """Adam on windows of ``steps`` words of many texts side by side."""
+    """Adam on windows of ``steps`` words of many texts side by side.
+
+    Input rows of words and classes of outputs that a window does not have cost it nothing: their
+    gradients are zero and their moments wait.
+    """
 
     def __init__(self, weights: Weights, shape: Shape, rate: float = 0.01, steps: int = 32):
         self.weights = {k: v.copy() for k, v in weights.items()}
         self._shape, self._rate, self.steps = shape, rate, steps
         self._mean = {k: np.zeros_like(v) for k, v in weights.items()}
         self._square = {k: np.zeros_like(v) for k, v in weights.items()}
+        self._grads = {k: np.zeros_like(v) for k, v in weights.items()}
         self._updates = 0
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray) -> None:
@@ -161,25 +173,33 @@ class Trainer:
             x, y, new = inputs[k:k + self.steps], targets[k:k + self.steps], fresh[k:k + self.steps]
             live = (y >= 0).any(axis=0)
             x, y, new = x[:, live], y[:, live], new[:, live]
-            grads = {name: np.zeros_like(v) for name, v in self.weights.items()}
+            grads = self._grads
             hidden, last, kept = states(self.weights, x, new, state[live], keep=True)
             real = y >= 0
             slope = np.zeros_like(hidden)
             _, slope[real] = log_probabilities(self.weights, hidden[real], y[real], self._shape, grads)
             _back(self.weights, x, new, kept, slope, grads)
-            self._update(grads, int(real.sum()))
+            classes = np.unique(y[real] // self._shape.per_class)
+            classes = classes[classes < self._shape.classes]
+            self._update({"input": np.unique(x), "word": classes, "word_bias": classes}, int(real.sum()))
             state[live] = last
 
-    def _update(self, grads: Weights, n: int) -> None:
+    def _update(self, touched: dict[str, np.ndarray], n: int) -> None:
+        """One step along the gathered gradients, which only have the ``touched`` rows; clears them."""
         self._updates += 1
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
+        rows = {k: touched.get(k, slice(None)) for k in self._grads}
+        parts = {k: g[rows[k]] for k, g in self._grads.items()}
+        size = np.sqrt(sum(float((g * g).sum()) for g in parts.values())) / n
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)) / n)
         rate = self._rate * np.sqrt(1 - 0.99 ** self._updates) / (1 - 0.9 ** self._updates)
-        for k, g in grads.items():
-            g *= scale
-            self._mean[k] += np.float32(0.1) * (g - self._mean[k])
-            self._square[k] += np.float32(0.01) * (g * g - self._square[k])
-            self.weights[k] -= np.float32(rate) * self._mean[k] / (np.sqrt(self._square[k]) + np.float32(1e-6))
+        for k, g in parts.items():
+            at, g = rows[k], g * scale
+            mean, square = self._mean[k][at], self._square[k][at]
+            mean = mean + np.float32(0.1) * (g - mean)
+            square = square + np.float32(0.01) * (g * g - square)
+            self._mean[k][at], self._square[k][at] = mean, square
+            self.weights[k][at] -= np.float32(rate) * mean / (np.sqrt(square) + np.float32(1e-6))
+            self._grads[k][at] = 0
 
 
 def score(w: Weights, shape: Shape, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, owner: np.ndarray,

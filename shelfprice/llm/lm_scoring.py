@@ -3,8 +3,10 @@
 The words of all training documents are counted first. Words with at least a share ``FREQUENT``
 of all tokens (so 1 / FREQUENT words at most, whatever the corpus) are sent to every task; the counts
 of all rarer words stay a table, which is joined to the rare words of the documents. The model is a
-gated recurrent net with a class-factored softmax (``gated_lm``): the most frequent words have
-their own outputs, all others share a class, inside which they have their add-one share.
+gated recurrent net with a class-factored softmax (``gated_lm``): all frequent words that occur twice
+or more have an input and an output of their own, so the vocabulary follows the counts, in about
+as many classes as a class has words. All others share an input and a class, inside which they have
+their add-one share; in a small corpus these are the words seen once, which stand for those never seen.
 
 Training covers all training documents once, in rounds: the documents are divided into as many
 parts as there are rounds by a hash of their id, and in a round every task trains on its
@@ -168,9 +170,9 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> ga
                     ["weights", "tokens"])
 
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text")
-        got = stage(part.mapInArrow(train, "weights binary, tokens long"))
-        groups = max(1, isqrt(got.count()))
-        levels = got.withColumn("group", F.pmod(F.xxhash64("weights"), F.lit(groups)))
+        groups = max(1, isqrt(part.rdd.getNumPartitions()))
+        levels = part.mapInArrow(train, "weights binary, tokens long").withColumn(
+            "group", F.pmod(F.spark_partition_id(), F.lit(groups)))
         averaged = levels.groupBy("group").applyInPandas(_average, "weights binary, tokens long")
         rows = averaged.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(
             _average, "weights binary, tokens long").collect()  # one row, the size of the model
@@ -225,13 +227,17 @@ def scored_parts(docs: DataFrame, vocabulary: Vocabulary, weights: gated_lm.Weig
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parts, PARTS)
 
 
-def scores(docs: DataFrame, shape: Shape = Shape(), frequent: float = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
-    """Base score and model score (log10) of every document, with its numbers of tokens."""
+def scores(docs: DataFrame, shape: Shape | None = None, frequent: float = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+    """Base score and model score (log10) of every document, with its numbers of tokens.
+
+    Without a ``shape`` the model has all frequent words that occur twice or more.
+    """
     training = docs.where(fold(F.col("doc_id")) != HELD_OUT_FOLD)
     counts = stage(word_counts(training))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     tokens, distinct = sums["tokens"], sums["words"]
     listed = counts.where(F.col("n") >= max(1.0, frequent * tokens)).collect()  # 1 / frequent words at most
+    shape = shape or Shape.following(sum(r["n"] > 1 for r in listed))
     vocabulary = Vocabulary([(r["word"], r["n"]) for r in listed], tokens, distinct, shape)
     weights = trained(training, vocabulary, rounds)
     # the number of a row is fixed by being written

@@ -96,3 +96,34 @@ def test_layout_does_not_change_scores():
         inputs, targets, fresh, owner = gated_lm.laid_out(texts, 0, lanes)
         got.append(gated_lm.score(weights, shape, inputs, targets, fresh, owner, len(texts), steps))
     assert np.allclose(got[0], got[1], rtol=1e-4) and np.allclose(got[0], got[2], rtol=1e-4)
+
+
+def test_vocabulary_follows_the_counts(spark, monkeypatch):
+    """Every frequent word has an input and an output of its own, however many there are."""
+    rng, made = np.random.default_rng(6), []
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 3000, 900)), "en", "a", 0) for i in range(40)]
+    train = lm_scoring.trained
+
+    def spy(docs, vocabulary, rounds):
+        made.append((vocabulary, train(docs, vocabulary, rounds)))
+        return made[0][1]
+
+    monkeypatch.setattr(lm_scoring, "trained", spy)
+    got = lm_scoring.scores(frame(spark, rows), rounds=1).collect()
+    check_base(got, [r[:2] for r in rows])
+    (vocabulary, weights), = made
+    twice = int((vocabulary.counts > 1).sum())
+    assert twice > 2900 and vocabulary.shape.words >= twice and weights["input"].shape[0] > twice
+    assert weights["word"].shape[0] * weights["word"].shape[1] >= twice and weights["word"].shape[1] < 64
+
+
+def test_update_of_touched_rows_is_that_of_all():
+    """A window leaves the words and classes it does not have as they were, and no gradient behind."""
+    shape, rng = Shape(32, 4, 5), np.random.default_rng(4)
+    start = gated_lm.initial(np.arange(32.0, 0, -1), 4.0, shape)
+    trainer = gated_lm.Trainer(start, shape)
+    trainer.learn(*gated_lm.laid_out([rng.integers(0, 9, 30).astype(np.int32) for _ in range(4)], 0, 2)[:3])
+    assert np.array_equal(trainer.weights["input"][9:], start["input"][9:])
+    assert np.array_equal(trainer.weights["word"][3:], start["word"][3:])
+    assert not np.array_equal(trainer.weights["input"][:9], start["input"][:9])
+    assert not any(g.any() for g in trainer._grads.values())
