@@ -15,7 +15,8 @@ every document, so records stay linked; another key gives unrelated pseudonyms.
 
 Every permutation is a Feistel network of eight rounds over two halves with addition modulo the
 size of the half; the round function is SHA-256 of key, round and other half. Only
-built-in expressions are used; texts without a digit or ``@`` are not searched.
+built-in expressions are used; texts without a digit, ``@``, a key prefix or a run of 32 hexadecimal
+letters, of which every private string has one, are not searched.
 
 Defined results: a null text stays null with zero counts; an empty text stays empty;
 repeated rows are treated alike; other columns are kept as they are.
@@ -47,6 +48,8 @@ SEARCH = (
     f"{_NOT_INSIDE}[{_WORD}._%+-]++@[{_WORD}-]++(?:\\.[{_WORD}-]++)+|(?<![{_WORD}])(?:"
     + "|".join(p for k, p in PATTERNS.items() if k != "email") + f"){_NOT_BEFORE}"
 )
+#: What a text must have for any pattern to match: secrets need neither a digit nor ``@``.
+GATE = "[0-9@]|AKIA|ASIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[a-fA-F]{32}"
 #: First code point and size of the runs of characters that are permuted among themselves.
 RUNS = [(48, 10), (65, 26), (97, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 7)]
 
@@ -276,7 +279,7 @@ def with_pseudonyms(text: Column, key: str) -> Column:
     untouched = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
     replaced = let(F.struct(found.alias("found"), between.alias("between")), lambda p: F.when(
         F.size(p["found"]) > 0, rebuilt(p)).otherwise(untouched))
-    return F.when(text.rlike("[0-9@]"), replaced).otherwise(untouched)
+    return F.when(text.rlike(GATE), replaced).otherwise(untouched)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:

@@ -101,3 +101,16 @@ def test_awkward_rows(spark):
     kept = pseudonyms.replace_in(docs, KEY)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert pseudonyms.pseudonymise(frame(spark, []), KEY).count() == 0
+
+
+def test_secrets_of_letters_only(spark):
+    """A secret without digits is replaced in a text without digits, and alike in one with a digit."""
+    secrets = ["sk-" + "abcdefghijKLMNOP", "pk_" + "q" * 20, "ghp_" + "abcdEFGH" * 3, "gho-" + "x" * 16, "xoxb-" + "lmnop" * 4,
+               "AKIA" + "ABCDEFGHIJKLMNOP", "ASIA" + "QRSTUVWXYZABCDEF", "abcdef" * 6, "ABCDEF" * 6]
+    rows = [(2 * k + d, f"key {s} here" + " 7" * d, "en", "a", 0) for k, s in enumerate(secrets) for d in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs, "k").collect()}
+    for k, secret in enumerate(secrets):
+        bare, digit = got[2 * k], got[2 * k + 1]
+        assert bare["n_secret"] == digit["n_secret"] == 1 and secret not in bare["text"]
+        assert bare["text"] + " 7" == digit["text"]
