@@ -46,7 +46,7 @@ from shelfprice.operators.staging import stage
 WINDOW = 20
 RUN = 6
 HOT = 1e-5
-TAG_BITS, SIZE_BITS = 24, 8
+SIZE_BITS = 8
 LAST_DOC = (1 << 63) - 1
 _HOT_BIT, _PLACE = np.uint64(1 << 63), np.uint64((1 << 24) - 1)
 
@@ -108,7 +108,9 @@ def _raw(text: pa.Scalar) -> bytes:
 
 
 def _tag(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw, seed=1) >> (64 - TAG_BITS)
+    """Signed 64-bit hash of a text, which tells rows of one id (or of none) apart."""
+    tag = xxhash.xxh3_64_intdigest(raw, seed=1)
+    return tag - (1 << 64) if tag >> 63 else tag
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -179,14 +181,14 @@ def _segments_of(hashes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """One row per segment: 32-bit anchor, identity, document, and packed first word, text tag and windows."""
+    """One row per segment: 32-bit anchor, identity, document, text tag, and packed first word and windows."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                keys, ids, docs_, packed = [], [], [], []
+                keys, ids, docs_, tags, packed = [], [], [], [], []
                 part = batch.slice(k, 500)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     raw = _raw(text)
@@ -197,20 +199,18 @@ def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     keys.append((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     ids.append(identity.view(np.int64))
                     docs_.append(np.full(len(first), doc, np.int64))
-                    packed.append((first << (TAG_BITS + SIZE_BITS)) | (_tag(raw) << SIZE_BITS) | size.astype(np.int64))
+                    tags.append(np.full(len(first), _tag(raw), np.int64))
+                    packed.append((first << SIZE_BITS) | size.astype(np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (keys, ids, docs_, packed)], ["anchor", "segment", "doc", "at"])
+                        [pa.array(np.concatenate(x)) for x in (keys, ids, docs_, tags, packed)],
+                        ["anchor", "segment", "doc", "tag", "at"])
 
-    return docs.mapInArrow(emit, "anchor int, segment long, doc long, at long")
+    return docs.mapInArrow(emit, "anchor int, segment long, doc long, tag long, at long")
 
 
 def _start(at):
-    return F.shiftright(at, TAG_BITS + SIZE_BITS)
-
-
-def _tag_of(at):
-    return F.shiftright(at, SIZE_BITS).bitwiseAND(F.lit((1 << TAG_BITS) - 1)).cast("int")
+    return F.shiftright(at, SIZE_BITS)
 
 
 def _size_of(at):
@@ -222,15 +222,15 @@ def repeats_and_rest(rows: DataFrame) -> DataFrame:
     # counts are written before they are joined: a join of two plain tables can split a frequent key
     again = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     near = stage(rows.join(again, "anchor", "left_semi"))  # read three times below
-    first = stage(near.groupBy("segment").agg(F.min(F.struct("doc", "at")).alias("first"), F.min("anchor").alias("anchor")))
+    first = stage(near.groupBy("segment").agg(F.min(F.struct("doc", "at", "tag")).alias("first"), F.min("anchor").alias("anchor")))
     mixed_ = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     later = near.drop("anchor").join(first.select("segment", "first"), "segment").where(
         (F.col("doc") > F.col("first.doc"))
         | ((F.col("doc") == F.col("first.doc")) & (_start(F.col("at")) > _start(F.col("first.at")))))
-    rest = first.join(mixed_, "anchor").select("first.doc", "first.at", "anchor")
-    every = later.select("doc", "at", F.lit(None).cast("int").alias("anchor")).unionByName(rest)
+    rest = first.join(mixed_, "anchor").select("first.doc", "first.tag", "first.at", "anchor")
+    every = later.select("doc", "tag", "at", F.lit(None).cast("int").alias("anchor")).unionByName(rest)
     entry = F.struct(_start(F.col("at")).alias("start"), _size_of(F.col("at")).alias("size"), "anchor")
-    lists = every.groupBy("doc", _tag_of(F.col("at")).alias("tag")).agg(F.collect_list(entry).alias("entries"))
+    lists = every.groupBy("doc", "tag").agg(F.collect_list(entry).alias("entries"))
     return lists.select(
         "doc", "tag",
         F.transform(F.filter("entries", lambda e: e["anchor"].isNull()), lambda e: F.struct(e["start"], e["size"])).alias("again"),
@@ -244,10 +244,10 @@ def compressed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             raws = [_raw(t) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_tag(r) for r in raws], pa.int32()), pa.array(map(squeeze, raws), pa.binary())],
+                [batch.column(0), pa.array([_tag(r) for r in raws], pa.int64()), pa.array(map(squeeze, raws), pa.binary())],
                 ["doc", "tag", "packed"])
 
-    return docs.mapInArrow(pack, "doc long, tag int, packed binary")
+    return docs.mapInArrow(pack, "doc long, tag long, packed binary")
 
 
 def pieces(texts: DataFrame) -> DataFrame:
@@ -262,11 +262,11 @@ def pieces(texts: DataFrame) -> DataFrame:
                          for e in rest]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 ["anchor", "doc", "tag", "start", "words"])
 
     return texts.select("doc", "tag", "packed", "rest").mapInArrow(
-        cut, "anchor int, doc long, tag int, start long, words binary")
+        cut, "anchor int, doc long, tag long, start long, words binary")
 
 
 def matched(parts: DataFrame) -> DataFrame:
@@ -292,11 +292,11 @@ def matched(parts: DataFrame) -> DataFrame:
                 waiting.append(words)
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)],
                 ["doc", "tag", "start", "size"])
 
     return parts.repartition("anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(
-        stream, "doc long, tag int, start long, size int")
+        stream, "doc long, tag long, start long, size int")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"

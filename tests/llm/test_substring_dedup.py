@@ -81,3 +81,24 @@ def test_automaton():
             assert automaton.matches(query) == want
             texts.append([rng.randint(0, 2) for _ in range(rng.randint(1, 12))])
             automaton.add(texts[-1])
+
+
+def test_texts_without_id_whose_hashes_begin_alike(spark):
+    """Rows of one id are told apart by more than the first 24 bits of the hash of their text."""
+    import xxhash
+
+    passage, seen, n = " ".join(prose(60, 11)), {}, 0
+    other = " ".join(prose(25, 12))
+
+    def begin(text):
+        return xxhash.xxh3_64_intdigest(text.encode(), seed=1) >> 40
+
+    for k in range(20_000):
+        seen.setdefault(begin(f"{passage} a{k}"), f"{passage} a{k}")
+    while begin(f"{other} b{n}") not in seen:
+        n += 1
+    long, short = seen[begin(f"{other} b{n}")], f"{other} b{n}"
+    rows = [(1, passage, "en", "a", 0), (None, long, "en", "a", 0), (None, short, "en", "a", 0)]
+    want = expected([r[:2] for r in rows])
+    assert got(substring_dedup.removed(frame(spark, rows))) == want
+    assert [r[1:3] for r in want] == [(60, 0), (26, 0), (61, 60)]
