@@ -96,6 +96,12 @@ def gap_filled_series(spark, folder):
     return features.gap_filled(cells, "category")
 
 
+@query()
+def gap_filled_products(spark, folder):
+    """Every day of every product between its first and last sale."""
+    return features.gap_filled(features.daily_cells(retail.lines(spark, folder)), "product_id")
+
+
 SERIES = f"""
     SELECT product_id, CAST(day AS DATE) AS day, coalesce(units, 0.0) AS units,
            row_number() OVER (PARTITION BY product_id ORDER BY day) AS i,
