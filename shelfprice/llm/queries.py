@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfprice.llm import (
-    check_sql, fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, substring_dedup,
-    url_filter,
+    check_sql, fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, spelling,
+    substring_dedup, url_filter,
 )
 from shelfprice.llm.common import table
 
@@ -77,9 +77,14 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.scores(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op1_near_dedup, op2_pseudonyms, op3_mixing, op4_fingerprints, op5_url_filter, op6_substring_dedup,
-    op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring,
+    op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring, op11_spelling_variants,
 )}
 
 ORACLE_SQL: dict[str, str] = check_sql.ORACLE_SQL
