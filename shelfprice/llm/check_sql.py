@@ -108,8 +108,51 @@ FROM judged
 """
 
 
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    distance = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.x, e.x)])"
+    steps = [f"""
+kept AS (
+  SELECT vec_id, label, [CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT) for v in embedding] AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([v for v in embedding if v IS NULL OR NOT isfinite(v)]) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS x
+  FROM kept, range({parts}) AS r(part)
+), book0 AS MATERIALIZED (
+  SELECT part, entry, p.x
+  FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}) JOIN parts p USING (vec_id)
+)"""]
+
+    def nearest(k: int, what: str) -> str:
+        return f"""SELECT {what}, arg_min(struct_pack(entry := e.entry, d := d), d * {entries} + e.entry) AS best
+  FROM (SELECT p.vec_id, p.label, p.part, p.x, e.entry, {distance} AS d FROM parts p JOIN book{k} e USING (part)) e
+  GROUP BY {what}"""
+
+    for k in range(rounds):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  {nearest(k, 'vec_id, part, x')}
+), mean{k} AS (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS x
+  FROM (SELECT part, best.entry AS entry, place, sum(x[place + 1]) AS s, count(*) AS n
+        FROM near{k}, range((SELECT max(len(x)) FROM parts)) AS c(place) GROUP BY ALL)
+  GROUP BY part, entry
+), book{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m USING (part, entry)
+)""")
+    steps.append(f"""coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM ({nearest(rounds, 'vec_id, label, part')}) GROUP BY vec_id, label
+), books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books""")
+    return "WITH " + ", ".join(s.strip() for s in steps)
+
+
 ORACLE_SQL = {
     "op6_substring_dedup": substring_sql(),
     "op7_quality_rules": quality_sql(),
     "op8_license_scan": license_sql(),
+    "op13_vector_codes": codes_sql(),
 }

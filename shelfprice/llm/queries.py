@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfprice.llm import (
     check_sql, fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, spelling,
-    substring_dedup, url_filter,
+    substring_dedup, url_filter, vector_codes,
 )
 from shelfprice.llm.common import table
 
@@ -82,9 +82,16 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code of every vector, its error and that of its label, and a checksum of the codebooks."""
+    found, books = vector_codes.codes(table(spark, folder, "embeddings"))
+    checksum = vector_codes.checksum(books) if books is not None else None
+    return found.select("vec_id", "code", "error", "label_error", F.lit(checksum).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op1_near_dedup, op2_pseudonyms, op3_mixing, op4_fingerprints, op5_url_filter, op6_substring_dedup,
-    op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring, op11_spelling_variants,
+    op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring, op11_spelling_variants, op13_vector_codes,
 )}
 
 ORACLE_SQL: dict[str, str] = check_sql.ORACLE_SQL
