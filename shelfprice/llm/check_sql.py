@@ -150,9 +150,48 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
     return "WITH " + ", ".join(s.strip() for s in steps)
 
 
+def secrets_sql() -> str:
+    """Starts of matches from the lengths of the pieces between them."""
+    # Kind, pattern, group and its least length, in the order of the kinds.
+    word = "[A-Za-z0-9_-]"
+    kinds = [
+        ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+                   r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24), ("session", "ASIA[A-Z0-9]+", 0, 20),
+        ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15), ("google", f"AIza{word}+", 0, 39),
+        ("web_token", rf"eyJ({word}+)((?:\.{word}+)*)", 2, 20),
+        ("url_login", r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 0),
+    ]
+    found = " UNION ALL ".join(f"""
+  SELECT row, {place} AS place, {quoted(kind)} AS kind, unnest(range(1, len(hits) + 1)) AS i, hits, groups, pieces, {least} AS least
+  FROM (SELECT row, regexp_extract_all(text, {quoted(pattern)}) AS hits, regexp_extract_all(text, {quoted(pattern)}, {group}) AS groups,
+               regexp_split_to_array(text, {quoted(pattern)}) AS pieces
+        FROM rows WHERE regexp_matches(text, {quoted(pattern)}))""" for place, (kind, pattern, group, least) in enumerate(kinds))
+    return f"""
+WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+spans AS (
+  SELECT row, place, kind, begun AS s, begun + length(hits[i]) AS e FROM (
+    SELECT *, CAST(list_sum([length(p) FOR p IN pieces[1:i]]) + coalesce(list_sum([length(h) FOR h IN hits[1:i - 1]]), 0) AS BIGINT) AS begun
+    FROM found WHERE length(groups[i]) >= least)
+), listed AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, place) FILTER (place < 3) AS base,
+         string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, place) AS spans
+  FROM spans GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM rows LEFT JOIN listed USING (row)
+"""
+
+
 ORACLE_SQL = {
     "op6_substring_dedup": substring_sql(),
     "op7_quality_rules": quality_sql(),
     "op8_license_scan": license_sql(),
+    "op12_secret_scan": secrets_sql(),
     "op13_vector_codes": codes_sql(),
 }

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfprice.llm import (
-    check_sql, fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, spelling,
-    substring_dedup, url_filter, vector_codes,
+    check_sql, fingerprints, license_scan, lm_scoring, mixing, near_dedup, packing, pseudonyms, quality_rules, secret_scan,
+    spelling, substring_dedup, url_filter, vector_codes,
 )
 from shelfprice.llm.common import table
 
@@ -82,6 +82,11 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once."""
+    return secret_scan.secrets(table(spark, folder, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Code of every vector, its error and that of its label, and a checksum of the codebooks."""
     found, books = vector_codes.codes(table(spark, folder, "embeddings"))
@@ -91,7 +96,7 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op1_near_dedup, op2_pseudonyms, op3_mixing, op4_fingerprints, op5_url_filter, op6_substring_dedup,
-    op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring, op11_spelling_variants, op13_vector_codes,
+    op7_quality_rules, op8_license_scan, op9_packing, op10_lm_scoring, op11_spelling_variants, op12_secret_scan, op13_vector_codes,
 )}
 
 ORACLE_SQL: dict[str, str] = check_sql.ORACLE_SQL

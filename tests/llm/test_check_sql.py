@@ -21,5 +21,5 @@ def test_query_equals_sql(spark, folder, name):
 def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
