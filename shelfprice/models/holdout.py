@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: keys whose hash starts below this hexadecimal byte are test rows (51 of 256).
 TEST_BELOW = "33"
+# Where the second and later of five folds start in the next byte.
+FOLD_STARTS = ("33", "66", "99", "cc")
 
 
 def is_test(*keys: str) -> Column:
@@ -19,6 +21,12 @@ def fold(folds: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(folds)).cast("int")
 
 
+def even_fold(*keys: str) -> Column:
+    """One of five folds from the second byte of a key's hash, which the hold-out does not use."""
+    byte = F.substring(F.md5(F.concat_ws("-", *keys)), 3, 2)
+    return sum(((byte >= start).cast("int") for start in FOLD_STARTS), F.lit(0))
+
+
 def regression_metrics(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     """R², MAE and RMSE of a scored table in one aggregation."""
     error = F.col(label) - F.col(prediction)

@@ -41,3 +41,11 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "row_number") -> t
     placed = rows.select("*", F.spark_partition_id().alias(part), place.alias("_place"))
     joined = placed.join(F.broadcast(before), part)
     return joined.withColumn(name, F.col("_before") + F.col("_place")).drop(part, "_before", "_place"), total
+
+
+def strided(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """At most ``n`` evenly spaced rows of an order, the first one included."""
+    place = "_place_in_order"
+    rows, total = numbered(df, *order, name=place)
+    stride = max(1, total // n)
+    return rows.where((F.col(place) % stride == 0) & (F.col(place) < n * stride)).drop(place)

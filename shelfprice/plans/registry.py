@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 Plan = Callable[[SparkSession, str], DataFrame]
-MODULES = ("intake", "series", "reports", "pricing", "deals", "learning")
+MODULES = ("intake", "series", "reports", "pricing", "deals", "learning", "linear")
 
 
 class Query(NamedTuple):

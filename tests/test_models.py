@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from shelfprice.models import demand, holdout, pricing, segments
+from shelfprice.models import demand, holdout, linear, pricing, segments
 from shelfprice.sources import load_model, save_model, write_json
 
 TINY = {"numTrees": 3, "maxIter": 2, "maxDepth": 3}
@@ -65,19 +65,6 @@ def test_comparison(spark, rows, tmp_path):
     fresh.release()
 
 
-def test_ridge_matches_normal_equations(rows):
-    compared = demand.ridge_model(rows, ["id"], NUMERIC)
-    train = compared.train.toPandas()
-    x = train[NUMERIC].to_numpy()
-    z = (x - x.mean(0)) / x.std(0)
-    y = train["units_sold"].to_numpy()
-    weights = np.linalg.solve(z.T @ z + 1e-3 * np.eye(3), z.T @ (y - y.mean())) / x.std(0)
-    got = {r["feature"]: r["coefficient"] for r in demand.explain(compared.models["Ridge"], NUMERIC, rows.sparkSession).collect()}
-    assert [got[f] for f in NUMERIC] == pytest.approx(weights.tolist(), rel=1e-4)
-    assert compared.metrics[0]["r2"] > 0.8
-    compared.release()
-
-
 @pytest.fixture(scope="module")
 def products(spark):
     data = [(f"P{i}", "c", 15.0 + i, 8.0 + i, 16.0 + i, 40.0 + i, 0.0, 3, 70, 20.0, 10.0) for i in range(8)]
@@ -90,17 +77,34 @@ def test_model_prices(rows, products):
     model = compared.models["linear"]
     grid = pricing.model_price_grid(products, model).collect()
     assert len(grid) == 8 and all(r["recommended_price"] >= r["cost"] and r["expected_revenue"] >= 0 for r in grid)
-    swept = {r["product_id"]: r for r in pricing.prediction_table(products, model).collect()}
-    profit = {r["product_id"]: r for r in pricing.prediction_table(products, model, "profit").collect()}
-    assert all(profit[p]["expected_profit"] >= swept[p]["expected_profit"] - 0.5 for p in swept)
-    impacts = pricing.what_if_scenarios(products, model)
-    assert impacts.count() == 32
-    assert impacts.where("feature = 'price' and impact_pct > 0").count() == 0
-    assert impacts.where("feature = 'competitor_price' and impact_pct < 0").count() == 0
-    assert impacts.where("feature = 'weekend' and impact_pct <> 0").count() == 0  # not an input of this model
     compared.release()
 
 
+def test_linear_prices(products):
+    line = linear.Line(["price", "competitor_price", "inventory", "price_gap"], 60.0, [-1.0, 0.4, 0.1, 0.5])
+    swept = {r["product_id"]: r for r in pricing.prediction_table(products, line).collect()}
+    profit = {r["product_id"]: r for r in pricing.prediction_table(products, line, "profit").collect()}
+    for r in products.collect():
+        low, high = max(r["cost"] * 1.02, 0.01), max(r["base_price"] * 1.2, r["competitor_price"] * 1.05)
+
+        def units(price):
+            said = 60 - price + 0.4 * r["competitor_price"] + 0.1 * r["inventory"] + 0.5 * (r["competitor_price"] - price)
+            return min(max(said, 0.0), r["inventory"])
+
+        prices = [low + k * (high - low) / 120 for k in range(121)]
+        for found, cost in ((swept, 0.0), (profit, r["cost"])):
+            best = max(prices, key=lambda p: (p - cost) * units(p))
+            assert found[r["product_id"]]["recommended_price"] == pytest.approx(best, abs=0.0051)
+            assert found[r["product_id"]]["expected_demand"] == pytest.approx(units(best), abs=0.051)
+    plan = pricing.prediction_table(products, line)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    impacts = pricing.what_if_scenarios(products, line)
+    assert impacts.count() == 32
+    assert impacts.where("feature = 'price' and impact_pct >= 0").count() == 0
+    assert impacts.where("feature = 'competitor_price' and impact_pct <= 0").count() == 0
+    assert impacts.where("feature = 'weekend' and impact_pct <> 0").count() == 0  # not an input of this line
+
+
 def test_segments(spark):
     rng = np.random.default_rng(4)
     data = [(i, float(rng.uniform(0, 100)), int(rng.integers(0, 40)), float(10 * (i % 4) + rng.uniform(0, 1))) for i in range(200)]
