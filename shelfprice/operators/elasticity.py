@@ -59,15 +59,15 @@ def pooled_curve(rows: DataFrame, min_rows: int = MIN_CURVE_ROWS, **names: str)
     return finish_curve(rows.agg(*curve_aggregates(**names)), min_rows)
 
 
-def merged_moments(fits: DataFrame) -> DataFrame:
-    """Moments of all groups together, from those of the groups: the rows are not read again."""
+def merged_moments(fits: DataFrame, *by: str) -> DataFrame:
+    """Moments of all groups together, or of those with equal ``by``, from those of the groups: the rows are not read again."""
     n = F.col("n_obs")
     weight = F.sum(F.when(n > 0, n))
 
     def mean(value: Column) -> Column:
         return F.sum(F.when(n > 0, n * value)) / weight
 
-    sums = fits.agg(
+    sums = fits.groupBy(*by).agg(
         weight.alias("n_obs"), mean(F.col("mean_x")).alias("mean_x"), mean(F.col("mean_y")).alias("mean_y"),
         mean(F.col("cov_xy") + F.col("mean_x") * F.col("mean_y")).alias("xy"),
         mean(F.col("var_x") + F.col("mean_x") * F.col("mean_x")).alias("xx"),
@@ -75,7 +75,7 @@ def merged_moments(fits: DataFrame) -> DataFrame:
         F.max("most_units").alias("most_units"),
     )
     return sums.select(
-        "n_obs", "mean_x", "mean_y", "most_units",
+        *by, F.coalesce("n_obs", F.lit(0)).alias("n_obs"), "mean_x", "mean_y", "most_units",
         (F.col("xy") - F.col("mean_x") * F.col("mean_y")).alias("cov_xy"),
         (F.col("xx") - F.col("mean_x") * F.col("mean_x")).alias("var_x"),
         (F.col("yy") - F.col("mean_y") * F.col("mean_y")).alias("var_y"),

@@ -179,3 +179,85 @@ def ar1_baseline(cells: DataFrame, key: str = "product_id", min_rows: int = 60)
     )
     aic = n * (F.log(F.lit(2 * math.pi) * F.nullif(F.greatest("rss", F.lit(0.0)), F.lit(0.0)) / n) + 1.0) + 6.0
     return fitted.select(key, (n + 1).cast("bigint").alias("days"), "phi", "const", aic.alias("aic"), "last_units")
+
+
+LONG_ORDER = 7
+
+
+def _lagged_days(cells: DataFrame, key: str, lags: int) -> DataFrame:
+    """``key``, ``date`` and the units ``y0`` of that day and ``y1`` ... of the days before, for days within ``lags`` of a sale.
+
+    On all other days of the span every one of these is 0. A sale is dealt to the days it is a lag of,
+    so no series is built and no window is needed.
+    """
+    span = _with_span(cells.groupBy(key, "date").agg(F.sum("units").alias("units")), key)
+    last_step = F.least(F.lit(lags), F.datediff("last", "date"))
+    dealt = span.select(key, "first", "last", "units", "date", F.explode(F.sequence(F.lit(0), last_step)).alias("step"))
+    return dealt.groupBy(key, "first", "last", F.date_add("date", F.col("step")).alias("date")).agg(*[
+        F.sum(F.when(F.col("step") == k, F.col("units")).otherwise(0.0)).alias(f"y{k}") for k in range(lags + 1)])
+
+
+def _long_autoregression(days: DataFrame, key: str, order: int) -> DataFrame:
+    """Mean ``m`` and coefficients ``f1`` ... of an autoregression per key, from its autocovariances by Levinson's recursion."""
+    age, left = F.datediff("date", "first"), F.datediff("last", "date")
+    sums = [F.sum(F.col("y0") * F.col(f"y{k}")).alias(f"p{k}") for k in range(order + 1)]
+    heads = [F.sum(F.when(age >= k, F.col("y0")).otherwise(0.0)).alias(f"h{k}") for k in range(order + 1)]
+    tails = [F.sum(F.when(left >= k, F.col("y0")).otherwise(0.0)).alias(f"t{k}") for k in range(order + 1)]
+    found = days.groupBy(key, "first", "last").agg(*sums, *heads, *tails)
+    n = (F.datediff("last", "first") + 1).cast("double")
+    found = found.withColumn("n", n).withColumn("m", F.col("h0") / F.col("n"))
+    m, n = F.col("m"), F.col("n")
+    found = found.withColumns({f"c{k}": (F.col(f"p{k}") - m * (F.col(f"h{k}") + F.col(f"t{k}")) + (n - k) * m * m) / n for k in range(order + 1)})
+    found = found.select(key, "first", "last", "n", "m", F.col("c0").alias("v"), *[f"c{k}" for k in range(1, order + 1)])
+    for k in range(1, order + 1):
+        explained = sum((F.col(f"f{j}") * F.col(f"c{k - j}") for j in range(1, k)), F.lit(0.0))
+        found = found.withColumn("r", (F.col(f"c{k}") - explained) / F.nullif("v", F.lit(0.0)))
+        found = found.withColumns({
+            **{f"f{j}": F.col(f"f{j}") - F.col("r") * F.col(f"f{k - j}") for j in range(1, k)},
+            f"f{k}": F.col("r"), "v": F.col("v") * (1.0 - F.col("r") * F.col("r")),
+        })
+    return found.select(key, "n", "m", *[f"f{j}" for j in range(1, order + 1)])
+
+
+def arma11_baseline(cells: DataFrame, key: str = "product_id", min_rows: int = 60, order: int = LONG_ORDER) -> DataFrame:
+    """Autoregression with one moving-average term of daily units, with its AIC, by two least-squares steps.
+
+    The residuals of a long autoregression stand for the unseen shocks; the units of a day are then
+    regressed on the units and the shock of the day before. Days without sales count as 0. Away from
+    sales every shock is the same, so both steps need the days within ``order + 1`` of a sale only, at most
+    as many per product as the calendar has, and the number of the others.
+    """
+    busy = cells.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), F.datediff(F.max("date"), F.min("date")).alias("length"))
+    busy = busy.where((F.col("n_rows") >= min_rows) & (F.col("length") > 2 * order + 4)).select(key)
+    days = stage(_lagged_days(cells.join(busy, key), key, order + 1))
+    shocked = days.join(_long_autoregression(days, key, order), key)
+    m = F.col("m")
+    shock = F.col("y1") - m - sum((F.col(f"f{j}") * (F.col(f"y{j + 1}") - m) for j in range(1, order + 1)), F.lit(0.0))
+    quiet = -m * (1.0 - sum((F.col(f"f{j}") for j in range(1, order + 1)), F.lit(0.0)))
+    # the shock of the day before is known from the (order + 2)-th day on
+    used = shocked.where(F.datediff("date", "first") >= order + 1).select(
+        key, "n", "date", "last", F.col("y0").alias("y"), F.col("y1").alias("x"), shock.alias("e"), quiet.alias("quiet"))
+    y, x, e = F.col("y"), F.col("x"), F.col("e")
+    sums = used.groupBy(key).agg(
+        F.max("n").alias("days"), F.max("quiet").alias("quiet"), F.count("*").alias("near"), F.max(F.when(F.col("date") == F.col("last"), y)).alias("last_units"),
+        *[F.sum(value).alias(name) for name, value in {
+            "sy": y, "sx": x, "se": e, "syy": y * y, "sxx": x * x, "see": e * e, "sxy": x * y, "sxe": x * e, "sye": y * e}.items()])
+    away = F.col("n") - F.col("near")
+    sums = sums.withColumn("n", F.col("days") - (order + 1)).withColumns({
+        "se": F.col("se") + away * F.col("quiet"), "see": F.col("see") + away * F.col("quiet") * F.col("quiet")})
+
+    def centred(a: str, b: str):
+        return F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n")
+
+    solved = sums.withColumns({f"c{a}{b}": centred(a, b) for a, b in ("yy", "xx", "ee", "xy", "xe", "ye")})
+    det = F.nullif(F.col("cxx") * F.col("cee") - F.col("cxe") * F.col("cxe"), F.lit(0.0))
+    solved = solved.withColumns({
+        "phi": (F.col("cxy") * F.col("cee") - F.col("cye") * F.col("cxe")) / det,
+        "theta": (F.col("cye") * F.col("cxx") - F.col("cxy") * F.col("cxe")) / det,
+    })
+    n, phi, theta = F.col("n"), F.col("phi"), F.col("theta")
+    rss = F.col("cyy") - phi * F.col("cxy") - theta * F.col("cye")
+    aic = n * (F.log(F.lit(2 * math.pi) * F.nullif(F.greatest(rss, F.lit(0.0)), F.lit(0.0)) / n) + 1.0) + 8.0
+    return solved.select(
+        key, F.col("days").cast("bigint").alias("days"), phi.alias("phi"), theta.alias("theta"),
+        ((F.col("sy") - phi * F.col("sx") - theta * F.col("se")) / n).alias("const"), aic.alias("aic"), "last_units")

@@ -6,15 +6,19 @@ step per input.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfprice.functions import round_to
 from shelfprice.models import holdout, linear, pricing
 from shelfprice.models.demand import LABEL, RIDGE_FEATURES, RIDGE_PENALTY
+from shelfprice.operators.batches import Batches
 from shelfprice.operators.numbering import strided
 from shelfprice.operators.staging import stage
 from shelfprice.plans.registry import query
 from shelfprice.plans.views import SEASON, half_up, sql
+from shelfprice.session import scratch_dir
 from shelfprice.sources import retail
 
 LINE_KEYS = ["order_id", "line_no", "supplier_id", "product_id"]
@@ -97,6 +101,28 @@ def ridge_model(spark, folder):
     return rounded.withColumn("coefficient", round_to(F.col("coefficient"), 4))
 
 
+@query(sql(f"""
+SELECT feature, {half_up("coefficient", 4)} AS coefficient, n_rows
+FROM (SELECT unnest({RIDGE_FEATURES}) AS feature, unnest(w) AS coefficient, CAST(p[1] AS BIGINT) AS n_rows FROM ridge)
+""", "sales", **RIDGE))
+def refreshed_ridge(spark, folder):
+    """The ridge model from stored moments: three folds first, then the other two as a batch of new rows, one batch removed."""
+    ridge = Ridge(spark, folder)
+    kept = Batches(spark, f"{scratch_dir(spark)}/moments-{uuid.uuid4().hex}")
+
+    def moments(rows):
+        return linear.moment_table(rows.where(~F.col("is_test")), RIDGE_FEATURES, LABEL)
+
+    kept.put("first", moments(ridge.rows.where("fold < 3")))
+    kept.put("twice", moments(ridge.rows.where("fold = 1")))
+    kept.put("new", moments(ridge.rows.where("fold >= 3")))
+    kept.remove("twice")
+    merged = linear.collected(kept.read(), RIDGE_FEATURES)[None]
+    line = merged.ridge(RIDGE_PENALTY)
+    rows = spark.createDataFrame([(f, w, merged.n) for f, w in zip(RIDGE_FEATURES, line.coefficients, strict=True)], "feature string, coefficient double, n_rows long")
+    return rows.withColumn("coefficient", round_to(F.col("coefficient"), 4))
+
+
 _LIST = "[" + ", ".join(str(p) for p in PENALTIES) + "]::DOUBLE[]"
 FOLDS = {
     **CROSSED,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfprice.functions import round_to
 from shelfprice.operators import analytics, elasticity as curves, recommend as price
+from shelfprice.operators.batches import Batches
 from shelfprice.plans.registry import query
 from shelfprice.plans.views import half_up, sql
+from shelfprice.session import scratch_dir
 from shelfprice.sources import retail
 
 # A stricter rule than the default, so that some test products need the pooled curve.
@@ -60,6 +64,27 @@ def elasticity_pooled(spark, folder):
     return _rounded(fitted, CURVE).drop("usable")
 
 
+def _curve_moments(rows, *by):
+    return rows.groupBy(*by, "product_id").agg(*curves.curve_aggregates())
+
+
+@query(sql(f"""
+SELECT product_id, n_obs, {", ".join(f"{half_up(c, 6)} AS {c}" for c in CURVE)}, ceiling,
+       n_obs >= 8 AND sxx > 1e-12 AND elasticity < -0.01 AS usable
+FROM curves
+""", "curves"))
+def refreshed_curves(spark, folder):
+    """Curves from the statistics of batches: a year each, a new one added, a faulty one put twice and removed."""
+    lines = retail.lines(spark, folder).withColumn("year", F.year("date"))
+    kept = Batches(spark, f"{scratch_dir(spark)}/curves-{uuid.uuid4().hex}")
+    kept.put_each(_curve_moments(lines.where("year < 2000"), "year"), "year")
+    for _ in range(2):
+        kept.put("faulty", _curve_moments(lines.where("year = 1997").withColumn("price", F.col("price") * 2)))
+    kept.put("2000 and later", _curve_moments(lines.where("year >= 2000")))
+    kept.remove("faulty")
+    return _rounded(curves.finish_curve(curves.merged_moments(kept.read(), "product_id")), CURVE)
+
+
 @query(sql("SELECT product_id, step, price, demand, revenue, profit FROM swept", "swept"))
 def candidate_sweep(spark, folder):
     return price.candidate_table(price.sweep(retail.pricing_rows(spark, folder)))

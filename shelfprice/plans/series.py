@@ -146,6 +146,55 @@ def ar1_baseline(spark, folder):
     return fitted.withColumns({"phi": round_to(F.col("phi"), 6), "const": round_to(F.col("const"), 6), "aic": round_to(F.col("aic"), 4)})
 
 
+def _levinson(order: int) -> dict[str, str]:
+    """Steps from autocovariances c0, c1, ... to the coefficients f1, ... of an autoregression."""
+    steps, before = {}, "covariances"
+    for k in range(1, order + 1):
+        explained = "".join(f" - f{j} * c{k - j}" for j in range(1, k))
+        replaced = "".join(f", f{j} - r * f{k - j} AS f{j}" for j in range(1, k))
+        dropped = ", ".join(["v", "r", *[f"f{j}" for j in range(1, k)]])
+        steps[f"levinson{k}"] = f"""
+            SELECT * EXCLUDE ({dropped}){replaced}, r AS f{k}, v * (1.0 - r * r) AS v
+            FROM (SELECT *, (c{k}{explained}) / nullif(v, 0.0) AS r FROM {before})"""
+        before = f"levinson{k}"
+    return steps
+
+
+_P = features.LONG_ORDER
+SHOCKS = {
+    "deviations": f"""
+        SELECT product_id, i, days, units, units - m AS d, m, {", ".join(f"lag(units - m, {k}) OVER w AS d{k}" for k in range(1, _P + 1))}
+        FROM (SELECT *, avg(units) OVER (PARTITION BY product_id) AS m FROM series) WINDOW w AS (PARTITION BY product_id ORDER BY i)""",
+    "covariances": f"""
+        SELECT product_id, sum(d * d) / count(*) AS v, {", ".join(f"sum(d * d{k}) / count(*) AS c{k}" for k in range(1, _P + 1))}
+        FROM deviations WHERE days > {2 * _P + 5} GROUP BY product_id""",
+    **_levinson(_P),
+    "shocks": f"""
+        SELECT product_id, i, days, units, d - {" - ".join(f"f{k} * d{k}" for k in range(1, _P + 1))} AS e
+        FROM deviations JOIN levinson{_P} USING (product_id)""",
+    "pairs": "SELECT *, lag(units) OVER w AS x, lag(e) OVER w AS e1 FROM shocks WINDOW w AS (PARTITION BY product_id ORDER BY i)",
+    "moments": """
+        SELECT product_id, days, CAST(count(e1) AS DOUBLE) AS n, avg(units) FILTER (e1 IS NOT NULL) AS my, avg(x) FILTER (e1 IS NOT NULL) AS mx, avg(e1) AS me,
+               regr_syy(units, e1) AS cyy, regr_sxx(e1, x) AS cxx, regr_sxx(units, e1) AS cee, regr_sxy(units, e1) AS cye, regr_sxy(e1, x) AS cxe,
+               sum((units - mu) * (x - mu)) FILTER (e1 IS NOT NULL) - count(e1) * avg(units - mu) FILTER (e1 IS NOT NULL) * avg(x - mu) FILTER (e1 IS NOT NULL) AS cxy,
+               max(units) FILTER (i = days) AS last_units
+        FROM (SELECT *, avg(units) OVER (PARTITION BY product_id) AS mu FROM pairs) GROUP BY product_id, days""",
+    "solved": """
+        SELECT *, (cxy * cee - cye * cxe) / nullif(cxx * cee - cxe * cxe, 0.0) AS phi, (cye * cxx - cxy * cxe) / nullif(cxx * cee - cxe * cxe, 0.0) AS theta
+        FROM moments""",
+}
+
+
+@query(sql(f"""
+SELECT product_id, days, {half_up("phi", 4)} AS phi, {half_up("theta", 4)} AS theta, {half_up("my - phi * mx - theta * me", 4)} AS const,
+       {half_up("n * (ln(2 * pi() * (cyy - phi * cxy - theta * cye) / n) + 1) + 8", 3)} AS aic, last_units
+FROM solved
+""", "cells", series=SERIES, **SHOCKS))
+def arma11_baseline(spark, folder):
+    fitted = features.arma11_baseline(features.daily_cells(retail.lines(spark, folder)), min_rows=MIN_SERIES_ROWS)
+    return fitted.withColumns({**{c: round_to(F.col(c), 4) for c in ("phi", "theta", "const")}, "aic": round_to(F.col("aic"), 3)})
+
+
 RECENT = """
     SELECT product_id, inventory, row_number() OVER (PARTITION BY product_id ORDER BY date DESC, order_id DESC, line_no DESC,
            supplier_id DESC, units_sold DESC, price DESC) AS recency FROM sales"""
