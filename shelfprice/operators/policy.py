@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfprice.functions import cents
@@ -15,6 +16,10 @@ REWARD_DEMAND = 40.0
 PRESSURE_WEIGHT = 0.5
 HOLDING_COST = 0.2
 
+# Worth of the next state, and rounds after which values no longer change by a thousandth.
+DISCOUNT = 0.9
+ROUNDS = 200
+
 STATE = ["inventory_bin", "pressure_bin", "gap_bin"]
 AXES = {"inventory_bin": "inventory", "pressure_bin": "demand_pressure", "gap_bin": "competitor_gap"}
 
@@ -70,6 +75,61 @@ def greedy_policy(values: DataFrame) -> DataFrame:
     ).select(*STATE, "best.*", "n_rows")
 
 
+def _state_number() -> Column:
+    return F.col(STATE[0]) * BINS * BINS + F.col(STATE[1]) * BINS + F.col(STATE[2])
+
+
+def transitions(rows: DataFrame) -> DataFrame:
+    """How often each action in each state was followed by which state: (state, action, next_state, n).
+
+    ``rows`` have product_id, date, base_price and the state bins, one row per product and day. The action
+    of a day is the multiplier that is nearest to its price over the product's mean price. The windows are
+    per product, which has no more rows than the calendar has days; the counts merge map-side.
+    """
+    own = Window.partitionBy("product_id")
+    ratio = F.col("base_price") / F.avg("base_price").over(own)
+    middles = [(a + b) / 2 for a, b in zip(MULTIPLIERS, MULTIPLIERS[1:], strict=False)]
+    action = sum(((F.col("ratio") >= m).cast("int") for m in middles), F.lit(0))
+    steps = rows.withColumn("state", _state_number()).select(
+        "product_id", "state", ratio.alias("ratio"), F.lead("state").over(own.orderBy("date")).alias("next_state"))
+    return steps.where(F.col("next_state").isNotNull()).groupBy("state", action.alias("action"), "next_state").agg(F.count("*").alias("n"))
+
+
+def long_run_policy(rewards: DataFrame, steps: DataFrame, discount: float = DISCOUNT, rounds: int = ROUNDS) -> DataFrame:
+    """Best action per state when the value of the state that follows counts too.
+
+    Value iteration on the mean rewards of :func:`action_values` and the shares of :func:`transitions`: both are
+    bounded by states and actions (135 rewards, 3,645 counts), whatever the table, and come to the
+    driver. An action that a state has not seen is followed by what follows that state in general, a state that
+    nothing follows by itself.
+    """
+    states = BINS ** len(STATE)
+    reward_of = np.full((states, len(MULTIPLIERS)), -np.inf)
+    for r in rewards.withColumn("state", _state_number()).collect():
+        reward_of[r["state"], r["action"]] = r["value"]
+    counts = np.zeros((states, len(MULTIPLIERS), states))
+    for r in steps.collect():
+        counts[r["state"], r["action"], r["next_state"]] = r["n"]
+    seen = counts.sum(axis=2)
+    general = counts.sum(axis=1)
+    general[general.sum(axis=1) == 0] = np.eye(states)[general.sum(axis=1) == 0]
+    shares = np.where(seen[:, :, None] > 0, counts, general[:, None, :])
+    shares /= shares.sum(axis=2, keepdims=True)
+    known = np.isfinite(reward_of).any(axis=1)
+    worth = np.zeros(states)
+    values = reward_of
+    for _ in range(rounds):
+        values = reward_of + discount * (shares @ worth)
+        worth = np.where(known, values.max(axis=1, initial=-np.inf), 0.0)
+    found = []
+    for state in np.flatnonzero(known):
+        action = int(values[state].argmax())
+        bins = [int(state) // BINS ** k % BINS for k in (2, 1, 0)]
+        found.append((*bins, action, MULTIPLIERS[action], float(values[state, action]), int(seen[state].sum())))
+    schema = ", ".join(f"{c} int" for c in STATE) + ", action int, multiplier double, value double, n_steps long"
+    return rewards.sparkSession.createDataFrame(found, schema)
+
+
 def policy_prices(products: DataFrame, policy: DataFrame) -> DataFrame:
     """Apply the policy: recommended price times the multiplier of the product's state.
 

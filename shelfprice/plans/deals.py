@@ -135,12 +135,12 @@ def rule_discount(spark, folder):
 
 def _history(spark, folder, products):
     """Product-days as market situations: stock, demand pressure and price gap."""
-    days = features.daily_cells(retail.lines(spark, folder)).select("product_id", "n_rows", "units", "price_total")
+    days = features.daily_cells(retail.lines(spark, folder)).select("product_id", "date", "n_rows", "units", "price_total")
     ends = days.agg(F.struct(F.min("units").alias("lo"), F.max("units").alias("hi"))).scalar()
     product = products.select("product_id", "competitor_price", "cost", "elasticity").join(
         retail.products(spark, folder).select("product_id", "stock"), "product_id")
     return stage(days.join(product, "product_id").select(
-        "product_id", features.mean_price().alias("base_price"), "cost", "elasticity",
+        "product_id", "date", features.mean_price().alias("base_price"), "cost", "elasticity",
         (F.col("stock") + F.col("units")).alias("inventory"),
         ((F.col("units") - ends.getField("lo")) / (ends.getField("hi") - ends.getField("lo"))).alias("demand_pressure"),
         ((features.mean_price() - F.col("competitor_price")) / F.col("competitor_price")).alias("competitor_gap"),
@@ -153,7 +153,7 @@ def _policy(history):
 
 
 HISTORY = """
-    SELECT product_id, CAST(price_total AS DOUBLE) / n_rows AS base_price, r.cost, elasticity, stock + units AS inventory,
+    SELECT product_id, date, CAST(price_total AS DOUBLE) / n_rows AS base_price, r.cost, elasticity, stock + units AS inventory,
            (units - lo) / (hi - lo) AS demand_pressure, (CAST(price_total AS DOUBLE) / n_rows - competitor_price) / competitor_price AS competitor_gap
     FROM cells JOIN offers r USING (product_id) JOIN (SELECT product_id, stock FROM products) USING (product_id), (SELECT min(units) AS lo, max(units) AS hi FROM cells)"""
 
@@ -201,3 +201,46 @@ def policy_prices(spark, folder):
         "competitor_gap", (F.col("recommended_price") - F.col("competitor_price")) / F.col("competitor_price")
     )
     return policy.policy_prices(policy.with_state(current, limits), found)
+
+
+MIDDLES = [(a + b) / 2 for a, b in zip(policy.MULTIPLIERS, policy.MULTIPLIERS[1:], strict=False)]
+LONG_RUN = {
+    "visited": f"""
+        SELECT *, {_bin("inventory", "i0", "i1")} * 9 + {_bin("demand_pressure", "d0", "d1")} * 3 + {_bin("competitor_gap", "g0", "g1")} AS state,
+               base_price / avg(base_price) OVER (PARTITION BY product_id) AS ratio FROM history, limits""",
+    "counted": f"""
+        SELECT state, action, next_state, count(*) AS n
+        FROM (SELECT state, {" + ".join(f"CAST(ratio >= {m!r}::DOUBLE AS INTEGER)" for m in MIDDLES)} AS action,
+                     lead(state) OVER (PARTITION BY product_id ORDER BY date) AS next_state FROM visited)
+        WHERE next_state IS NOT NULL GROUP BY ALL""",
+    "rewards": "SELECT inventory_bin * 9 + pressure_bin * 3 + gap_bin AS state, action, value FROM action_values",
+    "shares": """
+        SELECT state, action, value, next_state, n / sum(n) OVER (PARTITION BY state, action) AS share
+        FROM (SELECT state, action, value, next_state, n FROM rewards JOIN counted USING (state, action)
+              UNION ALL
+              SELECT state, action, value, next_state, n FROM (SELECT * FROM rewards ANTI JOIN counted USING (state, action))
+                  JOIN (SELECT state, next_state, sum(n) AS n FROM counted GROUP BY ALL) USING (state)
+              UNION ALL
+              SELECT state, action, value, state, 1 FROM rewards ANTI JOIN counted USING (state))""",
+    "valued": f"""
+        SELECT 0 AS round, state, CAST(NULL AS INTEGER) AS action, 0.0::DOUBLE AS value FROM (SELECT DISTINCT state FROM rewards)
+        UNION ALL
+        SELECT round + 1, state, CAST(first(action ORDER BY q DESC, action) AS INTEGER), max(q)
+        FROM (SELECT v.round, s.state, s.action, any_value(s.value) + 0.9::DOUBLE * sum(s.share * v.value) AS q
+              FROM valued v JOIN shares s ON s.next_state = v.state WHERE v.round < {policy.ROUNDS} GROUP BY ALL)
+        GROUP BY round, state""",
+}
+
+
+@query(sql(f"""
+SELECT CAST(state // 9 AS INTEGER) AS inventory_bin, CAST(state // 3 % 3 AS INTEGER) AS pressure_bin, CAST(state % 3 AS INTEGER) AS gap_bin, action,
+       [0.85::DOUBLE, 0.92, 1.0, 1.08, 1.15][action + 1] AS multiplier, {half_up("value", 3)} AS value,
+       CAST(coalesce((SELECT sum(n) FROM counted c WHERE c.state = valued.state), 0) AS BIGINT) AS n_steps
+FROM valued WHERE round = {policy.ROUNDS}
+""", "offers", "cells", "products", recursive=True, **POLICY_STEPS, **LONG_RUN))
+def price_policy_value(spark, folder):
+    """The price policy that also counts what the next state is worth, from the steps between consecutive sale days."""
+    history = _history(spark, folder, pressured_products(spark, folder))
+    binned = stage(policy.with_state(history, policy.axis_limits(history)))
+    found = policy.long_run_policy(policy.action_values(binned), policy.transitions(binned))
+    return found.withColumn("value", round_to(F.col("value"), 3))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from shelfprice.functions import round_to
 from shelfprice.operators import analytics, features
+from shelfprice.operators.digest import table_digest
 from shelfprice.operators.staging import stage
 from shelfprice.plans.registry import query
-from shelfprice.plans.views import half_up, sql
+from shelfprice.plans.views import digest_sql, half_up, sql
 from shelfprice.sources import retail
 
 # The test products have 14 to 49 lines each; 60 is meant for years of daily rows.
@@ -102,6 +103,19 @@ def gap_filled_products(spark, folder):
     return features.gap_filled(features.daily_cells(retail.lines(spark, folder)), "product_id")
 
 
+EVERY_DAY = """
+    SELECT product_id, CAST(day AS DATE) AS date, coalesce(units, 0.0) AS units
+    FROM (SELECT product_id, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS day FROM cells GROUP BY product_id)
+    LEFT JOIN (SELECT product_id AS p, date AS d, units FROM cells) ON p = product_id AND d = day"""
+
+
+@query(sql(digest_sql("filled", ["CAST(product_id AS VARCHAR)", "CAST(date AS VARCHAR)", "CAST(CAST(floor(units * 1e6 + 0.5) AS BIGINT) AS VARCHAR)"], "product_id"),
+           "cells", filled=EVERY_DAY))
+def gap_filled_digests(spark, folder):
+    """Checksums per product of all days of all products: the series themselves are millions of rows."""
+    return table_digest(gap_filled_products(spark, folder), "product_id")
+
+
 SERIES = f"""
     SELECT product_id, CAST(day AS DATE) AS day, coalesce(units, 0.0) AS units,
            row_number() OVER (PARTITION BY product_id ORDER BY day) AS i,

@@ -132,10 +132,20 @@ def sweep_views(objective: str = "revenue") -> dict[str, tuple[tuple[str, ...],
     }
 
 
-def sql(body: str, *names: str, objective: str = "revenue", **steps: str) -> str:
+def digest_sql(table: str, texts: list[str], *by: str) -> str:
+    """The checksums of ``operators.digest`` over a table whose columns are written by the expressions ``texts``."""
+    row = "md5(concat_ws('|', " + ", ".join(f"coalesce({t}, 'null')" for t in texts) + "))"
+    keys = "".join(f"{c}, " for c in by)
+    return f"""
+SELECT {keys}count(*) AS n_rows, {", ".join(f"CAST(sum(CAST('0x' || substr(hash, {start}, 8) AS BIGINT)) AS BIGINT) AS {name}" for start, name in ((1, "hash_high"), (9, "hash_low")))}
+FROM (SELECT *, {row} AS hash FROM {table}) {"GROUP BY " + ", ".join(by) if by else ""}"""
+
+
+def sql(body: str, *names: str, objective: str = "revenue", recursive: bool = False, **steps: str) -> str:
     """``body`` behind the WITH clause of the named views and of those they use.
 
-    ``steps`` are further named subqueries, in order, that may read the views.
+    ``steps`` are further named subqueries, in order, that may read the views; with
+    ``recursive`` also themselves.
     """
     known = {**VIEWS, **sweep_views(objective)}
     ordered: list[str] = []
@@ -149,4 +159,4 @@ def sql(body: str, *names: str, objective: str = "revenue", **steps: str) -> str
     for name in names:
         need(name)
     clauses = [f"{name} AS ({known[name][1]})" for name in ordered] + [f"{name} AS ({text})" for name, text in steps.items()]
-    return "WITH " + ",\n".join(clauses) + f"\n{body}" if clauses else body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(clauses) + f"\n{body}" if clauses else body
