@@ -80,6 +80,42 @@ def test_model_prices(rows, products):
     compared.release()
 
 
+PRICED = ["price", "price_vs_competitor", "price_ratio_to_base", "price_over_cat", "inventory"]
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_exact_prices_are_the_best_of_all_cents(spark, scaled):
+    rng = np.random.default_rng(8)
+    n = 500
+    price, rival, mean, cat = rng.uniform(8, 30, n), rng.uniform(10, 25, n), rng.uniform(12, 20, n), rng.uniform(14, 18, n)
+    units = np.maximum(0, 70 - 2 * price + np.where(price > 19, -15, 0) + (rival - price) + rng.normal(0, 3, n))
+    data = [tuple(map(float, (i, p, p - r, p / m, p - c, 50.0, u))) for i, (p, r, m, c, u) in enumerate(zip(price, rival, mean, cat, units))]
+    table = spark.createDataFrame(data, ", ".join(f"{c} double" for c in ["id", *PRICED, "units_sold"]))
+    models = {"trees": demand.demand_regressors({"maxIter": 5, "maxDepth": 4})["boosted"]}
+    compared = demand.compare(table, ["id"], PRICED, models, folds=1, scaled=scaled)
+    model = compared.models["trees"]
+    assert set(pricing.price_thresholds(model)) == set(PRICED[:4])
+    data = [(f"P{i}", "c", 12.0 + i, 6.0 + i, 13.0 + i, 40.0, 0.0, 3, 70, 16.0, 10.0, 15.0 + i / 2) for i in range(6)]
+    products = spark.createDataFrame(data + [("dear", "c", 10.0, 50.0, 9.0, 40.0, 0.0, 3, 70, 16.0, 10.0, 10.0)], (
+        "product_id string, category string, base_price double, cost double, competitor_price double, inventory double, is_weekend double, "
+        "month int, doy int, cat_mean_price double, recent_units double, mean_price double"))
+    got = {r["product_id"]: r for r in pricing.model_price_exact(products, model).collect()}
+    for r in products.collect():
+        low = max(r["cost"], r["base_price"] * 0.8, r["competitor_price"] * 0.9)
+        high = max(r["cost"] + 0.01, min(r["base_price"] * 1.3, r["competitor_price"] * 1.25))
+        cents = range(int(np.ceil(low * 100 - 1e-6)), int(np.floor(high * 100 + 1e-6)) + 1)
+        tried = products.where(F.col("product_id") == r["product_id"]).crossJoin(spark.createDataFrame([(c / 100.0,) for c in cents], "price double"))
+        every = demand.score(model, pricing.model_rows(tried)).select("price", F.least("prediction", "inventory").alias("units")).collect()
+        best = max(every, key=lambda x: (x["price"] * x["units"], -x["price"]))
+        row = got[r["product_id"]]
+        assert row["recommended_price"] == pytest.approx(best["price"]), r["product_id"]
+        assert row["expected_revenue"] == pytest.approx(best["price"] * best["units"], abs=0.006)
+        assert row["n_prices"] < max(len(cents), 2)
+    grid = {r["product_id"]: r for r in pricing.model_price_grid(products, model).collect()}
+    assert all(got[p]["expected_revenue"] >= grid[p]["expected_revenue"] - 0.01 * 40 for p in grid)
+    compared.release()
+
+
 def test_linear_prices(products):
     line = linear.Line(["price", "competitor_price", "inventory", "price_gap"], 60.0, [-1.0, 0.4, 0.1, 0.5])
     swept = {r["product_id"]: r for r in pricing.prediction_table(products, line).collect()}
