@@ -24,7 +24,8 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 def parse_number(text: Column) -> Column:
     """Number from text such as ``$1,234.50``; blank or unreadable text, and one that is not finite, gives NULL."""
     plain = F.regexp_replace(text, NUMBER_NOISE, "")
-    value = F.when(plain.rlike(NUMBER), plain.try_cast("double"))
+    # most text is a number as it stands and needs one pattern only
+    value = F.when(text.rlike(NUMBER), text.try_cast("double")).when(plain.rlike(NUMBER), plain.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
@@ -32,14 +33,16 @@ def parse_date(text: Column) -> Column:
     """Date from ISO text, day/month/year or month/day/year text, or worded text.
 
     A leading part above 12 can only be a day; two-digit years are of this century.
-    Numeric shapes are rewritten to ISO text step by step, so every pattern runs once
-    per value, and only text of another shape reaches the worded formats.
+    ISO text is read as it is. Other numeric shapes are rewritten to ISO text step by step, so every
+    pattern runs once per value, and only text of another shape reaches the worded formats.
     """
-    text = F.regexp_replace(F.trim(text), WEEKDAY, "")
+    given = F.trim(text)
+    text = F.regexp_replace(given, WEEKDAY, "")
     shape = F.regexp_replace(text, SHORT_YEAR, "$1/$2/20$3")
     shape = F.regexp_replace(shape, YEAR_FIRST, "$1-$2-$3")
     shape = F.regexp_replace(shape, DAY_FIRST, "$3-$2-$1")
     shape = F.regexp_replace(shape, MONTH_FIRST, "$3-$1-$2")
     iso = F.regexp_extract(shape, ISO_DATE, 0)
     worded = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)).cast("date") for fmt in WORDED_DATES])
-    return F.when(iso != "", iso.try_cast("date")).otherwise(worded)
+    as_given = F.when(given.rlike(ISO_DATE), F.regexp_extract(given, ISO_DATE, 0))
+    return F.when(as_given.isNotNull(), as_given.try_cast("date")).when(iso != "", iso.try_cast("date")).otherwise(worded)

@@ -13,6 +13,7 @@ from shelfprice.functions import from_cents, holiday_flag, month_name, round_to,
 from shelfprice.functions.calendar import FESTIVAL_MONTHS
 from shelfprice.operators.features import daily_cells
 from shelfprice.operators.quantiles import group_medians
+from shelfprice.operators.staging import stage
 
 LOW_COVER_DAYS = 7
 HIGH_COVER_DAYS = 60
@@ -137,8 +138,10 @@ def monthly(cells: DataFrame) -> DataFrame:
 def flag_extremes(groups: DataFrame, name: str, measure: str, best: str, worst: str) -> DataFrame:
     """Mark the groups with the highest and the lowest measure, the first name on ties.
 
-    The two names are aggregates of ``groups``, so no task needs all groups together.
+    The two names are aggregates of ``groups``, so no task needs all groups together. The groups
+    are staged, so that the table behind them is read once.
     """
+    groups = stage(groups)
     ends = groups.agg(
         F.min_by(name, F.struct(-F.col(measure), F.col(name))).alias("hi"),
         F.min_by(name, F.struct(F.col(measure), F.col(name))).alias("lo"),

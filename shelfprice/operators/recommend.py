@@ -14,6 +14,7 @@ from shelfprice.functions import cents, round_to, safe_ratio, seasonal_factor
 from shelfprice.operators.elasticity import (
     CURVE_FIELDS, curve_aggregates, demand_at, finish_curve, merged_moments, with_pooled_fallback,
 )
+from shelfprice.operators.staging import stage
 
 # The sweep and the business rules.
 CANDIDATES = 14
@@ -33,15 +34,15 @@ def market_state(rows: DataFrame, order: list[str], carry: list[str], group: str
     """Curve and latest row per product in one aggregation: one scan, one shuffle.
 
     A product without a usable curve of its own gets that of all products together,
-    which is merged from the products' moments.
+    which is merged from the products' moments. These are staged, one row per product, as both need them.
 
     ``order`` ranks rows from old to new; ``carry`` names the columns of the latest
     row to keep.
     """
-    state = rows.groupBy(group).agg(
+    state = stage(rows.groupBy(group).agg(
         *curve_aggregates(),
         F.max_by(F.struct("price", *carry), F.struct(*order)).alias("latest"),
-    )
+    ))
     pooled = finish_curve(merged_moments(state.drop("latest")), min_rows)
     state = with_pooled_fallback(finish_curve(state, min_rows), pooled)
     return state.select(group, *CURVE_FIELDS, F.col("latest.price").alias("current_price"), *[f"latest.{c}" for c in carry])

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelfprice.functions import parse_date, parse_number, round_to
+from shelfprice.functions import from_cents, parse_date, parse_number, round_to, to_cents
 from shelfprice.operators import cleaning, profiling
-from shelfprice.operators.mapping import detect_roles
+from shelfprice.operators.mapping import apply_mapping, detect_roles, standardize_receipt, suggest_mapping
 from shelfprice.plans.registry import query
 from shelfprice.plans.views import half_up, sql
 from shelfprice.session import scratch_dir
@@ -89,7 +89,7 @@ def number_parse(spark, folder):
     return orders.withColumn("parsed", parse_number(F.col("shown")))
 
 
-@query(sql(f"""
+NORMALIZED = f"""
 SELECT order_id, line_no, supplier_id, product_id, date, category, price, cost, competitor_price, inventory, units_sold,
        CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, month,
        ([1.12, 0.92, 1.0, 1.02, 0.96, 0.84, 0.78, 0.88, 1.08, 1.32, 1.5, 1.24][month])::DOUBLE AS seasonal_factor,
@@ -105,11 +105,51 @@ FROM (SELECT *, CAST(month(date) AS INTEGER) AS month FROM (
            CASE WHEN return_flag = 'A' THEN price * 1.03 ELSE competitor_price END AS competitor_price,
            CASE WHEN line_status = 'F' THEN inventory ELSE 0.0 END AS inventory, units_sold
     FROM sales WHERE discount <> 0.1))
-""", "sales"))
+"""
+
+
+@query(sql(NORMALIZED, "sales"))
 def normalize_sales(spark, folder):
     return cleaning.normalize_sales(retail.raw_sales(spark, folder), keep=ROW_KEYS)
 
 
+#: The raw columns under the names another shop gives them.
+FOREIGN_HEADERS = {
+    "product_id": "SKU", "date": "Order-Date", "category": "Department", "price": "Selling Price", "cost": "Unit Cost",
+    "competitor_price": "Market_Price", "inventory": "Stock level", "units_sold": "QTY",
+}
+
+
+@query(sql(f"SELECT * EXCLUDE (order_id, line_no, supplier_id) FROM ({NORMALIZED})", "sales"))
+def mapped_sales(spark, folder):
+    """A table with foreign headers: columns recognised, required ones checked, rows normalised."""
+    raw = retail.raw_sales(spark, folder).drop(*ROW_KEYS)
+    foreign = raw.select(*[F.col(c).alias(FOREIGN_HEADERS[c]) for c in reversed(raw.columns)])
+    return cleaning.normalize_sales(apply_mapping(foreign, suggest_mapping(foreign.columns)))
+
+
+RECEIPT_HEADERS = {"gender": "Gender", "quantity": "Quantity", "price": "Unit price", "sales": "Sales", "tax_5pct": "Tax 5%", "cogs": "Cost of goods sold",
+                   "gross_income": "gross income"}
+
+
+@query(sql(f"""
+SELECT gender, CAST(sum(quantity) AS DOUBLE) AS units, {half_up("sum(CAST(tax_5pct AS DECIMAL(18,2)))::DOUBLE", 2)} AS tax,
+       {half_up("sum(CAST(cogs AS DECIMAL(18,2)))::DOUBLE", 2)} AS cogs, {half_up("sum(CAST(gross_income AS DECIMAL(18,2)))::DOUBLE", 2)} AS gross_income,
+       max(price) AS top_price FROM till GROUP BY gender
+""", "till"))
+def receipt_totals(spark, folder):
+    """Totals of a receipt table that comes with the headers of a till export."""
+    export = retail.till(spark, folder).select(*[F.col(c).alias(h) for c, h in RECEIPT_HEADERS.items()])
+    receipts = standardize_receipt(export)
+
+    def total(c):
+        return from_cents(F.sum(to_cents(F.col(c))))
+
+    return receipts.groupBy("gender").agg(
+        F.sum("units").alias("units"), total("tax_5pct").alias("tax"), total("cogs").alias("cogs"),
+        total("gross_income").alias("gross_income"), F.max("price").alias("top_price"))
+
+
 def _gappy(spark, folder):
     flag, status = F.col("return_flag"), F.col("line_status")
     return retail.sales(spark, folder).select(

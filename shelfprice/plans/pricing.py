@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from shelfprice.functions import round_to
 from shelfprice.operators import analytics, elasticity as curves, recommend as price
 from shelfprice.operators.batches import Batches
+from shelfprice.operators.quantiles import column_quantiles
+from shelfprice.operators.staging import stage
 from shelfprice.plans.registry import query
 from shelfprice.plans.views import half_up, sql
 from shelfprice.session import scratch_dir
@@ -36,6 +38,40 @@ def portfolio(spark, folder):
     return _rounded(price.portfolio(recommended(spark, folder)), ["elasticity"])
 
 
+def _written(value: str) -> str:
+    return f"CAST(CAST({value} AS DECIMAL(18,2)) AS VARCHAR)"
+
+
+@query(sql(f"""
+SELECT product_id, '{{"product_id":' || product_id || ',"prices":{{"current":"' || {_written("current_price")} || '","recommended":"' || {_written("recommended_price")}
+       || '"}},"expected":{{"revenue":"' || {_written("expected_revenue")} || '","profit":"' || {_written("expected_profit")} || '"}},"reliability":"' || reliability || '"}}' AS payload
+FROM recommended
+""", "recommended"))
+def portfolio_json(spark, folder):
+    """One JSON payload per recommendation, money as text with two digits."""
+    def money(c):
+        return F.col(c).cast("decimal(18,2)").cast("string")
+
+    payload = F.struct(
+        "product_id", F.struct(money("current_price").alias("current"), money("recommended_price").alias("recommended")).alias("prices"),
+        F.struct(money("expected_revenue").alias("revenue"), money("expected_profit").alias("profit")).alias("expected"), "reliability")
+    return price.portfolio(recommended(spark, folder)).select("product_id", F.to_json(payload).alias("payload"))
+
+
+#: Products of this category come without a price of their own, as in a catalogue with gaps.
+UNPRICED = "PROMO"
+_GAPS = f"CASE WHEN category <> '{UNPRICED}' THEN price ELSE (SELECT quantile_cont(l.price, 0.5) FROM latest l JOIN products USING (product_id) WHERE category <> '{UNPRICED}') END"
+
+
+@query(sql(f"SELECT {PORTFOLIO} FROM recommended", "recommended").replace("price AS current_price, cost, category", f"{_GAPS} AS current_price, cost, category"))
+def portfolio_without_prices(spark, folder):
+    """Recommendations where a category has no current prices: the exact median of the others stands in."""
+    state = retail.pricing_rows(spark, folder).withColumn("current_price", F.when(F.col("category") != UNPRICED, F.col("current_price")))
+    state = stage(state)
+    median = column_quantiles(state, ["current_price"], [0.5]).select("value").scalar()
+    return _rounded(price.portfolio(price.recommend(state, fallback_price=median)), ["elasticity"])
+
+
 @query(sql(f"SELECT {PORTFOLIO} FROM recommended ORDER BY abs(change_pct) DESC, product_id LIMIT 10", "recommended"))
 def portfolio_top(spark, folder):
     return _rounded(price.portfolio_top(recommended(spark, folder)), ["elasticity"])

@@ -166,3 +166,11 @@ def test_equal_rounded_candidates_take_the_first_step(spark):
     scores = [(c["price"] - 119.99) * c["demand"] for c in row["candidates"]]
     first = row["candidates"][scores.index(max(scores))]
     assert (row["expected_revenue"], row["expected_profit"]) == (first["revenue"], first["profit"])
+
+
+def test_lines_are_read_once(spark, folder):
+    """The curve of all products comes from the staged moments, not from the lines again."""
+    from shelfprice.sources import retail
+
+    plan = retail.pricing_rows(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
