@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfprice.llm.shingles import WordHashes, mixed, windows
+from shelfprice.llm.shingles import mixed, windows, word_hashes
 from shelfprice.operators.staging import stage
 
 WINDOW = 20
@@ -124,7 +124,6 @@ def hot_runs(docs: DataFrame, share: float = HOT) -> np.ndarray:
     changes the balance of the shards, not the result.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             runs, held, total = [], 0, 0
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -135,7 +134,7 @@ def hot_runs(docs: DataFrame, share: float = HOT) -> np.ndarray:
                 found.append((values[often].astype(np.int64), times[often]))
 
             for text in batch.column(0):
-                own = windows(hashes.of(_raw(text).split()), RUN)
+                own = windows(word_hashes(_raw(text)), RUN)
                 runs.append(own)
                 held += len(own)
                 total += len(own)
@@ -181,22 +180,21 @@ def _segments_of(hashes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """One row per segment: 32-bit anchor, identity, document, text tag, and packed first word and windows."""
+    """One row per segment: anchor, identity, document, text tag, and packed first word and windows."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 keys, ids, docs_, tags, packed = [], [], [], [], []
                 part = batch.slice(k, 500)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     raw = _raw(text)
-                    words = raw.split()
-                    if len(words) < WINDOW:
+                    hashes = word_hashes(raw)
+                    if len(hashes) < WINDOW:
                         continue
-                    anchor, identity, first, size = _segments_of(hashes.of(words), shared.value)
-                    keys.append((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    anchor, identity, first, size = _segments_of(hashes, shared.value)
+                    keys.append(anchor.view(np.int64))
                     ids.append(identity.view(np.int64))
                     docs_.append(np.full(len(first), doc, np.int64))
                     tags.append(np.full(len(first), _tag(raw), np.int64))
@@ -206,7 +204,7 @@ def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                         [pa.array(np.concatenate(x)) for x in (keys, ids, docs_, tags, packed)],
                         ["anchor", "segment", "doc", "tag", "at"])
 
-    return docs.mapInArrow(emit, "anchor int, segment long, doc long, tag long, at long")
+    return docs.mapInArrow(emit, "anchor long, segment long, doc long, tag long, at long")
 
 
 def _start(at):
@@ -228,7 +226,7 @@ def repeats_and_rest(rows: DataFrame) -> DataFrame:
         (F.col("doc") > F.col("first.doc"))
         | ((F.col("doc") == F.col("first.doc")) & (_start(F.col("at")) > _start(F.col("first.at")))))
     rest = first.join(mixed_, "anchor").select("first.doc", "first.tag", "first.at", "anchor")
-    every = later.select("doc", "tag", "at", F.lit(None).cast("int").alias("anchor")).unionByName(rest)
+    every = later.select("doc", "tag", "at", F.lit(None).cast("long").alias("anchor")).unionByName(rest)
     entry = F.struct(_start(F.col("at")).alias("start"), _size_of(F.col("at")).alias("size"), "anchor")
     lists = every.groupBy("doc", "tag").agg(F.collect_list(entry).alias("entries"))
     return lists.select(
@@ -253,20 +251,20 @@ def compressed(docs: DataFrame) -> DataFrame:
 def pieces(texts: DataFrame) -> DataFrame:
     """The words of the segments to be matched: ``anchor``, ``doc``, ``tag``, ``start`` and word hashes."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows: list[tuple] = []
             for doc, tag, packed, rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = hashes.of(unpack(packed).split())
+                own = word_hashes(unpack(packed))
                 rows += [(e["anchor"], doc, tag, e["start"], own[e["start"]:e["start"] + e["size"] + WINDOW - 1].tobytes())
                          for e in rest]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 ["anchor", "doc", "tag", "start", "words"])
 
     return texts.select("doc", "tag", "packed", "rest").mapInArrow(
-        cut, "anchor int, doc long, tag long, start long, words binary")
+        cut, "anchor long, doc long, tag long, start long, words binary")
 
 
 def matched(parts: DataFrame) -> DataFrame:
