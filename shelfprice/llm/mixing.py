@@ -111,7 +111,8 @@ def _with_shares(rows: DataFrame, shares: list[Share], columns: list[str]) -> Da
     table = session.createDataFrame(
         [(s.source, *[getattr(s, c) for c in columns]) for s in shares],
         "mix_source string, " + ", ".join(f"mix_{c} {kinds.get(c, 'long')}" for c in columns))
-    return rows.join(table, F.col("source_").eqNullSafe(F.col("mix_source")), "left")
+    # MOST_SOURCES rows at most, which shares_of has checked; no text moves to those of its source
+    return rows.join(F.broadcast(table), F.col("source_").eqNullSafe(F.col("mix_source")), "left")
 
 
 def _ranked(sizes: DataFrame, shares: list[Share], most: float) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfprice.llm.common import SPACES, let, packed, unpacked, words
+from shelfprice.operators.joins import fits_broadcast
 from shelfprice.operators.staging import stage
 
 # Frequent function words of each language.
@@ -37,16 +38,6 @@ COMMON_WORDS = {
 #: Character classes as the inside of regular expression brackets; the order of SPACE and SYMBOL is used below.
 CLASSES = ["a-z", "\\x20\\x09-\\x0D", "#*$%&|<>", "0-9", "A-Z", ".,;:!?", "'\"()\\[\\]{}-"]
 SPACE, SYMBOL = 1, 2
-N_WORDS = {
-    "en": "the of and to in a is that it for on was as with be by are this from or",
-    "de": "der die und in den von zu das mit des auf für ist im dem nicht ein eine als er",
-    "fr": "de la le et les des en un du une que est pour qui dans par sur au avec il",
-    "es": "de la que el en y a los se del las un por con no una su para es al",
-}
-
-#: Character classes as the inside of regular expression brackets.
-CLASSES = ["a-z", "\\x20\\x09-\\x0D", "#*$%&|<>", "0-9", "A-Z", ".,;:!?", "'\"()\\[\\]{}-"]
-SPACE, SYMBOL = 1, 2
 N_WORDS = 14
 
 
@@ -182,7 +173,10 @@ def judge(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ``df`` has the columns ``text_`` and ``lang_``; the text is dropped from the result.
     """
     measured = stage(_measured(df, limits))
-    both = measured.join(references(measured), F.col("lang_").eqNullSafe(F.col("of_")), "left")
+    learnt = stage(references(measured))  # one row per language
+    if fits_broadcast(learnt):  # so that no document moves to those of its language
+        learnt = F.broadcast(learnt)
+    both = measured.join(learnt, F.col("lang_").eqNullSafe(F.col("of_")), "left")
     far = (
         (F.coalesce(F.col("class_distance"), F.lit(0.0)) > limits.class_distance)
         & (F.col("word_chars") >= limits.class_least_chars)

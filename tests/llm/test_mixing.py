@@ -82,3 +82,8 @@ def test_empty_and_all_empty(spark):
 def test_targets_stop_at_the_limit():
     assert mixing.targets([10, 100, 0], [1, 2, 3]) == pytest.approx([30, 80, 0])
     assert mixing.targets([], []) == []
+
+
+def test_texts_stay_where_they_are(spark):
+    plan = mixing.repeated(frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

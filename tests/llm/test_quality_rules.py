@@ -109,3 +109,8 @@ def test_empty(spark):
 @pytest.mark.parametrize("text", ["a b c a b c", "x x x x", "a b a b a b c", "a b c d a b c e b c d"])
 def test_repeated_words(spark, text):
     assert quality_rules.quality(frame(spark, [(1, text, "en", "a", 1)])).first()["n_repeat_words"] == base(text)[4]
+
+
+def test_documents_stay_where_they_are(spark):
+    plan = quality_rules.keep_good(frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -6,10 +6,10 @@ import re
 import duckdb
 import pytest
 
+from cases import DOCS, awkward, frame
 from shelfprice.llm import secret_scan
 from shelfprice.llm.check_sql import secrets_sql
 from shelfprice.llm.secret_scan import RULES, Rule, scan
-from tests.llm.cases import DOCS, awkward, frame
 
 PLANTED = [
     "password=hunter22 and Token : 'abc.def=' then api-key=zzzzzz API_KEY=q1w2e3r4 apikey=12345",

@@ -7,9 +7,9 @@ from collections import Counter
 
 import pytest
 
+from cases import DOCS, documents, frame
 from shelfprice.llm import spelling
 from shelfprice.llm.queries import QUERIES
-from tests.llm.cases import DOCS, documents, frame
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
