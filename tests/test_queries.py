@@ -26,7 +26,13 @@ def test_query_equals_sql(spark, con, folder, name):
     assert compare(got, con.execute(CHECKS[name]).fetchdf()) == "ok"
 
 
-@pytest.mark.parametrize("name", [n for n in PLANS if n not in CHECKS])
+#: Cross-validated fits of full-size models, several minutes each also on the smallest tables; their parts are tested
+#: with small models in test_models.py, that they ask for the full sizes in test_model_queries.py.
+SLOW = {"demand_models", "model_comparison"}
+RUN_SLOW = pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="set SLOW_TESTS to fit full-size models with folds")
+
+
+@pytest.mark.parametrize("name", [pytest.param(n, marks=RUN_SLOW) if n in SLOW else n for n in PLANS if n not in CHECKS])
 def test_query_has_rows(spark, folder, name):
     assert PLANS[name](spark, folder).count() > 0
 
