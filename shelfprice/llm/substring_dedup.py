@@ -16,8 +16,9 @@ which grows with the square of the corpus. So shards are made of what can match
   anchors of windows that have no other run. The windows at the rims of a passage that very many
   documents share are then spread over other anchors, and what is left in the hot shards
   is the same few segments over and over.
-* Equal segments are combined map-side first; all but the earliest are repeats as a whole. Only the
-  earliest of each goes to its shard, if other segments are there.
+* Equal segments are combined map-side first; all but the earliest are repeats as a whole, and most
+  words are removed there, by the hash of the segment. Only the earliest of each goes to its shard's
+  automaton, if other segments are there.
 
 Words are compared by 64-bit hashes. Texts are moved compressed, twice; all else that is moved is a few
 numbers per segment.
