@@ -1,37 +1,63 @@
 """The arithmetic of the language model: a gated recurrent net with a class-factored softmax, in numpy.
 
 Words are numbers: 0 to ``words - 1`` for the most frequent, in order, then one number for all others.
-The output is a softmax over classes of ``per_class`` words of neighbouring frequency (and one
-class for all other words) times a softmax inside the class. Training is truncated
-back-propagation over windows; the state goes on from window to window.
+The output is a softmax over classes of words of neighbouring frequency (and one class for all
+other words) times a softmax inside the class. Classes hold equal shares of the roots of the
+counts, so the frequent words lie in small classes and a token costs little. The last column of an
+output's weights is its bias. Training is truncated back-propagation over windows; the state goes on
+from window to window.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, sqrt
+from functools import cached_property
 
 import numpy as np
 
 
 @dataclass(frozen=True)
 class Shape:
-    words: int
-    per_class: int
+    """``starts``: the first word of every class, then the number of words."""
+
+    starts: tuple[int, ...]
     hidden: int = 24
 
     @classmethod
-    def following(cls, words: int) -> Shape:
-        """Shape for at least this many words, in about as many classes as a class has words."""
-        per_class = max(8, ceil(sqrt(words)))
-        return cls(per_class * max(1, ceil(words / per_class)), per_class)
+    def even(cls, words: int, per_class: int, hidden: int = 24) -> Shape:
+        """Classes of the same size."""
+        return cls((*range(0, words, per_class), words), hidden)
+
+    @classmethod
+    def following(cls, counts: np.ndarray) -> Shape:
+        """Classes for words of these (falling) counts, as many as make the work of a token least."""
+        root, mass = np.cumsum(np.sqrt(np.maximum(counts, 1))), np.append(0, np.cumsum(np.maximum(counts, 1)))
+        best, least = (0, len(counts)), np.inf
+        for classes in np.unique(np.geomspace(1, max(1, len(counts)), 60).astype(int)):
+            cuts = np.searchsorted(root, root[-1] * np.arange(1, classes) / classes) + 1
+            starts = np.unique(np.concatenate(([0], cuts[cuts < len(counts)], [len(counts)])))
+            sizes, shares = np.diff(starts), np.diff(mass[starts]) / mass[-1]
+            work = 1.5 * len(sizes) + float((sizes * shares).sum())
+            if work < least:
+                best, least = tuple(starts.tolist()), work
+        return cls(best)
+
+    @property
+    def words(self) -> int:
+        return self.starts[-1]
 
     @property
     def classes(self) -> int:
-        return self.words // self.per_class
+        return len(self.starts) - 1
+
+    @cached_property
+    def class_of(self) -> np.ndarray:
+        """Class of every word; the other words have the last one."""
+        return np.repeat(np.arange(self.classes + 1, dtype=np.int32), np.append(np.diff(self.starts), 1))
 
 
 Weights = dict[str, np.ndarray]
+LARGEST = 60.0
 
 
 def initial(counts: np.ndarray, other: float, shape: Shape, seed: int = 5) -> Weights:
@@ -39,14 +65,13 @@ def initial(counts: np.ndarray, other: float, shape: Shape, seed: int = 5) -> We
     rng, h = np.random.default_rng(seed), shape.hidden
     mass = np.zeros(shape.words)
     mass[:len(counts)] = counts
-    by_class = mass.reshape(shape.classes, shape.per_class)
+    by_class = np.append(np.add.reduceat(mass, shape.starts[:-1]), other) + 1e-3
+    word_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-3) / by_class[shape.class_of[:-1]]), -30.0)
     return {k: v.astype(np.float32) for k, v in {
         "input": rng.normal(0, 0.3, (shape.words + 1, 3 * h)), "gate_bias": np.zeros(3 * h),
         "recur": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
-        "class": np.zeros((h, shape.classes + 1)),
-        "class_bias": np.log(np.append(by_class.sum(axis=1), other) + 1e-3),
-        "word": rng.normal(0, 0.01, (shape.classes, shape.per_class, h)),
-        "word_bias": np.where(by_class > 0, np.log(np.maximum(by_class, 1e-3)), -30.0),
+        "class": np.column_stack([np.zeros((shape.classes + 1, h)), np.log(by_class / by_class.sum())]),
+        "word": np.column_stack([rng.normal(0, 0.01, (shape.words, h)), word_bias]),
     }.items()}
 
 
@@ -63,10 +88,19 @@ def from_vector(vector: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
-    return x
+def _exponentials(x: np.ndarray, weights: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into exponentials in place; their sums over a row, and the logarithm of the sums of the logits' own.
+
+    Logits are shifted by their largest only where the weights allow values that could overflow or vanish.
+    """
+    reach = np.abs(weights[:, :-1]).sum(axis=1) * largest
+    shift = None
+    if (weights[:, -1] + reach).max() > LARGEST or (weights[:, -1] - reach).max() < -LARGEST:
+        shift = x.max(axis=1)
+        x -= shift[:, None]
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    return sums, np.log(sums) if shift is None else np.log(sums) + shift
 
 
 def states(w: Weights, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
@@ -97,32 +131,42 @@ def log_probabilities(w: Weights, hidden: np.ndarray, target: np.ndarray, shape:
     With ``grads`` also adds the gradients of the negative sum, and returns that of the states.
     The work is done in order of the targets' classes, so those of a class lie together.
     """
-    order = np.argsort(target // shape.per_class, kind="stable")  # the other words get the last class
-    hidden, target = hidden[order], target[order]
-    classes, rows = target // shape.per_class, np.arange(len(target))
-    log_p = _log_softmax(hidden @ w["class"] + w["class_bias"])
-    found, slope = log_p[rows, classes], None
+    classes = shape.class_of[target]
+    order = np.argsort(classes.astype(np.uint16) if shape.classes < 65535 else classes, kind="stable")
+    classes, target, rows, h = classes[order], target[order], np.arange(len(target)), shape.hidden
+    given = np.ones((len(target), h + 1), hidden.dtype)
+    given[:, :h] = hidden[order]
+    largest = float(np.abs(hidden).max(initial=0))
+    x = given @ w["class"].T
+    found, slope = x[rows, classes], None
+    sums, log_sums = _exponentials(x, w["class"], largest)
+    found -= log_sums
+    ends = np.searchsorted(classes, np.arange(shape.classes + 2))
     if grads is not None:
-        d = np.exp(log_p)
-        d[rows, classes] -= 1
-        grads["class"] += hidden.T @ d
-        grads["class_bias"] += d.sum(axis=0)
-        slope = d @ w["class"].T
-    ends = np.searchsorted(classes, np.arange(shape.classes + 1))
-    for k in np.flatnonzero(np.diff(ends)):
+        share = 1 / sums[:, None]
+        grads["class"] += x.T @ (given * share)
+        slope = (x @ w["class"]) * share - w["class"][classes]
+        present = np.flatnonzero(np.diff(ends))
+        grads["class"][present] -= np.add.reduceat(given, ends[present])
+    for k in np.flatnonzero(np.diff(ends[:-1])):
+        start, end = shape.starts[k], shape.starts[k + 1]
+        if end - start == 1:
+            continue  # the only word of its class
         own = slice(ends[k], ends[k + 1])
-        inside = _log_softmax(hidden[own] @ w["word"][k].T + w["word_bias"][k])
-        word, row = target[own] - k * shape.per_class, rows[:ends[k + 1] - ends[k]]
-        found[own] += inside[row, word]
+        weights, states_ = w["word"][start:end], given[own]
+        x = states_ @ weights.T
+        word, row = target[own] - start, rows[:len(states_)]
+        logits = x[row, word]
+        sums, log_sums = _exponentials(x, weights, largest)
+        found[own] += logits - log_sums
         if grads is not None:
-            d = np.exp(inside, out=inside)
-            d[row, word] -= 1
-            grads["word"][k] += d.T @ hidden[own]
-            grads["word_bias"][k] += d.sum(axis=0)
-            slope[own] += d @ w["word"][k]
+            x *= (1 / sums)[:, None]
+            x[row, word] -= 1
+            grads["word"][start:end] += x.T @ states_
+            slope[own] += x @ weights
     back = np.empty_like(order)
     back[order] = rows
-    return found[back], slope[back] if slope is not None else None
+    return found[back], slope[back, :h] if slope is not None else None
 
 
 def _back(w: Weights, inputs: np.ndarray, fresh: np.ndarray, kept: list, slope: np.ndarray, grads: Weights) -> None:
@@ -155,16 +199,18 @@ class Trainer:
     """Adam on windows of ``steps`` words of many texts side by side.
 
     Input rows of words and classes of outputs that a window does not have cost it nothing: their
-    gradients are zero and their moments wait.
+    gradients are zero and their moments wait. The words' outputs, the largest part, are changed after every
+    ``gather`` windows along their gathered gradients.
     """
 
-    def __init__(self, weights: Weights, shape: Shape, rate: float = 0.01, steps: int = 32):
+    def __init__(self, weights: Weights, shape: Shape, rate: float = 0.01, steps: int = 32, gather: int = 4):
         self.weights = {k: v.copy() for k, v in weights.items()}
-        self._shape, self._rate, self.steps = shape, rate, steps
+        self._shape, self._rate, self.steps, self._gather = shape, rate, steps, gather
         self._mean = {k: np.zeros_like(v) for k, v in weights.items()}
         self._square = {k: np.zeros_like(v) for k, v in weights.items()}
         self._grads = {k: np.zeros_like(v) for k, v in weights.items()}
-        self._updates = 0
+        self._updates = dict.fromkeys(weights, 0)
+        self._classes, self._windows, self._gathered = np.zeros(shape.classes + 1, bool), 0, 0
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray) -> None:
         """Trains on laid out texts: step x lane arrays; targets are -1 where a lane has ended."""
@@ -173,27 +219,36 @@ class Trainer:
             x, y, new = inputs[k:k + self.steps], targets[k:k + self.steps], fresh[k:k + self.steps]
             live = (y >= 0).any(axis=0)
             x, y, new = x[:, live], y[:, live], new[:, live]
-            grads = self._grads
             hidden, last, kept = states(self.weights, x, new, state[live], keep=True)
             real = y >= 0
             slope = np.zeros_like(hidden)
-            _, slope[real] = log_probabilities(self.weights, hidden[real], y[real], self._shape, grads)
-            _back(self.weights, x, new, kept, slope, grads)
-            classes = np.unique(y[real] // self._shape.per_class)
-            classes = classes[classes < self._shape.classes]
-            self._update({"input": np.unique(x), "word": classes, "word_bias": classes}, int(real.sum()))
+            _, slope[real] = log_probabilities(self.weights, hidden[real], y[real], self._shape, self._grads)
+            _back(self.weights, x, new, kept, slope, self._grads)
+            n = int(real.sum())
+            self._update({"input": np.unique(x), "gate_bias": slice(None), "recur": slice(None), "class": slice(None)}, n)
+            self._classes[self._shape.class_of[y[real]]] = True
+            self._windows, self._gathered = self._windows + 1, self._gathered + n
+            if self._windows == self._gather:
+                self._update_words()
             state[live] = last
-
-    def _update(self, touched: dict[str, np.ndarray], n: int) -> None:
-        """One step along the gathered gradients, which only have the ``touched`` rows; clears them."""
-        self._updates += 1
-        rows = {k: touched.get(k, slice(None)) for k in self._grads}
-        parts = {k: g[rows[k]] for k, g in self._grads.items()}
-        size = np.sqrt(sum(float((g * g).sum()) for g in parts.values())) / n
+        self._update_words()
+
+    def _update_words(self) -> None:
+        if self._gathered:
+            touched = self._classes[self._shape.class_of[:-1]]
+            self._update({"word": slice(None) if touched.all() else np.flatnonzero(touched)}, self._gathered)
+        self._classes[:], self._windows, self._gathered = False, 0, 0
+
+    def _update(self, touched: dict[str, np.ndarray | slice], n: int) -> None:
+        """One step along the gathered gradients of the ``touched`` rows, which are then cleared."""
+        parts = {k: self._grads[k][rows] for k, rows in touched.items()}
+        size = np.sqrt(sum(float(np.vdot(g, g)) for g in parts.values())) / n
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)) / n)
-        rate = self._rate * np.sqrt(1 - 0.99 ** self._updates) / (1 - 0.9 ** self._updates)
         for k, g in parts.items():
-            at, g = rows[k], g * scale
+            at = touched[k]
+            self._updates[k] += 1
+            rate = self._rate * np.sqrt(1 - 0.99 ** self._updates[k]) / (1 - 0.9 ** self._updates[k])
+            g = g * scale
             mean, square = self._mean[k][at], self._square[k][at]
             mean = mean + np.float32(0.1) * (g - mean)
             square = square + np.float32(0.01) * (g * g - square)

@@ -4,15 +4,17 @@ The words of all training documents are counted first. Words with at least a sha
 of all tokens (so 1 / FREQUENT words at most, whatever the corpus) are sent to every task; the counts
 of all rarer words stay a table, which is joined to the rare words of the documents. The model is a
 gated recurrent net with a class-factored softmax (``gated_lm``): all frequent words that occur twice
-or more have an input and an output of their own, so the vocabulary follows the counts, in about
-as many classes as a class has words. All others share an input and a class, inside which they have
-their add-one share; in a small corpus these are the words seen once, which stand for those never seen.
+or more have an input and an output of their own, so the vocabulary follows the counts, in
+classes of equal shares of the roots of the counts. All others share an input and a class, inside which they
+have their add-one share; in a small corpus these are the words seen once, which stand for those never seen.
+At most 500,000 words are sent, about 200 MB with their weights.
 
 Training covers all training documents once, in rounds: the documents are divided into as many
 parts as there are rounds by a hash of their id, and in a round every task trains on its
-documents of that part from the common weights; the weights that come out are averaged,
-weighted by tokens, in two levels so that no task averages more than about the square root of
-their number. Scoring carries the state through a whole document, however long.
+documents of that part from the common weights. What comes out is averaged, weighted by tokens: a task
+sends its changes as 16-bit numbers in pieces of ``PIECE``, and each piece is averaged by itself, over groups
+of at most ``TOGETHER`` tasks first. The averages depend on which files share a task. Scoring carries the state
+through a whole document, however long.
 
 Defined results: a null text is an empty text, whose only token is the end; a null id counts as an empty
 string and trains; repeated rows are scored each for itself; an empty table gives an empty
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import isqrt, log, log10
+from math import ceil, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ ROUNDS = 2
 LANES = 256
 MOST_CACHED = 500_000
 TOKENS_AT_ONCE = 1_000_000
+PIECE = 1 << 18
+TOGETHER = 64
 END = b"\n"  # no word has a line break
 FOLDS, HELD_OUT_FOLD = 7, 2
 
@@ -85,14 +89,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """The frequent words: hashes and counts in order of falling count, and the sums over all words."""
 
-    def __init__(self, rows: list[tuple[int, int]], tokens: int, distinct: int, shape: Shape):
+    def __init__(self, rows: list[tuple[int, int]], tokens: int, distinct: int, shape: Shape | None = None):
         end = hash_of(END)
         rows = sorted(rows, key=lambda r: (r[0] != end, -r[1], r[0]))  # the end is always number 0
         if not rows or rows[0][0] != end:
             rows.insert(0, (end, 0))
-        self.tokens, self.distinct, self.shape = tokens, distinct, shape
+        self.tokens, self.distinct = tokens, distinct
         self.hashes = np.array([r[0] for r in rows], np.int64)
         self.counts = np.array([r[1] for r in rows], np.float64)
+        #: Without a given shape all words seen twice or more, and the end, have an output.
+        self.shape = shape or Shape.following(self.counts[:1 + int((self.counts[1:] > 1).sum())])
+        shape = self.shape
         self.place = np.argsort(self.hashes)
         self.sorted = self.hashes[self.place]
         own = self.counts[:shape.words]
@@ -165,30 +172,34 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> ga
                     inputs, targets, fresh, _ = gated_lm.laid_out(texts, 0, LANES)
                     trainer.learn(inputs, targets, fresh)
             if tokens:
+                change = gated_lm.as_vector(trainer.weights) - gated_lm.as_vector(start.value)
+                pieces = [change[i:i + PIECE].astype(np.float16).tobytes() for i in range(0, len(change), PIECE)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([gated_lm.as_vector(trainer.weights).tobytes()], pa.binary()), pa.array([tokens], pa.int64())],
-                    ["weights", "tokens"])
+                    [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()),
+                     pa.array([tokens] * len(pieces), pa.int64())], ["piece", "change", "tokens"])
 
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text")
-        groups = max(1, isqrt(part.rdd.getNumPartitions()))
-        levels = part.mapInArrow(train, "weights binary, tokens long").withColumn(
-            "group", F.pmod(F.spark_partition_id(), F.lit(groups)))
-        averaged = levels.groupBy("group").applyInPandas(_average, "weights binary, tokens long")
-        rows = averaged.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(
-            _average, "weights binary, tokens long").collect()  # one row, the size of the model
+        groups = ceil(part.rdd.getNumPartitions() / TOGETHER) or 1
+        changes = part.mapInArrow(train, CHANGES).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        grouped = changes.groupBy("piece", "group").applyInPandas(_average, CHANGES)
+        rows = grouped.groupBy("piece").applyInPandas(_average, CHANGES).collect()  # as many numbers as the model has
         if rows:
-            weights = gated_lm.from_vector(np.frombuffer(rows[0]["weights"], np.float32), weights)
+            change = np.concatenate([np.frombuffer(r["change"], np.float16) for r in sorted(rows, key=lambda r: r["piece"])])
+            weights = gated_lm.from_vector(gated_lm.as_vector(weights) + change.astype(np.float32), weights)
     return weights
 
 
+CHANGES = "piece int, change binary, tokens long"
+
+
 def _average(rows):
     import pandas as pd
 
-    rows = rows.sort_values("weights")
+    rows = rows.sort_values("change")
     total, mean = int(rows["tokens"].sum()), 0.0
-    for vector, n in zip(rows["weights"], rows["tokens"], strict=True):
-        mean = mean + np.frombuffer(vector, np.float32).astype(np.float64) * (n / total)
-    return pd.DataFrame({"weights": [mean.astype(np.float32).tobytes()], "tokens": [total]})
+    for change, n in zip(rows["change"], rows["tokens"], strict=True):
+        mean = mean + np.frombuffer(change, np.float16).astype(np.float32) * np.float32(n / total)
+    return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "change": [mean.astype(np.float16).tobytes()], "tokens": [total]})
 
 
 PARTS = ("doc_id long, n_tokens long, n_frequent long, sum_frequent double, n_other long, sum_other double, "
@@ -237,7 +248,6 @@ def scores(docs: DataFrame, shape: Shape | None = None, frequent: float = FREQUE
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     tokens, distinct = sums["tokens"], sums["words"]
     listed = counts.where(F.col("n") >= max(1.0, frequent * tokens)).collect()  # 1 / frequent words at most
-    shape = shape or Shape.following(sum(r["n"] > 1 for r in listed))
     vocabulary = Vocabulary([(r["word"], r["n"]) for r in listed], tokens, distinct, shape)
     weights = trained(training, vocabulary, rounds)
     # the number of a row is fixed by being written

@@ -40,7 +40,7 @@ def test_query(spark, folder):
 def test_rare_words_are_joined(spark, folder):
     """With a high share few words are sent to the tasks; the counts of the others come by the join."""
     docs = table(spark, folder, "documents")
-    rows = lm_scoring.scores(docs, Shape(64, 8, 8), frequent=1e-3, rounds=1).collect()
+    rows = lm_scoring.scores(docs, Shape.even(64, 8, 8), frequent=1e-3, rounds=1).collect()
     check_base(rows, [tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
@@ -56,14 +56,14 @@ def tiny(shape):
 
 
 def test_distribution_adds_up_to_one():
-    shape = Shape(8, 4, 5)
+    shape = Shape.even(8, 4, 5)
     weights, hidden = tiny(shape), np.random.default_rng(1).normal(size=(1, 5))
     log_p = [gated_lm.log_probabilities(weights, hidden, np.array([w]), shape)[0][0] for w in range(9)]
     assert np.exp(log_p).sum() == pytest.approx(1)
 
 
 def test_gradients_by_differences():
-    shape, rng = Shape(8, 4, 5), np.random.default_rng(2)
+    shape, rng = Shape.even(8, 4, 5), np.random.default_rng(2)
     weights = tiny(shape)
     inputs, fresh = rng.integers(0, 9, (4, 3)), rng.random((4, 3)) < 0.3
     targets = rng.integers(0, 9, (4, 3))
@@ -88,7 +88,7 @@ def test_gradients_by_differences():
 
 def test_layout_does_not_change_scores():
     """The state is carried through a whole text, whatever lanes and windows it falls in."""
-    shape, rng = Shape(8, 4, 5), np.random.default_rng(3)
+    shape, rng = Shape.even(8, 4, 5), np.random.default_rng(3)
     weights = {k: v.astype(np.float32) for k, v in tiny(shape).items()}
     texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 70, 3, 40, 2, 150)]
     got = []
@@ -114,16 +114,74 @@ def test_vocabulary_follows_the_counts(spark, monkeypatch):
     (vocabulary, weights), = made
     twice = int((vocabulary.counts > 1).sum())
     assert twice > 2900 and vocabulary.shape.words >= twice and weights["input"].shape[0] > twice
-    assert weights["word"].shape[0] * weights["word"].shape[1] >= twice and weights["word"].shape[1] < 64
+    sizes = np.diff(vocabulary.shape.starts)
+    assert len(weights["word"]) >= twice and sizes.min() > 0 and sizes.max() < 200 and vocabulary.shape.classes < 100
 
 
 def test_update_of_touched_rows_is_that_of_all():
     """A window leaves the words and classes it does not have as they were, and no gradient behind."""
-    shape, rng = Shape(32, 4, 5), np.random.default_rng(4)
+    shape, rng = Shape.even(32, 4, 5), np.random.default_rng(4)
     start = gated_lm.initial(np.arange(32.0, 0, -1), 4.0, shape)
     trainer = gated_lm.Trainer(start, shape)
     trainer.learn(*gated_lm.laid_out([rng.integers(0, 9, 30).astype(np.int32) for _ in range(4)], 0, 2)[:3])
     assert np.array_equal(trainer.weights["input"][9:], start["input"][9:])
-    assert np.array_equal(trainer.weights["word"][3:], start["word"][3:])
+    assert np.array_equal(trainer.weights["word"][12:], start["word"][12:])
+    assert not np.array_equal(trainer.weights["word"][:9], start["word"][:9])
     assert not np.array_equal(trainer.weights["input"][:9], start["input"][:9])
     assert not any(g.any() for g in trainer._grads.values())
+
+
+def test_classes_hold_equal_shares_of_root_counts():
+    """Frequent words lie in small classes; every word is in one class, in order."""
+    counts = 1e6 / np.arange(1, 40_001)
+    shape = Shape.following(counts)
+    sizes = np.diff(shape.starts)
+    assert shape.words == len(counts) == sizes.sum() and sizes.min() > 0
+    assert np.array_equal(shape.class_of, np.append(np.repeat(np.arange(shape.classes), sizes), shape.classes))
+    shares = np.add.reduceat(counts, shape.starts[:-1]) / counts.sum()
+    assert shape.classes + (sizes * shares).sum() < 0.7 * 2 * np.sqrt(len(counts))
+    for few in (np.array([5.0]), np.array([3.0, 2.0]), np.array([0.0])):
+        assert Shape.following(few).words == len(few)
+
+
+def test_large_weights_do_not_overflow():
+    shape = Shape.even(8, 4, 5)
+    weights, hidden = tiny(shape), np.random.default_rng(1).normal(size=(1, 5))
+    for shift in (500.0, -500.0):
+        moved = {k: v.copy() for k, v in weights.items()}
+        moved["class"][:, -1] += shift
+        moved["word"][:, -1] += shift
+        for w in range(9):
+            a, b = (gated_lm.log_probabilities(x, hidden, np.array([w]), shape)[0][0] for x in (weights, moved))
+            assert a == pytest.approx(b, abs=1e-9)
+
+
+def plain_score(w, shape, text):
+    """Log-likelihood of one text, number by number."""
+    h, state, total = shape.hidden, [0.0] * shape.hidden, 0.0
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    for before, word in zip([0, *text[:-1]], text, strict=True):
+        x = [float(w["input"][before][i] + w["gate_bias"][i]) for i in range(3 * h)]
+        r_in = [sum(state[j] * float(w["recur"][j][i]) for j in range(h)) for i in range(3 * h)]
+        z = [logistic(x[i] + r_in[i]) for i in range(h)]
+        r = [logistic(x[h + i] + r_in[h + i]) for i in range(h)]
+        new = [math.tanh(x[2 * h + i] + r[i] * r_in[2 * h + i]) for i in range(h)]
+        state = [z[i] * state[i] + (1 - z[i]) * new[i] for i in range(h)]
+
+        def share(rows, at, state=state):
+            logits = [sum(a * float(b) for a, b in zip(state, row[:-1], strict=True)) + float(row[-1]) for row in rows]
+            return logits[at] - math.log(sum(math.exp(v) for v in logits))
+
+        k = next((k for k in range(shape.classes) if word < shape.starts[k + 1]), shape.classes)
+        total += share(w["class"], k)
+        if k < shape.classes:
+            total += share(w["word"][shape.starts[k]:shape.starts[k + 1]], word - shape.starts[k])
+    return total
+
+
+def test_scores_against_plain_arithmetic():
+    shape, rng = Shape((0, 1, 3, 8), 5), np.random.default_rng(8)
+    weights = tiny(shape)
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 40, 3, 17, 65)]
+    got = gated_lm.score(weights, shape, *gated_lm.laid_out(texts, 0, 3), len(texts))
+    assert got == pytest.approx([plain_score(weights, shape, t.tolist()) for t in texts], rel=1e-4)
