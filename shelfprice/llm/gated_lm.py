@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from heapq import heapreplace
 
 import numpy as np
 
@@ -57,7 +58,6 @@ class Shape:
 
 
 Weights = dict[str, np.ndarray]
-LARGEST = 60.0
 
 
 def initial(counts: np.ndarray, other: float, shape: Shape, seed: int = 5) -> Weights:
@@ -88,19 +88,24 @@ def from_vector(vector: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _exponentials(x: np.ndarray, weights: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
-    """Turns logits into exponentials in place; their sums over a row, and the logarithm of the sums of the logits' own.
+def _exponentials(given: np.ndarray, weights: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of all logits, their sums over a row, and the log-probability of the targets.
 
-    Logits are shifted by their largest only where the weights allow values that could overflow or vanish.
+    Logits are shifted by their largest only where they overflow or vanish without.
     """
-    reach = np.abs(weights[:, :-1]).sum(axis=1) * largest
-    shift = None
-    if (weights[:, -1] + reach).max() > LARGEST or (weights[:, -1] - reach).max() < -LARGEST:
+    x, rows = given @ weights.T, np.arange(len(target))
+    found = x[rows, target]
+    with np.errstate(over="ignore", divide="ignore"):
+        np.exp(x, out=x)
+        sums = x @ np.ones(x.shape[1], x.dtype)
+    if not (sums.min() > 1e-30 and sums.max() < 1e30):
+        np.matmul(given, weights.T, out=x)
         shift = x.max(axis=1)
-        x -= shift[:, None]
-    np.exp(x, out=x)
-    sums = x @ np.ones(x.shape[1], x.dtype)
-    return sums, np.log(sums) if shift is None else np.log(sums) + shift
+        np.exp(x - shift[:, None], out=x)
+        sums = x.sum(axis=1)
+        found -= shift
+    found -= np.log(sums)
+    return x, sums, found
 
 
 def states(w: Weights, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
@@ -136,11 +141,8 @@ def log_probabilities(w: Weights, hidden: np.ndarray, target: np.ndarray, shape:
     classes, target, rows, h = classes[order], target[order], np.arange(len(target)), shape.hidden
     given = np.ones((len(target), h + 1), hidden.dtype)
     given[:, :h] = hidden[order]
-    largest = float(np.abs(hidden).max(initial=0))
-    x = given @ w["class"].T
-    found, slope = x[rows, classes], None
-    sums, log_sums = _exponentials(x, w["class"], largest)
-    found -= log_sums
+    x, sums, found = _exponentials(given, w["class"], classes)
+    slope = None
     ends = np.searchsorted(classes, np.arange(shape.classes + 2))
     if grads is not None:
         share = 1 / sums[:, None]
@@ -154,14 +156,12 @@ def log_probabilities(w: Weights, hidden: np.ndarray, target: np.ndarray, shape:
             continue  # the only word of its class
         own = slice(ends[k], ends[k + 1])
         weights, states_ = w["word"][start:end], given[own]
-        x = states_ @ weights.T
-        word, row = target[own] - start, rows[:len(states_)]
-        logits = x[row, word]
-        sums, log_sums = _exponentials(x, weights, largest)
-        found[own] += logits - log_sums
+        word = target[own] - start
+        x, sums, inside = _exponentials(states_, weights, word)
+        found[own] += inside
         if grads is not None:
             x *= (1 / sums)[:, None]
-            x[row, word] -= 1
+            x[rows[:len(word)], word] -= 1
             grads["word"][start:end] += x.T @ states_
             slope[own] += x @ weights
     back = np.empty_like(order)
@@ -258,36 +258,52 @@ class Trainer:
 
 
 def score(w: Weights, shape: Shape, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, owner: np.ndarray,
-          n_texts: int, steps: int = 32) -> np.ndarray:
-    """Natural log-likelihood of each whole text; ``owner`` is the text of each step and lane."""
-    total = np.zeros(n_texts)
+          n_texts: int, window: int = 8192) -> np.ndarray:
+    """Natural log-likelihood of each whole text; ``owner`` is the text of each step and lane.
+
+    A window has about ``window`` words: the fewer lanes are left, the more steps.
+    """
+    total, k = np.zeros(n_texts), 0
     state = np.zeros((inputs.shape[1], shape.hidden), np.float32)
-    for k in range(0, len(inputs), steps):
-        y = targets[k:k + steps]
+    while k < len(inputs):
+        end = k + max(1, window // max(1, int((targets[k] >= 0).sum())))
+        y = targets[k:end]
         live = (y >= 0).any(axis=0)
-        hidden, last, _ = states(w, inputs[k:k + steps, live], fresh[k:k + steps, live], state[live], keep=False)
+        hidden, last, _ = states(w, inputs[k:end, live], fresh[k:end, live], state[live], keep=False)
         real = y[:, live] >= 0
         found, _ = log_probabilities(w, hidden[real], y[:, live][real], shape)
-        total += np.bincount(owner[k:k + steps, live][real], weights=found, minlength=n_texts)
+        total += np.bincount(owner[k:end, live][real], weights=found, minlength=n_texts)
         state[live] = last
+        k = end
     return total
 
 
-def laid_out(texts: list[np.ndarray], start: int, most_lanes: int):
-    """Texts (arrays of word numbers) side by side in lanes of about equal length, one after another in a lane."""
+def cut(text: np.ndarray, most: int) -> tuple[list[np.ndarray], list[int]]:
+    """Pieces of at most ``most`` words of a text, and the word before each (0 before the first)."""
+    return ([text[i:i + most] for i in range(0, len(text), most)],
+            [int(text[i - 1]) if i else 0 for i in range(0, len(text), most)])
+
+
+def laid_out(texts: list[np.ndarray], most_lanes: int, before: list[int] | None = None):
+    """Texts (arrays of word numbers) side by side in lanes of about equal length, one after another in a lane.
+
+    ``before`` are the words before the texts, else 0, the end of another text.
+    """
     lengths = np.array([len(t) for t in texts])
     lanes = int(max(1, min(most_lanes, lengths.sum() // max(int(lengths.max()), 16))))
-    ends, place = np.zeros(lanes, np.int64), []
-    for i in np.argsort(-lengths, kind="stable"):
-        lane = int(ends.argmin())
-        place.append((i, lane, int(ends[lane])))
-        ends[lane] += lengths[i]
-    size = (int(ends.max()), lanes)
-    inputs, targets = np.full(size, start, np.int32), np.full(size, -1, np.int32)
+    load, place = [(0, i) for i in range(lanes)], []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        at, lane = load[0]
+        place.append((i, lane, at))
+        heapreplace(load, (at + len(texts[i]), lane))
+    size = (max(load)[0], lanes)
+    inputs, targets = np.zeros(size, np.int32), np.full(size, -1, np.int32)
     fresh, owner = np.zeros(size, bool), np.zeros(size, np.int32)
     for i, lane, at in place:
         text, end = texts[i], at + len(texts[i])
         targets[at:end, lane], owner[at:end, lane] = text, i
         inputs[at + 1:end, lane] = text[:-1]
         fresh[at, lane] = True
+        if before:
+            inputs[at, lane] = before[i]
     return inputs, targets, fresh, owner

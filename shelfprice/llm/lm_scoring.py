@@ -39,9 +39,11 @@ from shelfprice.operators.staging import stage
 
 FREQUENT = 2e-6
 ROUNDS = 2
-LANES = 256
+LANES = 192
+LONGEST = 2048
 MOST_CACHED = 500_000
-TOKENS_AT_ONCE = 1_000_000
+ROWS_AT_ONCE = 500
+TOKENS_AT_ONCE = 4_000_000
 PIECE = 1 << 18
 TOGETHER = 64
 END = b"\n"  # no word has a line break
@@ -141,36 +143,76 @@ class Coder:
             self.rare = []
 
 
-def _portions(batch: pa.RecordBatch, column: int, coder: Coder) -> Iterator[tuple[range, list[np.ndarray]]]:
-    """Rows of a batch and their word numbers, about a million tokens at once."""
-    start, codes, size = 0, [], 0
-    for i, text in enumerate(batch.column(column)):
-        codes.append(coder.code(words_of(text.as_py())))
-        size += len(codes[-1])
-        if size >= TOKENS_AT_ONCE:
-            yield range(start, i + 1), codes
-            start, codes, size = i + 1, [], 0
-            coder.forget()
-    if codes:
-        yield range(start, batch.num_rows), codes
-        coder.forget()
-
-
-def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> gated_lm.Weights:
-    """Weights after one pass over the documents, averaged over the tasks after each round."""
-    context, weights, shape = docs.sparkSession.sparkContext, vocabulary.initial(), vocabulary.shape
-    words = context.broadcast(vocabulary)
+CODED = ("doc_id long, part int, codes array<int>, n_tokens long, n_frequent long, sum_frequent double, "
+         "n_other long, sum_other double, rare array<long>, times array<int>")
+SCORED = ("row_ long, doc_id long, n_tokens long, n_frequent long, sum_frequent double, n_other long, sum_other double, "
+          "codes array<int>, model double")
+
+
+def coded(docs: DataFrame, vocabulary: Vocabulary, rounds: int) -> DataFrame:
+    """Word numbers of every text, its round of training (null: held out), and what its scores are made of besides.
+
+    ``rare`` lists the words that are not sent, whose counts are joined.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    own = vocabulary.shape.words
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        coder, logs, n = Coder(known), np.log10(known.counts + 1), len(known.counts)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(start, ROWS_AT_ONCE)
+                out: list[list] = [[] for _ in range(8)]
+                for text in rows.column(2):
+                    codes = coder.code(words_of(text.as_py()))
+                    other = codes[(codes < n) & (codes >= own)]
+                    rare, times = np.unique(codes[codes >= n], return_counts=True)
+                    values = (np.minimum(codes, own), len(codes), int((codes < n).sum()), float(logs[codes[codes < n]].sum()),
+                              int((codes >= own).sum()), float(logs[other].sum()), [coder.rare[i - n] for i in rare.tolist()], times)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                    coder.forget()
+                types = [pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(),
+                         pa.list_(pa.int64()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]],
+                    [c.split()[0] for c in CODED.split(", ")])
+
+    part = F.when(fold(F.col("doc_id")) != HELD_OUT_FOLD, F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).cast("int"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), "text").mapInArrow(code, CODED)
+
+
+def _portions(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and word numbers of the rows of a batch, some million tokens at once."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + TOKENS_AT_ONCE, side="right")) - 1)
+        yield first, [flat[ends[i]:ends[i + 1]] for i in range(first, last)]
+        first = last
+
+
+def trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> gated_lm.Weights:
+    """Weights after one pass over the coded training texts, averaged over the tasks after each round.
+
+    Long texts are cut in pieces of ``LONGEST`` words, which are trained side by side.
+    """
+    context, weights, shape = texts.sparkSession.sparkContext, vocabulary.initial(), vocabulary.shape
     for k in range(rounds):
         start = context.broadcast(weights)
 
         def train(batches: Iterator[pa.RecordBatch], start=start, rate=0.01 / (k + 1)) -> Iterator[pa.RecordBatch]:
-            coder, trainer, tokens = Coder(words.value), gated_lm.Trainer(start.value, shape, rate), 0
+            trainer, tokens = gated_lm.Trainer(start.value, shape, rate), 0
             for batch in batches:
-                for _, portion in _portions(batch, 0, coder):
-                    texts = [np.minimum(codes, shape.words) for codes in portion]
-                    tokens += sum(map(len, texts))
-                    inputs, targets, fresh, _ = gated_lm.laid_out(texts, 0, LANES)
-                    trainer.learn(inputs, targets, fresh)
+                for _, portion in _portions(batch, "codes"):
+                    pieces, before = [], []
+                    for text in portion:
+                        tokens += len(text)
+                        for into, new in zip((pieces, before), gated_lm.cut(text, LONGEST), strict=True):
+                            into.extend(new)
+                    trainer.learn(*gated_lm.laid_out(pieces, LANES, before)[:3])
             if tokens:
                 change = gated_lm.as_vector(trainer.weights) - gated_lm.as_vector(start.value)
                 pieces = [change[i:i + PIECE].astype(np.float16).tobytes() for i in range(0, len(change), PIECE)]
@@ -178,7 +220,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> ga
                     [pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()),
                      pa.array([tokens] * len(pieces), pa.int64())], ["piece", "change", "tokens"])
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text")
+        part = texts.where(F.col("part") == k).select("codes")
         groups = ceil(part.rdd.getNumPartitions() / TOGETHER) or 1
         changes = part.mapInArrow(train, CHANGES).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(groups)))
         grouped = changes.groupBy("piece", "group").applyInPandas(_average, CHANGES)
@@ -202,40 +244,20 @@ def _average(rows):
     return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "change": [mean.astype(np.float16).tobytes()], "tokens": [total]})
 
 
-PARTS = ("doc_id long, n_tokens long, n_frequent long, sum_frequent double, n_other long, sum_other double, "
-         "model double, rare array<long>, times array<int>")
-
+def scored(texts: DataFrame, vocabulary: Vocabulary, weights: gated_lm.Weights) -> DataFrame:
+    """``texts`` with the model's log10 score of their word numbers."""
+    shape, columns = vocabulary.shape, [c.split()[0] for c in SCORED.split(", ")]
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
 
-def scored_parts(docs: DataFrame, vocabulary: Vocabulary, weights: gated_lm.Weights) -> DataFrame:
-    """What a document's scores are made of, but for the counts of its rare words, which are listed."""
-    context, shape = docs.sparkSession.sparkContext, vocabulary.shape
-    shared = context.broadcast((vocabulary, weights))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = shared.value
-        coder, logs, n = Coder(known), np.log10(known.counts + 1), len(known.counts)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, portion in _portions(batch, 1, coder):
-                out: list[list] = [[] for _ in range(6)]
-                texts = []
-                for codes in portion:
-                    frequent, other = codes[codes < n], codes[(codes < n) & (codes >= shape.words)]
-                    rare, times = np.unique(codes[codes >= n], return_counts=True)
-                    texts.append(np.minimum(codes, shape.words))
-                    values = (len(codes), len(frequent), float(logs[frequent].sum()), int((codes >= shape.words).sum()),
-                              float(logs[other].sum()), ([coder.rare[i - n] for i in rare.tolist()], times.tolist()))
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                inputs, targets, fresh, owner = gated_lm.laid_out(texts, 0, LANES)
-                model = gated_lm.score(w, shape, inputs, targets, fresh, owner, len(texts)) / log(10)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(rows.start, len(rows)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                     pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.float64()),
-                     pa.array(model, pa.float64()), pa.array([x[0] for x in out[5]], pa.list_(pa.int64())),
-                     pa.array([x[1] for x in out[5]], pa.list_(pa.int32()))],
-                    [c.split()[0] for c in PARTS.split(", ")])
+            model = np.zeros(batch.num_rows)
+            for first, portion in _portions(batch, "codes"):
+                model[first:first + len(portion)] = gated_lm.score(
+                    shared.value, shape, *gated_lm.laid_out(portion, LANES), len(portion)) / log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model, pa.float64())], columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parts, PARTS)
+    return texts.select(columns[:-1]).mapInArrow(score, SCORED).drop("codes")
 
 
 def scores(docs: DataFrame, shape: Shape | None = None, frequent: float = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
@@ -249,15 +271,15 @@ def scores(docs: DataFrame, shape: Shape | None = None, frequent: float = FREQUE
     tokens, distinct = sums["tokens"], sums["words"]
     listed = counts.where(F.col("n") >= max(1.0, frequent * tokens)).collect()  # 1 / frequent words at most
     vocabulary = Vocabulary([(r["word"], r["n"]) for r in listed], tokens, distinct, shape)
-    weights = trained(training, vocabulary, rounds)
-    # the number of a row is fixed by being written
-    parts = stage(scored_parts(docs, vocabulary, weights).withColumn("row_", F.monotonically_increasing_id()))
-    rare = parts.select("row_", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+    # texts are coded once; the number of a row is fixed by being written
+    texts = stage(coded(docs, vocabulary, rounds).withColumn("row_", F.monotonically_increasing_id()))
+    weights = trained(texts, vocabulary, rounds)
+    rare = texts.select("row_", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row_", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts.where(F.col("n") < max(1.0, frequent * tokens)), "word").groupBy("row_").agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("sum_rare"))
     sum_rare, n_rare = F.coalesce("sum_rare", F.lit(0.0)), F.coalesce("n_rare", F.lit(0))
-    return parts.drop("rare", "times").join(found, "row_", "left").select(
+    return scored(texts, vocabulary, weights).join(found, "row_", "left").select(
         "doc_id", (fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out"), "n_tokens",
         (F.col("n_frequent") + n_rare).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("sum_frequent") + sum_rare - F.col("n_tokens") * log10(tokens + distinct + 1)).alias("base_score"),

@@ -93,7 +93,7 @@ def test_layout_does_not_change_scores():
     texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 70, 3, 40, 2, 150)]
     got = []
     for lanes, steps in ((1, 7), (3, 32), (6, 1000)):
-        inputs, targets, fresh, owner = gated_lm.laid_out(texts, 0, lanes)
+        inputs, targets, fresh, owner = gated_lm.laid_out(texts, lanes)
         got.append(gated_lm.score(weights, shape, inputs, targets, fresh, owner, len(texts), steps))
     assert np.allclose(got[0], got[1], rtol=1e-4) and np.allclose(got[0], got[2], rtol=1e-4)
 
@@ -123,7 +123,7 @@ def test_update_of_touched_rows_is_that_of_all():
     shape, rng = Shape.even(32, 4, 5), np.random.default_rng(4)
     start = gated_lm.initial(np.arange(32.0, 0, -1), 4.0, shape)
     trainer = gated_lm.Trainer(start, shape)
-    trainer.learn(*gated_lm.laid_out([rng.integers(0, 9, 30).astype(np.int32) for _ in range(4)], 0, 2)[:3])
+    trainer.learn(*gated_lm.laid_out([rng.integers(0, 9, 30).astype(np.int32) for _ in range(4)], 2)[:3])
     assert np.array_equal(trainer.weights["input"][9:], start["input"][9:])
     assert np.array_equal(trainer.weights["word"][12:], start["word"][12:])
     assert not np.array_equal(trainer.weights["word"][:9], start["word"][:9])
@@ -183,5 +183,5 @@ def test_scores_against_plain_arithmetic():
     shape, rng = Shape((0, 1, 3, 8), 5), np.random.default_rng(8)
     weights = tiny(shape)
     texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 40, 3, 17, 65)]
-    got = gated_lm.score(weights, shape, *gated_lm.laid_out(texts, 0, 3), len(texts))
+    got = gated_lm.score(weights, shape, *gated_lm.laid_out(texts, 3), len(texts))
     assert got == pytest.approx([plain_score(weights, shape, t.tolist()) for t in texts], rel=1e-4)
