@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampType
 
 from shelfprice.functions import cents, round_to
-from shelfprice.operators.quantiles import column_quantiles, unpivot_numbers
+from shelfprice.operators.quantiles import QUARTILES, bracket_aggregates, quartiles_and_far, unpivot_numbers
+from shelfprice.operators.staging import stage
 
 # Column names treated as a price or a cost.
 PRICE_COST_NAMES = (
@@ -129,20 +130,9 @@ def target_candidates(df: DataFrame, units_role: str | None = None) -> DataFrame
     )
 
 
-def iqr_outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Quartiles and the number of values beyond three inter-quartile ranges."""
-    columns = columns or numeric_columns(df)
-    quartiles = column_quantiles(df, columns, [0.25, 0.75]).groupBy("column").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
-    reach = F.col("iqr") * OUTLIER_IQRS
-    outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
-    return (
-        unpivot_numbers(df, columns).join(F.broadcast(quartiles), "column")  # one row per column
-        .groupBy("column", "q1", "q3", "iqr")
-        .agg(F.count_if(outside & (F.col("iqr") > 0)).alias("outliers"))
-    )
+    return quartiles_and_far(df, columns or numeric_columns(df), OUTLIER_IQRS, stats)
 
 
 def _count_text(count: Column) -> Column:
@@ -154,7 +144,10 @@ def _percent_text(share: Column) -> Column:
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
-    """One row per finding: ``(issue, penalty, bad_cells)``."""
+    """One row per finding: ``(issue, penalty, bad_cells)``.
+
+    The table is read three times: for all counts and sketches, for the ranks and far values, and for duplicates.
+    """
     numeric = numeric_columns(df)
     priced = [c for c in numeric if spaced(c) in PRICE_COST_NAMES]
     others = [c for c in numeric if c not in priced]
@@ -169,7 +162,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
                  (F.min(c) == F.max(c)).alias(f"const{i}")]
     if price and cost:
         aggs.append(F.count_if((F.col(price) > 0) & (F.col(cost) > 0) & (F.col(price) < F.col(cost))).alias("under"))
-    stats = df.agg(*aggs)
+    stats = stage(df.agg(*aggs, *bracket_aggregates(others, QUARTILES)))  # one row
     rows = F.col("rows")
 
     found: list[Column] = []
@@ -204,7 +197,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
         F.when(share > 0.1, 10).otherwise(3).alias("penalty"), F.lit(0).cast("bigint").alias("bad_cells"),
     ))
     if others:
-        issues = issues.unionByName(iqr_outliers(df, others).where(F.col("outliers") > 0).select(
+        issues = issues.unionByName(iqr_outliers(df, others, stats).where(F.col("outliers") > 0).select(
             F.concat(F.col("column"), F.lit(": "), _count_text(F.col("outliers")), F.lit(" extreme outliers")).alias("issue"),
             F.lit(4).alias("penalty"), F.col("outliers").alias("bad_cells"),
         ))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfprice.operators.staging import stage
+
 # Below this many values the whole range is searched; above it, only a bracket
 # around the percentile that is wide enough for the sketch's rank error.
 WHOLE_RANGE = 100_000
 SKETCH_ACCURACY = 10_000
 BRACKET = 4.0 / SKETCH_ACCURACY
 CELLS = 1024
+QUARTILES = [0.25, 0.75]
 
 
 def _number(name: str):
@@ -24,16 +27,20 @@ def unpivot_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """One row per column and probability: value count and the bracket to search."""
+def bracket_aggregates(columns: list[str], probs: list[float]) -> list[Column]:
+    """Aggregates ``s0``, ``s1``, ... that ``brackets_of`` reads, to be computed beside others in one pass."""
     edges = [F.lit(min(max(p + side * BRACKET, 0.0), 1.0)) for p in probs for side in (-1, 1)]
-    stats = df.agg(*[
+    return [
         F.struct(
             F.count(_number(c)).alias("n"), F.min(_number(c)).alias("low"), F.max(_number(c)).alias("high"),
             F.percentile_approx(_number(c), F.array(*edges), SKETCH_ACCURACY).alias("edges"),
         ).alias(f"s{i}")
         for i, c in enumerate(columns)
-    ])
+    ]
+
+
+def brackets_of(stats: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """One row per column and probability: value count and the bracket to search."""
     rows = []
     for i, c in enumerate(columns):
         stat = F.col(f"s{i}")
@@ -47,6 +54,10 @@ def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
     return stats.select(F.inline(F.array(*rows)))
 
 
+def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    return brackets_of(df.agg(*bracket_aggregates(columns, probs)), columns, probs)
+
+
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Interpolated percentiles per column: ``(column, prob, n, value)``.
 
@@ -54,18 +65,28 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> D
     counted, rows inside it are counted per value and per grid cell, and one grid
     cell is finally ranked. What reaches a single task is a cell, not the column.
     """
-    brackets = F.broadcast(_brackets(df, columns, probs))  # len(columns) * len(probs) rows
-    position = F.col("prob") * (F.col("n") - 1)
+    return _ranked(_counted(df, columns, _brackets(df, columns, probs)))
+
+
+def _counted(df: DataFrame, columns: list[str], brackets: DataFrame, also: Column | None = None) -> DataFrame:
+    """Values under each bracket and per value inside it, and per value for the rows that ``also`` takes."""
     # values under the bracket are counted at its lower end, so both uses of the counts
-    # below are the same aggregation and Spark runs it once
+    # in _ranked are the same aggregation and Spark runs it once
+    wanted = F.col("value") <= F.col("high")
     inside = (
-        unpivot_numbers(df, columns).join(brackets, "column").where(F.col("value") <= F.col("high"))
+        unpivot_numbers(df, columns).join(F.broadcast(brackets), "column")  # a few rows per column
+        .where(wanted if also is None else F.coalesce(also, wanted))
         .withColumn("spot", F.greatest("value", "low"))
     )
     under = F.col("value") < F.col("low")
-    counted = inside.groupBy("column", "prob", "n", "low", "high", "spot").agg(
+    return inside.groupBy("column", "prob", "n", "low", "high", "spot").agg(
         F.count_if(under).alias("below"), F.count_if(~under).alias("cnt")
     )
+
+
+def _ranked(counted: DataFrame) -> DataFrame:
+    """The percentiles of what ``_counted`` counted."""
+    position = F.col("prob") * (F.col("n") - 1)
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     cell = F.coalesce(F.least(F.floor((F.col("spot") - F.col("low")) / width * CELLS), F.lit(CELLS - 1)), F.lit(0))
     counted = counted.withColumns({
@@ -99,6 +120,38 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> D
         .otherwise(value).alias("value"))
 
 
+def quartiles_and_far(df: DataFrame, columns: list[str], reach: float, stats: DataFrame | None = None) -> DataFrame:
+    """Quartiles per column and the values more than ``reach`` inter-quartile ranges outside.
+
+    ``(column, q1, q3, iqr, outliers)``; none lies outside where the range is 0. The table is read
+    twice: once for the sketch (not at all if ``stats`` holds its ``bracket_aggregates``), which bounds the
+    quartiles and so how near a value must be to be surely inside, and once to count the others.
+    """
+    found = stage(df.agg(*bracket_aggregates(columns, QUARTILES))) if stats is None else stats
+    brackets = brackets_of(found, columns, QUARTILES)
+    ends = brackets.groupBy("column").agg(
+        F.max("n").alias("n"),
+        F.max(F.when(F.col("prob") == QUARTILES[0], F.col("high"))).alias("q1_most"),
+        F.max(F.when(F.col("prob") == QUARTILES[1], F.col("low"))).alias("q3_least"))
+    surely = F.greatest(F.col("q3_least") - F.col("q1_most"), F.lit(0.0)) * reach
+    nothing = F.lit(None).cast("double")
+    search = brackets.select("*", nothing.alias("inner_low"), nothing.alias("inner_high")).unionByName(ends.select(
+        "column", nothing.alias("prob"), "n", F.lit(float("-inf")).alias("low"), nothing.alias("high"),
+        (F.col("q1_most") - surely).alias("inner_low"), (F.col("q3_least") + surely).alias("inner_high")))
+    far = F.when(F.col("prob").isNull(), (F.col("value") < F.col("inner_low")) | (F.col("value") > F.col("inner_high")))
+    counted = stage(_counted(df, columns, search, far))
+    quartiles = _ranked(counted.where("prob is not null")).groupBy("column").agg(*[
+        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in zip(QUARTILES, ("q1", "q3"), strict=True)
+    ]).withColumn("iqr", F.col("q3") - F.col("q1"))
+    beyond = (F.col("spot") < F.col("q1") - F.col("iqr") * reach) | (F.col("spot") > F.col("q3") + F.col("iqr") * reach)
+    outside = (
+        counted.where("prob is null").join(F.broadcast(quartiles), "column").where(beyond & (F.col("iqr") > 0))  # a row per column
+        .groupBy("column").agg(F.sum("cnt").alias("outside"))
+    )
+    return quartiles.join(F.broadcast(outside), "column", "left").select(
+        "column", "q1", "q3", "iqr", F.coalesce("outside", F.lit(0)).alias("outliers"))
+
+
 def group_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Exact median of each column per group, for columns with a bounded value domain.
 

@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfprice.operators import profiling
+from shelfprice.operators import profiling, quantiles
 
 
 @pytest.fixture
@@ -55,6 +56,35 @@ def test_outliers(spark):
     assert row["outliers"] == 2
 
 
+@pytest.mark.parametrize("whole_range", [100_000, 10])
+def test_outliers_in_two_reads(spark, monkeypatch, whole_range):
+    """Same quartiles and outliers as numpy, whether or not the sketch narrows the search; two reads of the rows."""
+    monkeypatch.setattr(quantiles, "WHOLE_RANGE", whole_range)
+    rng = np.random.default_rng(3)
+    n = 4000
+    v = np.concatenate([rng.normal(100, 5, n - 40), rng.normal(100, 400, 40)]).round(2)
+    columns = {"v": v, "flat": np.full(n, 2.0), "skew": np.exp(rng.normal(0, 2, n)).round(3)}
+    rows = [(*(float(c[i]) for c in columns.values()), None, float("nan") if i % 2 else 1.0 + i) for i in range(n)]
+    table = spark.createDataFrame(rows, "v double, flat double, skew double, none double, gaps double")
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = {r["column"]: r for r in profiling.iqr_outliers(table.mapInArrow(passed, table.schema)).collect()}
+    columns["gaps"] = np.array([1.0 + i for i in range(0, n, 2)])
+    assert set(found) == set(columns)
+    for name, values in columns.items():
+        q1, q3 = np.quantile(values, [0.25, 0.75])
+        far = ((values < q1 - 3 * (q3 - q1)) | (values > q3 + 3 * (q3 - q1))).sum() if q3 > q1 else 0
+        assert (found[name]["q1"], found[name]["q3"]) == pytest.approx((q1, q3))
+        assert found[name]["outliers"] == far
+    assert found["v"]["outliers"] > 10 and found["skew"]["outliers"] > 10
+    assert read.value == 2 * n
+
+
 def test_basic_stats_of_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double").withColumn("w", F.lit(2.345))
     stats = {r["column"]: r for r in profiling.basic_stats(df).collect()}
