@@ -6,12 +6,18 @@ every document, so records stay linked; another key gives unrelated pseudonyms.
 
 * Payment numbers (13 to 19 digits, also in groups): all digits but the last are permuted,
   and the last is set so that a number passes the Luhn check if and only if it did before.
-* Telephone and social security numbers: digits permuted, country code and punctuation kept.
+* Telephone and social security numbers: digits permuted, country code and punctuation kept. The
+  country code is known from its first digits, so spelling does not matter: ``+1 555-123-4567``, ``+15551234567`` and
+  ``555-123-4567`` get the same digits.
 * IPv4 addresses with octets up to 255: permuted as 32-bit numbers, so octets stay valid.
 * Calendar dates (``yyyy-MM-dd``, ``dd/MM/yyyy``, ``dd.MM.yyyy``) of 1700 to 2099: permuted as
   day numbers of that range, which is 27 x 5,411 days long.
 * Mail addresses and secrets (long hexadecimal strings, key prefixes): letters and digits
-  permuted within their class, domain ending and key prefix kept.
+  permuted within their class, domain ending and key prefix kept. Addresses are permuted in lower
+  case and get their capitals back, so those that differ in case only stay linked.
+
+Numbers of a private format are replaced even if they cannot be real (a failed check digit, an area never
+issued): a mistyped number still points to a person. An empty key is refused.
 
 Every permutation is a Feistel network of eight rounds over two halves with addition modulo the
 size of the half; the round function is SHA-256 of key, round and other half. Only
@@ -54,6 +60,14 @@ GATE = "[0-9@]|AKIA|ASIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[a-fA-F]{32}"
 RUNS = [(48, 10), (65, 26), (97, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 7)]
 
 
+# First digits of the telephone country codes of one and of two digits; all others have three.
+ONE_DIGIT_CODES = "[17]"
+TWO_DIGIT_CODES = "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: Capitals of the permuted letters, and their small letters.
+CAPITALS = "".join(chr(first + i) for first, size in (RUNS[1], RUNS[3], RUNS[4]) for i in range(size))
+SMALL = "".join(chr(first + i) for first, size in (RUNS[2], RUNS[5], RUNS[6]) for i in range(size))
+
+
 def _long(value: int | str) -> Column:
     return F.lit(value).cast("long")
 
@@ -174,9 +188,12 @@ def _card(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
-    code = F.regexp_extract(text, "^(\\+\\d{1,3})[ .(-]", 1)
-    rest = F.substring(text, F.length(code) + 1, F.length(text))
-    return F.concat(code, _with_digits(rest, permuted_digits(_digits(rest), key + "phone")))
+    digits = _digits(text)
+    size = (F.when(~text.startswith("+"), 0).when(digits.rlike(f"^{ONE_DIGIT_CODES}"), 1)
+            .when(digits.rlike(f"^(?:{TWO_DIGIT_CODES})"), 2).otherwise(3))
+    return let(F.struct(digits.alias("digits"), size.alias("size")), lambda p: _with_digits(text, F.concat(
+        F.substring(p["digits"], F.lit(1), p["size"]),
+        let(F.substring(p["digits"], p["size"] + 1, F.length(p["digits"])), lambda rest: permuted_digits(rest, key + "phone")))))
 
 
 def _ip(text: Column, key: str) -> Column:
@@ -205,7 +222,20 @@ def _date(text: Column, key: str) -> Column:
 
 def _email(text: Column, key: str) -> Column:
     end = F.regexp_extract(text, f"(\\.[{_WORD}-]+)$", 1)
-    return F.concat(permuted_text(F.substring(text, F.lit(1), F.length(text) - F.length(end)), key + "email"), end)
+    body = F.substring(text, F.lit(1), F.length(text) - F.length(end))
+    small = F.translate(body, CAPITALS, SMALL)
+    return F.concat(let(permuted_text(small, key + "email"), lambda new: F.when(body == small, new).otherwise(
+        _with_capitals(new, body))), end)
+
+
+def _with_capitals(text: Column, like: Column) -> Column:
+    """``text`` with capitals where ``like``, a text of the same length, has them."""
+    def char(i: Column) -> Column:
+        given = F.substring(like, i, F.lit(1))
+        return let(F.substring(text, i, F.lit(1)), lambda c: F.when(
+            given == F.translate(given, CAPITALS, SMALL), c).otherwise(F.translate(c, SMALL, CAPITALS)))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), char), "")
 
 
 def _secret(text: Column, key: str) -> Column:
@@ -267,6 +297,8 @@ def pseudonym(found: Column, key: str) -> Column:
 
 def with_pseudonyms(text: Column, key: str) -> Column:
     """Struct of the text with its private strings replaced, and the strings' kinds in order."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     found = F.regexp_extract_all(text, F.lit(SEARCH), F.lit(0))
     between = F.split(text, SEARCH, -1)
 

@@ -16,8 +16,9 @@ from shelfprice.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-#: Key of the pseudonyms; a deployment sets its own.
-PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "change-me")
+#: Key of the registered queries, for tests only: whoever knows it can undo the pseudonyms.
+TEST_KEY = "public key of the registered queries, only for test data"
+PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY") or TEST_KEY
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -114,3 +114,22 @@ def test_secrets_of_letters_only(spark):
         bare, digit = got[2 * k], got[2 * k + 1]
         assert bare["n_secret"] == digit["n_secret"] == 1 and secret not in bare["text"]
         assert bare["text"] + " 7" == digit["text"]
+
+
+def test_spellings_of_a_value_stay_linked(replaced):
+    """Case of an address and punctuation of a telephone number do not matter; format and capitals are kept."""
+    texts = ["Ann.Lee@Mail.com", "ann.lee@mail.com", "ANN.LEE@MAIL.com", "+1 555-123-4567", "+15551234567", "555-123-4567",
+             "+44 20 7946 0958", "+442079460958", "+44 20 7946 0959", "\u00c9va@x.org", "\u00e9va@x.org"]
+    new = [r["text"] for _, r in sorted(replaced(*texts).items())]
+    assert all(a != b for a, b in zip(new, texts, strict=True))
+    assert new[0].lower() == new[1] == new[2].lower() and new[2] == new[1][:-3].upper() + "com"
+    assert [c.isupper() for c in new[0]] == [c.isupper() for c in texts[0]]
+    digits = ["".join(c for c in t if c.isdigit()) for t in new]
+    assert digits[3] == digits[4] == "1" + digits[5] and new[3].startswith("+1 ") and new[4].startswith("+1")
+    assert digits[6] == digits[7] != digits[8] and new[6].startswith("+44 ") and new[7].startswith("+44")
+    assert new[9].lower() == new[10] and new[9][0].isupper()
+
+
+def test_key_is_needed(spark):
+    with pytest.raises(ValueError, match="key"):
+        pseudonyms.pseudonymise(frame(spark, []), "")
