@@ -45,7 +45,7 @@ class Rule:
 RULES = (
     Rule("org", "/", "allow"),
     Rule("example.org", "/es/", "block"),
-    Rule("example.org", "/en/1", "allow"),
+    Rule("example.org", "/en/1", "block"),
     Rule("com", "/fr/", "allow"),
     Rule("com", "/de/", "block"),
 )
