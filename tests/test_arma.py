@@ -64,3 +64,14 @@ def test_short_and_constant_series(spark):
     flat = {"flat": [5.0] * 80, "short": [1.0] * 12}
     got = features.arma11_baseline(cells(spark, flat), min_rows=3).collect()
     assert [(r["product_id"], r["phi"], r["aic"]) for r in got] == [("flat", None, None)]
+
+
+def test_more_cells_are_more_tasks(spark, monkeypatch):
+    """A task holds a bounded number of cells, and their days are not staged or moved again."""
+    asked = []
+    dealt = features.by_key
+    monkeypatch.setattr(features, "CELLS_PER_TASK", 20)
+    monkeypatch.setattr(features, "by_key", lambda rows, key, tasks=0: asked.append(tasks) or dealt(rows, key, tasks))
+    series = {str(k): simulated(60, 0.3, 0.2, k) for k in range(5)}
+    got = {r["product_id"]: r["phi"] for r in features.arma11_baseline(cells(spark, series), min_rows=3).collect()}
+    assert asked == [15] and got == {k: pytest.approx(two_steps(y, features.LONG_ORDER)[0], rel=1e-6) for k, y in series.items()}
