@@ -65,8 +65,10 @@ def pressured_products(spark, folder):
 
 
 def _requests(spark, folder):
-    asked = lookup(retail.deal_requests(spark, folder), pressured_products(spark, folder), "product_id")
-    return deals.with_customer(asked, stage(retail.customers(spark, folder)))
+    """Requests with their customer and product; an order's customer is looked up once, not once per line."""
+    bought = deals.with_customer(retail.order_customers(spark, folder), stage(retail.customers(spark, folder)))
+    asked = retail.deal_requests(spark, folder, bought.select("order_id", "customer_id", "loyalty_score", "purchase_count", "loyalty_tier"))
+    return lookup(asked, pressured_products(spark, folder), "product_id", counted=retail.lines(spark, folder))
 
 
 PRESSURE = """

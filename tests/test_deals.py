@@ -123,3 +123,24 @@ def test_states_without_range(spark):
     df = spark.createDataFrame([(5.0, 0.5, 0.1)], "inventory double, demand_pressure double, competitor_gap double")
     row = policy.with_state(df, policy.axis_limits(df)).first()
     assert (row["inventory_bin"], row["pressure_bin"], row["gap_bin"]) == (0, 0, 0)
+
+
+def test_requests_are_not_joined_to_count_keys(spark, folder, monkeypatch):
+    """Hot keys are found in tables as they are read, and the customer is attached to the order."""
+    from shelfprice.operators import joins
+    from shelfprice.plans import deals as plans
+
+    seen, found = [], joins.hot_keys
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(joins, "hot_keys", lambda rows, key: seen.append(
+        (key, rows._jdf.queryExecution().optimizedPlan().toString())) or found(rows, key))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = plans._requests(spark, folder)
+        rows = asked.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    ours = [(key, plan) for key, plan in seen if key in ("order_id", "customer_id", "product_id")]
+    assert {key for key, _ in ours} == {"order_id", "customer_id", "product_id"}
+    assert not any("Join" in plan for _, plan in ours)
