@@ -30,7 +30,8 @@ def normalize_sales(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Canonical sales rows from raw text columns named by :func:`apply_mapping`.
 
     Rows without a product, date, price or units are dropped; absent optional values
-    are derived. ``keep`` names extra columns to carry along.
+    are derived. ``keep`` names extra columns to carry along. The texts of a row are parsed into one struct, so
+    that no later filter or column parses them again.
     """
 
     def text(name: str) -> Column:
@@ -39,15 +40,14 @@ def normalize_sales(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def number(name: str) -> Column:
         return parse_number(text(name)) if name in raw.columns else F.lit(None).cast("double")
 
-    parsed = raw.select(
-        *(keep or []),
+    parsed = raw.select(*(keep or []), F.inline(F.array(F.struct(
         text("product_id").alias("product_id"), parse_date(text("date")).alias("date"),
         F.coalesce(F.nullif(text("category"), F.lit("")), F.lit(DEFAULT_CATEGORY)).alias("category"),
         *[number(c).alias(c) for c in (
             "price", "cost", "competitor_price", "inventory", "units_sold",
             "is_weekend", "month", "seasonal_factor", "holiday",
         )],
-    ).where(
+    )))).where(
         (F.col("product_id") != "") & F.col("date").isNotNull()
         & F.col("price").isNotNull() & F.col("units_sold").isNotNull()
     )

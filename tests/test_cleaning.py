@@ -63,3 +63,17 @@ def test_leakage(spark):
 def test_duplicates_are_really_dropped(spark):
     df = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "a int, b int")
     assert cleaning.drop_duplicates(df).count() == 2 and cleaning.drop_duplicates(df, ["a"]).count() == 1
+
+
+def test_texts_are_parsed_once(spark):
+    """No filter or later column repeats the patterns, and odd shapes are read as before."""
+    odd = [("7", "1/2/2024 10:00", "$1,234.50"), ("7", "13-1-2024", "12"), ("7", "Mon, 3.4.24", "1e3"), ("7", "2024/5/6", "-.5"),
+           ("7", "Jan 7, 2024", "123456789012345678"), ("7", "2024-08-09T10:00", "+4."), ("7", "1/2/20245", "5"),
+           ("7", "99/1/2024", "5"), ("7", "1/2/2024", "1e999"), (None, "1/2/2024", "5"), ("", "1/2/2024", "5")]
+    raw = spark.createDataFrame([(p, d, n, n) for p, d, n in odd], "product_id string, date string, price string, units_sold string")
+    clean = cleaning.normalize_sales(raw)
+    assert [(str(r["date"]), r["price"]) for r in clean.collect()] == [
+        ("2024-01-02", 1234.5), ("2024-01-13", 12.0), ("2024-03-04", 1000.0), ("2024-05-06", -0.5), ("2024-01-07", 123456789012345678.0),
+        ("2024-08-09", 4.0), ("2024-01-25", 5.0)]
+    plan = clean._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("RLIKE" in line for line in plan) == 1
