@@ -17,12 +17,10 @@ How it scales:
   nor another band puts in one class is compared further: texts that are not of the least class of
   their band with all of the band that is not of their own. Only pairs that agree in at
   least half of their samples are read as texts.
-* A band with more than ``STRAYS`` texts outside its least class is first split by a second band, and such a
-  part of it by a third: texts with one common passage agree in a band, but seldom in three.
-  A pair whose only common band is split is found if it agrees in a second band, in a split part if in three: of
-  pairs of weighted similarity 0.8, 99.8 and 98.4 % do, of those at 0.78, 99.5 and 97.1 %. What agrees in three bands is
-  paired off, whatever its number: this grows with the square of a group of texts that are much alike without
-  being near, the operator's known limit.
+* The texts of bands with more than ``STRAYS`` texts outside their least class are not paired off: they share a
+  passage, or are much alike without being near. They are paired by the shingles that can be the first they share, rare
+  ones first: near texts share at least the threshold of their weight, so such a shingle lies in the first
+  0.22 of the weight of both. This is exact for all these texts, whichever bands they agree in.
 * Components come from large-star and small-star rounds, which are joins and minima over
   the links; nothing is collected but counts.
 
@@ -56,8 +54,12 @@ COUNTER_BITS = 17
 LEAST_IDF = 0.9
 #: Pairs that agree in a smaller share of their samples are not read as texts.
 LEAST_AGREEMENT = 0.5
-#: Bands with more texts outside their least class are split by another band, up to ``DEPTH`` bands in all.
-STRAYS, DEPTH = 8, 3
+#: The texts of bands with more texts outside their least class are paired by their rare shingles.
+STRAYS = 8
+#: Texts of a rare shingle with which the others are compared first, before those of different classes are paired off.
+HUBS = 8
+#: Sums of weights are compared with this much room for rounding.
+SLACK = 1e-6
 _TABLE_BITS = 16
 _BLOCK = 2048
 
@@ -152,6 +154,11 @@ def inverse_frequencies(frequencies: np.ndarray, n: int) -> np.ndarray:
     return np.clip(idf, LEAST_IDF, 1.0).astype(np.float64)
 
 
+def frequency_ranks(frequencies: np.ndarray) -> np.ndarray:
+    """Rank per counter, by which shingles are put in order: how often its number of documents can be halved."""
+    return np.log2(np.maximum(frequencies, 1)).astype(np.int64)
+
+
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """``doc_id``, key of the text and its samples as 4-byte numbers, one row per document."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
@@ -257,50 +264,112 @@ def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return _in_order(a.join(b, "group").where("ra <> rb").where(_promising()))
 
 
-def _split(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` of groups that agree in the bands ``mask``, in groups that agree in one band more."""
-    banded = rows.select("key", "root", "mask").distinct().join(nodes.select("key", _bands(F.col("samples")).alias("bands")), "key")
-    more = banded.withColumn("bit", F.explode(F.array(*[F.lit(1 << k) for k in range(BANDS)]))).where(
-        F.col("mask").bitwiseAND(F.col("bit")) == 0).withColumn("mask", F.col("mask").bitwiseOR(F.col("bit")))
-    held = F.filter("bands", lambda _, k: F.get(F.array(*[F.lit(1 << j) for j in range(BANDS)]), k).bitwiseAND(F.col("mask")) != 0)
-    return more.select(F.xxhash64("mask", held).alias("group"), "key", "root", "mask").distinct()
-
-
-def _late_pairs(banded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different roots to be verified after the stars: those of a band, or of its parts if it has many strays."""
-    rows, found = banded, []
-    for depth in range(1, DEPTH + 1):
-        low = rows.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
-            "low <> high").drop("high")
-        live = stage(rows.join(low, "group"))
-        strays = live.where("root <> low").groupBy("group").agg(F.count(F.lit(1)).alias("strays"))
-        sized = stage(live.join(strays, "group"))
-        split = sized.where(F.col("strays") > STRAYS)
-        last = depth == DEPTH or split.isEmpty()
-        found.append(stage(_across(sized if last else sized.where(F.col("strays") <= STRAYS), nodes)))
-        if last:
-            break
-        rows = stage(_split(split, nodes))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+def _live(banded: DataFrame) -> DataFrame:
+    """Rows of groups with more than one root, with the group's least root and the number of rows outside it."""
+    sizes = banded.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low <> high").drop("high")
+    live = stage(banded.join(sizes, "group"))
+    strays = live.where("root <> low").groupBy("group").agg(F.count(F.lit(1)).alias("strays"))
+    return stage(live.join(strays, "group"))
+
+
+def _late_pairs(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different roots to be verified after the stars, from bands with few strays; ``_rare_links`` has the rest."""
+    if "strays" not in live.columns:
+        live = _live(live)
+    return _across(live.where(F.col("strays") <= STRAYS), nodes)
+
+
+def _first_shingles(texts: DataFrame, idf: np.ndarray, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """Of texts with a number ``no``, the shingles that can be the first that two near texts share.
+
+    Shingles are in one order for all texts: by the rank of their counter, then by the number of texts that have
+    them, rare ones first. Near texts share at least ``threshold`` of the weight of each, so the first
+    shingle they share has no more than the rest of either text's weight before it. ``rest`` is the weight from a shingle on.
+    """
+    table = texts.sparkSession.sparkContext.broadcast((idf, ranks))
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, rank_of = table.value
+        for batch in batches:
+            for no, raw in zip(batch.column(0), _texts(batch.column(1)), strict=True):
+                found, weight = weighted_shingles(word_hashes(raw), weights)
+                rank, total = rank_of[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], weight.sum()
+                # ranks are the same for all texts, so what lies behind this much weight can be left out
+                by_rank = np.cumsum(np.bincount(rank, weights=weight))
+                kept = np.flatnonzero(rank <= np.searchsorted(by_rank, (1 - threshold) * total * (1 + SLACK)))
+                n = len(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([no.as_py()] * n, pa.int64()), pa.array(np.full(n, total)), pa.array(rank[kept].astype(np.int32)),
+                     pa.array(found[kept].view(np.int64)), pa.array(weight[kept])], ["no", "total", "rank", "shingle", "weight"])
+
+    rows = texts.select("no", "text").mapInArrow(early, "no long, total double, rank int, shingle long, weight double")
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    before = Window.partitionBy("no").orderBy("rank", "n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("rest", F.col("total") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).where(
+        (F.col("n") > 1) & (F.col("rest") >= F.col("total") * (threshold * (1 - SLACK))))
+    return placed.select("no", "total", "shingle", "rest")
+
+
+def _rare_pairs(rows: DataFrame, threshold: float, hubs: int | None) -> DataFrame:
+    """Pairs ``a``, ``b`` of different roots that can have one of the shingles of ``rows`` as the first they share.
+
+    With ``hubs`` only those of the texts of a shingle with so many of them: those with the least of their own before it,
+    which are nearest to the others.
+    """
+    low = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("high")
+    live = rows.join(low, "shingle")
+    if hubs is not None:
+        nearest = Window.partitionBy("shingle").orderBy(F.desc(F.col("rest") / F.col("total")), "key")
+        live = live.withColumn("turn", F.row_number().over(nearest))
+    live = stage(live)
+
+    def side(name: str, kept: str) -> DataFrame:
+        return live.where(kept).select("shingle", F.col("key").alias(name), F.col("root").alias(f"r{name}"), *[
+            F.col(c).alias(f"{c}_{name}") for c in ("total", "rest")])
+
+    both = side("a", "root <> low" if hubs is None else f"turn <= {hubs}").join(side("b", "true"), "shingle").where("ra <> rb")
+    shared = threshold / (1 + threshold) * (1 - SLACK)
+    return _in_order(both.where(F.least("rest_a", "rest_b") >= (F.col("total_a") + F.col("total_b")) * shared))
+
+
+def _rare_links(keys: DataFrame, texts: DataFrame, idf: np.ndarray, ranks: np.ndarray, threshold: float,
+                tried: DataFrame) -> DataFrame:
+    """Links among the texts ``keys`` (``key``, ``root``) that put all near ones in one class; ``tried`` pairs are left out.
+
+    The texts of a shingle are compared with ``HUBS`` of them first; those that are then still in different classes are
+    paired off.
+    """
+    hot = stage(keys.withColumn("no", F.monotonically_increasing_id()))
+    rows = stage(_first_shingles(hot.join(texts, "key"), idf, ranks, threshold).join(hot, "no").select(
+        "shingle", "key", "root", "total", "rest"))
+    tried, links = _in_order(tried), None
+    for hubs in (HUBS, None):
+        pairs = stage(_rare_pairs(rows, threshold, hubs).join(tried, ["a", "b"], "left_anti"))
+        found = stage(verified(pairs, texts, idf, threshold))
+        links = found if links is None else links.unionByName(found)
+        if hubs is not None:
+            tried = tried.unionByName(pairs)
+            of = rows.select("key", "root").distinct()
+            joined = found.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").select(
+                F.col("ra").alias("a"), F.col("rb").alias("b"))
+            rows = stage(_rooted(rows, components(joined), "root").drop("root").withColumnRenamed("root_root", "root"))
+    return links
 
 
 def node_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (``doc_id``, ``key``), nodes (``key``, ``id``, ``copies``, ``class``) and the verified links."""
-    idf = inverse_frequencies(*document_frequencies(docs))
+    frequencies, n = document_frequencies(docs)
+    idf, ranks = inverse_frequencies(frequencies, n), frequency_ranks(frequencies)
     rows = stage(sketches(docs, idf))
     nodes = stage(rows.groupBy("key").agg(
         F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("samples").alias("samples")))
     empty = F.lit(bytes(4 * SAMPLES))
     every = nodes.where(F.col("samples") != empty).select(
-        "key", "samples", F.posexplode(_bands(F.col("samples"))).alias("k", "group"))
+        "key", "samples", F.explode(_bands(F.col("samples"))).alias("group"))
     first = every.groupBy("group").agg(
         F.min(F.struct("key", "samples")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    banded = every.drop("samples").join(first.select("group"), "group").select(
-        "group", "key", F.element_at(F.array(*[F.lit(1 << j) for j in range(BANDS)]), F.col("k") + 1).alias("mask"))
-    banded = stage(banded)
+    banded = stage(every.join(first.select("group"), "group").select("group", "key"))
     candidates = stage(every.join(first, "group").where("key <> first.key").select(
         F.col("first.key").alias("a"), F.col("key").alias("b"),
         F.col("first.samples").alias("a_samples"), F.col("samples").alias("b_samples")).where(
@@ -312,8 +381,10 @@ def node_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         .select("key", "text").dropDuplicates(["key"]))
     links = stage(verified(candidates, texts, idf, threshold))
     roots = stage(components(links))
-    late = _late_pairs(_rooted(banded, roots, "key").withColumnRenamed("key_root", "root"), nodes)
-    late = stage(verified(late.join(_in_order(candidates), ["a", "b"], "left_anti"), texts, idf, threshold))
+    live = _live(_rooted(banded, roots, "key").withColumnRenamed("key_root", "root"))
+    late = _late_pairs(live, nodes).join(_in_order(candidates), ["a", "b"], "left_anti")
+    crowded = live.where(F.col("strays") > STRAYS).select("key", "root").distinct()
+    late = stage(verified(late, texts, idf, threshold).unionByName(_rare_links(crowded, texts, idf, ranks, threshold, candidates)))
     links = links.unionByName(late)
     roots = stage(components(links))
     return rows, _rooted(nodes.select("key", "id", "copies"), roots, "key"), links

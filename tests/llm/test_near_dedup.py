@@ -153,3 +153,16 @@ def test_comparisons_grow_with_the_texts(spark):
         return near_dedup._late_pairs(rows, nodes).count() / n
 
     assert late(600) < 2 * late(150) + 2
+
+
+def test_crowded_band_loses_no_pair(spark, monkeypatch):
+    """Texts that agree in one band only, with many others that share a passage."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dedup, "_bands", lambda samples: F.array(
+        F.lit(0).cast("long"), *[F.xxhash64(F.lit(k), samples) for k in range(1, near_dedup.BANDS)]))
+    docs = common_passage(60, 20)
+    rows = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert {rows[5000 + k] for k in range(20)} == {0}
+    assert all(rows[7000 + 2 * k] == rows[7001 + 2 * k] == 7000 + 2 * k for k in range(12))
+    assert all(rows[k] == k for k in range(60))
