@@ -34,6 +34,7 @@ from shelfprice.operators.staging import stage
 
 END_ID = 1
 MOST_CACHED = 250_000
+ROWS_AT_ONCE = 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -55,6 +56,10 @@ class Remembered(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self._older = {}
+
 
 class WordTokenizer:
     """Ids of whole texts as little-endian bytes, put together from those of their words.
@@ -103,9 +108,14 @@ class WordTokenizer:
         words = (text or "").encode().split()
         return b"".join(map(self._words.__getitem__, words))
 
+    def forget(self) -> None:
+        """Drops the remembered words."""
+        self._words.forget()
+        self._parts.forget()
+
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a file, loaded once in a worker."""
+    """The tokenizer of a file, loaded once in a worker. A task that is done lets it forget its words."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
@@ -116,18 +126,23 @@ def cut_into_pieces(docs: DataFrame, path: str, length: int) -> DataFrame:
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                tokens = encode(text) + end
-                n = len(tokens) // 4
-                rows += [(doc_id, k, min(length, n - k), zlib.crc32(tokens[4 * k:4 * (k + length)]), n)
-                         for k in range(0, n, length)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        words = tokenizer(path)
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(first, ROWS_AT_ONCE)
+                    ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    rows: list[tuple] = []
+                    for doc_id, text in zip(ids, texts, strict=True):
+                        tokens = words.encode(text) + end
+                        n = len(tokens) // 4
+                        rows += [(doc_id, k, min(length, n - k), zlib.crc32(tokens[4 * k:4 * (k + length)]), n)
+                                 for k in range(0, n, length)]
+                    columns = list(zip(*rows, strict=True)) or [()] * 5
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            words.forget()  # the worker lives on, beside the tasks of later stages
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
 

@@ -70,6 +70,19 @@ def test_forgetting_changes_nothing():
     assert len(kept) <= 3 and made.count(1) <= 2
 
 
+def test_workers_keep_no_words_after_a_task(spark, folder):
+    import pyarrow as pa
+
+    def kept(batches):
+        for batch in batches:
+            every = [len(c) + len(c._older) for t in packing._TOKENIZERS.values() for c in (t._words, t._parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(every)]), pa.array([sum(every)])], ["caches", "words"])
+
+    packing.pack(table(spark, folder, "documents"), PATH).collect()
+    rows = spark.range(0, 400, 1, 4).mapInArrow(kept, "caches long, words long").collect()
+    assert sum(r["caches"] for r in rows) and not sum(r["words"] for r in rows)
+
+
 def test_column_generation_meets_the_bound():
     widths, demand = np.array([3, 5, 7]), np.array([30.0, 20.0, 10.0])
     patterns, multiples = packing.column_generation(widths, demand, 10)
