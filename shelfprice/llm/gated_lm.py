@@ -59,6 +59,9 @@ class Shape:
 
 Weights = dict[str, np.ndarray]
 
+#: Numbers that an update changes at a time, so that its arrays stay in the cache.
+NUMBERS_AT_ONCE = 16_384
+
 
 def initial(counts: np.ndarray, other: float, shape: Shape, seed: int = 5) -> Weights:
     """Weights that begin as the word frequencies: counts of the frequent words, and of all others together."""
@@ -88,16 +91,17 @@ def from_vector(vector: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _exponentials(given: np.ndarray, weights: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _exponentials(given: np.ndarray, weights: np.ndarray, target: np.ndarray, rows: np.ndarray,
+                  ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exponentials of all logits, their sums over a row, and the log-probability of the targets.
 
-    Logits are shifted by their largest only where they overflow or vanish without.
+    Logits are shifted by their largest only where they overflow or vanish without. ``rows`` counts from 0;
+    it and ``ones`` are at least as long as the logits.
     """
-    x, rows = given @ weights.T, np.arange(len(target))
-    found = x[rows, target]
-    with np.errstate(over="ignore", divide="ignore"):
-        np.exp(x, out=x)
-        sums = x @ np.ones(x.shape[1], x.dtype)
+    x = given @ weights.T
+    found = x[rows[:len(target)], target]
+    np.exp(x, out=x)
+    sums = x @ ones[:x.shape[1]]
     if not (sums.min() > 1e-30 and sums.max() < 1e30):
         np.matmul(given, weights.T, out=x)
         shift = x.max(axis=1)
@@ -130,6 +134,7 @@ def states(w: Weights, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray,
     return out, state, kept
 
 
+@np.errstate(over="ignore", divide="ignore")
 def log_probabilities(w: Weights, hidden: np.ndarray, target: np.ndarray, shape: Shape, grads: Weights | None = None):
     """Natural log-probability of each target word (of the other words: of their class) given its state.
 
@@ -141,7 +146,8 @@ def log_probabilities(w: Weights, hidden: np.ndarray, target: np.ndarray, shape:
     classes, target, rows, h = classes[order], target[order], np.arange(len(target)), shape.hidden
     given = np.ones((len(target), h + 1), hidden.dtype)
     given[:, :h] = hidden[order]
-    x, sums, found = _exponentials(given, w["class"], classes)
+    ones = np.ones(max(shape.classes + 1, int(np.diff(shape.starts).max())), hidden.dtype)
+    x, sums, found = _exponentials(given, w["class"], classes, rows, ones)
     slope = None
     ends = np.searchsorted(classes, np.arange(shape.classes + 2))
     if grads is not None:
@@ -157,7 +163,7 @@ def log_probabilities(w: Weights, hidden: np.ndarray, target: np.ndarray, shape:
         own = slice(ends[k], ends[k + 1])
         weights, states_ = w["word"][start:end], given[own]
         word = target[own] - start
-        x, sums, inside = _exponentials(states_, weights, word)
+        x, sums, inside = _exponentials(states_, weights, word, rows, ones)
         found[own] += inside
         if grads is not None:
             x *= (1 / sums)[:, None]
@@ -191,8 +197,12 @@ def _back(w: Weights, inputs: np.ndarray, fresh: np.ndarray, kept: list, slope:
     flat, ids = to_input.reshape(-1, 3 * h), inputs.ravel()
     grads["gate_bias"] += flat.sum(axis=0)
     order = np.argsort(ids, kind="stable")
-    used, starts = np.unique(ids[order], return_index=True)
-    grads["input"][used] += np.add.reduceat(flat[order], starts, axis=0)
+    used, starts, times = np.unique(ids[order], return_index=True, return_counts=True)
+    once, often = times == 1, np.repeat(times > 1, times)  # rows of a word seen once need no sum
+    grads["input"][used[once]] += flat[order[starts[once]]]
+    if often.any():
+        again = times[~once]
+        grads["input"][used[~once]] += np.add.reduceat(flat[order[often]], np.cumsum(again) - again, axis=0)
 
 
 class Trainer:
@@ -221,8 +231,12 @@ class Trainer:
             x, y, new = x[:, live], y[:, live], new[:, live]
             hidden, last, kept = states(self.weights, x, new, state[live], keep=True)
             real = y >= 0
-            slope = np.zeros_like(hidden)
-            _, slope[real] = log_probabilities(self.weights, hidden[real], y[real], self._shape, self._grads)
+            if real.all():
+                _, slope = log_probabilities(self.weights, hidden.reshape(-1, self._shape.hidden), y.ravel(), self._shape, self._grads)
+                slope = slope.reshape(hidden.shape)
+            else:
+                slope = np.zeros_like(hidden)
+                _, slope[real] = log_probabilities(self.weights, hidden[real], y[real], self._shape, self._grads)
             _back(self.weights, x, new, kept, slope, self._grads)
             n = int(real.sum())
             self._update({"input": np.unique(x), "gate_bias": slice(None), "recur": slice(None), "class": slice(None)}, n)
@@ -244,19 +258,37 @@ class Trainer:
         parts = {k: self._grads[k][rows] for k, rows in touched.items()}
         size = np.sqrt(sum(float(np.vdot(g, g)) for g in parts.values())) / n
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)) / n)
-        for k, g in parts.items():
+        for k, part in parts.items():
             at = touched[k]
             self._updates[k] += 1
-            rate = self._rate * np.sqrt(1 - 0.99 ** self._updates[k]) / (1 - 0.9 ** self._updates[k])
-            g = g * scale
-            mean, square = self._mean[k][at], self._square[k][at]
-            mean = mean + np.float32(0.1) * (g - mean)
-            square = square + np.float32(0.01) * (g * g - square)
-            self._mean[k][at], self._square[k][at] = mean, square
-            self.weights[k][at] -= np.float32(rate) * mean / (np.sqrt(square) + np.float32(1e-6))
+            rate = np.float32(self._rate * np.sqrt(1 - 0.99 ** self._updates[k]) / (1 - 0.9 ** self._updates[k]))
+            # a slice gives views, row numbers copies, which are put back
+            mean, square, weights = self._mean[k][at], self._square[k][at], self.weights[k][at]
+            some = max(1, NUMBERS_AT_ONCE * len(part) // max(1, part.size))
+            for i in range(0, len(part), some):
+                own = slice(i, i + some)
+                _step(part[own] * scale, mean[own], square[own], weights[own], rate)
+            if not isinstance(at, slice):
+                self._mean[k][at], self._square[k][at], self.weights[k][at] = mean, square, weights
             self._grads[k][at] = 0
 
 
+def _step(g: np.ndarray, mean: np.ndarray, square: np.ndarray, weights: np.ndarray, rate: np.float32) -> None:
+    """A step of Adam in place along the gradient ``g``, which is used up."""
+    change = g - mean
+    change *= np.float32(0.1)
+    mean += change
+    np.multiply(g, g, out=change)
+    change -= square
+    change *= np.float32(0.01)
+    square += change
+    np.sqrt(square, out=change)
+    change += np.float32(1e-6)
+    np.multiply(mean, rate, out=g)
+    g /= change
+    weights -= g
+
+
 def score(w: Weights, shape: Shape, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, owner: np.ndarray,
           n_texts: int, window: int = 8192) -> np.ndarray:
     """Natural log-likelihood of each whole text; ``owner`` is the text of each step and lane.

@@ -1,6 +1,7 @@
 """Language-model scores: base against brute force, the model's gradients, distribution and gain."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -185,3 +186,40 @@ def test_scores_against_plain_arithmetic():
     texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 40, 3, 17, 65)]
     got = gated_lm.score(weights, shape, *gated_lm.laid_out(texts, 3), len(texts))
     assert got == pytest.approx([plain_score(weights, shape, t.tolist()) for t in texts], rel=1e-4)
+
+
+def test_updates_work_in_place():
+    """An update of all words is plain Adam, and takes a part of the weights' memory, not copies of them."""
+    shape, rng = Shape.even(40_000, 200), np.random.default_rng(9)
+    start = gated_lm.initial(np.arange(40_000.0, 0, -1), 4.0, shape)
+    trainer = gated_lm.Trainer(start, shape)
+    mean = square = np.zeros_like(start["word"])
+    want, n = start["word"], 500
+    for k in (1, 2):
+        g = rng.normal(0, 1, want.shape).astype(np.float32)
+        trainer._grads["word"][:] = g
+        trainer._classes[:], trainer._gathered = True, n
+        tracemalloc.start()
+        trainer._update_words()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < want.nbytes / 4
+        g = g * np.float32(min(1.0, n / np.sqrt(float(np.vdot(g, g)))) / n)
+        mean, square = mean + np.float32(0.1) * (g - mean), square + np.float32(0.01) * (g * g - square)
+        rate = np.float32(0.01 * np.sqrt(1 - 0.99 ** k) / (1 - 0.9 ** k))
+        want = want - rate * mean / (np.sqrt(square) + np.float32(1e-6))
+        assert np.allclose(trainer.weights["word"], want, rtol=1e-5, atol=1e-7)
+        assert not trainer._grads["word"].any()
+
+
+def test_words_seen_once_and_often_get_their_gradients():
+    """Rows of the input are summed over all places of a word, in whatever mix of single and repeated words."""
+    shape, rng = Shape.even(8, 4, 5), np.random.default_rng(10)
+    weights = tiny(shape)
+    for inputs in ([[1, 2], [3, 4]], [[1, 1], [1, 1]], [[5, 1], [5, 0]]):
+        x, fresh = np.array(inputs), np.zeros((2, 2), bool)
+        _, _, kept = gated_lm.states(weights, x, fresh, np.zeros((2, 5)), keep=True)
+        grads = {k: np.zeros_like(v) for k, v in weights.items()}
+        gated_lm._back(weights, x, fresh, kept, rng.normal(size=(2, 2, 5)), grads)
+        assert np.allclose(grads["input"].sum(axis=0), grads["gate_bias"])
+        assert set(np.flatnonzero(grads["input"].any(axis=1))) == set(x.ravel())
